@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import common, decontaminate, jaccard_join, mixing, token_files, toxicity
+
+#: Folder of the public tokenizer files; a parameter of the queries, never copied.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the tokenizer file is: by the package that brings them, else in TOKENIZERS."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +35,32 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_decontamination": op2_decontamination}
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets overlap to 90 %."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write token-id shards of all documents and read every document back through the index."""
+    folder = common.shared_dir(spark)
+    manifest = token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return token_files.read(spark, folder, manifest)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by class-conditional Kneser-Ney models."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op8_token_files": op8_token_files,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLES: dict[str, str] = {}
