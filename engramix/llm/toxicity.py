@@ -1,21 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two bigram models, of toxic and of ordinary text, share their backoff: a class's
-bigrams back off to its own words, those to the continuation counts of both
-classes together, and those to an even distribution over the vocabulary. An
-expression that is rare in training is thus smoothed by counts both classes
-share and says little either way. A text's score compares the two
-log-likelihoods, normalised by length; a logistic curve fitted on labelled
-documents kept out of the counts turns the comparison into a probability.
+Two models, of toxic and of ordinary text, count expressions as Kneser-Ney lower
+orders do: by the number of distinct contexts they were seen in, not by
+occurrences, so a passage copied many times counts once. A word pair backs off
+to the class's words with a weight both classes share, and a word backs off to
+the counts that *both* classes share. A rare expression, or one of a single
+copied text, is thus left to the shared part and says nothing either way; one
+that is met in many contexts of one class alone says much.
+
+A text is scored by its log-likelihoods under both models, word by word. The
+text's own median difference is taken off as background (a language that is
+rarer in one class's sample shifts every word alike), and what exceeds the
+background by ``MARGIN`` is normalised by length. A logistic curve over that and
+the strongest single difference, fitted on labelled documents kept out of the
+counts, gives the probability.
 
 Training takes a bounded sample of labelled rows: at most ``per_class`` a class,
-by a hash of doc_id. It is the only bound; every document is scored whole.
-
-Defined results: null and empty texts have no words, compare as equal and get the
-curve's value there; null labels are unlabelled; documents with several labels
-count by the largest; rows that repeat a doc_id are scored each; if a class has
-no labelled rows every score is that of the other class's share; other columns
-are ignored.
+and as many of either, by a hash of doc_id. It is the only bound; every document
+is scored whole.
+
+Defined results: null and empty texts have no words and get the curve's value at
+no difference; null labels are unlabelled; documents with several labels count
+by the largest; rows that repeat a doc_id are scored each; if a class has no
+labelled rows, no text differs and all score the same; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -48,108 +56,133 @@ def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, common.mix(prev * _PAIR + h), w.docs
 
 
+#: Difference in log10 probability, over the text's background, from which a word counts.
+MARGIN = 1.5
+#: Contexts taken off every count of a word and of a pair; what is seen in fewer says nothing.
+DISCOUNT = 1.5
+PAIR_DISCOUNT = 6.0
+
+
 @dataclass
 class Model:
-    """Count tables: sorted keys, and for both classes (ordinary, toxic) log10 probabilities by key."""
+    """Count tables by sorted hash keys; both classes (ordinary, toxic) side by side."""
 
     words: np.ndarray
-    word_p: np.ndarray  # 2 x words: class probability of a word (interpolated)
+    word_p: np.ndarray  # 2 x words: a class's probability of a word
     unknown_p: float
     pairs: np.ndarray
-    pair_seen: np.ndarray  # 2 x pairs: discounted share of the pair after its first word
-    after: np.ndarray  # 2 x (words + 1): weight that the first word's backoff gets (last: unknown or start)
-    slope: np.ndarray  # logistic weights: constant, difference per word, its gain with length
+    pair_p: np.ndarray  # 2 x pairs: a class's probability of the pair's second word after the first
+    slope: np.ndarray  # logistic weights: constant, normalised excess, strongest difference
 
     @staticmethod
-    def fit(texts: list[str], toxic: np.ndarray) -> Model:
-        h, g, docs = _grams(pa.array(texts, pa.large_string()))
-        label = np.repeat(toxic, np.diff(docs)).astype(np.int64)
-        fold = np.repeat(np.arange(len(texts)) % 3, np.diff(docs))
-        own = fold > 0  # a third of the sample is left for the curve
-        model = Model._count(h[own], g[own], label[own], np.flatnonzero(np.isin(np.flatnonzero(own), docs[:-1])))
+    def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
+        """A third of the texts is left for the curve; there the classes weigh by ``share``, that of toxic rows among all labelled."""
+        own = [i for i in range(len(texts)) if i % 3]
         check = [i for i in range(len(texts)) if i % 3 == 0]
-        x = model.compare(pa.array([texts[i] for i in check], pa.large_string()))
-        model.slope = _logistic(x, toxic[check].astype(float))
+        model = Model.count([texts[i] for i in own], toxic[own])
+        if len(check):
+            model.slope = _logistic(model.compare(pa.array([texts[i] for i in check], pa.large_string())), toxic[check].astype(float), share)
         return model
 
     @staticmethod
-    def _count(h, g, label, first) -> Model:
-        vocab, wi = np.unique(h, return_inverse=True)
-        pairs, at, gi = np.unique(g, return_index=True, return_inverse=True)
-        v, d = len(vocab), 0.75
-        prev = np.empty(len(h), np.int64)
-        prev[1:] = wi[:-1] if len(h) else 0
-        if len(h):
-            prev[0] = v
-            prev[first] = v
-        pair_prev, pair_word = prev[at], wi[at]
-        # shared backoff: in how many contexts, over both classes, a word was seen
-        cont = np.bincount(pair_word, minlength=v).astype(float)
-        even = 1.0 / (v + 1)
-        types = max(1.0, cont.sum())
-        shared = np.maximum(cont - d, 0) / types + d * (cont > 0).sum() / types * even
-        unknown = d * (cont > 0).sum() / types * even if v else 1.0
-        word_p, seen, after = np.empty((2, v)), np.empty((2, len(pairs))), np.ones((2, v + 1))
-        unknowns = []
+    def count(texts: list[str], toxic: np.ndarray) -> Model:
+        h, g, docs = _grams(pa.array(texts, pa.large_string()))
+        label = np.repeat(toxic, np.diff(docs)).astype(np.int64)
+        first = np.zeros(len(h), bool)
+        first[docs[:-1][docs[:-1] < len(h)]] = True
+        prev = np.zeros(len(h), np.uint64)
+        prev[1:] = np.where(first[1:], np.uint64(0), h[:-1])
+        earlier = np.zeros(len(h), np.uint64)
+        earlier[1:] = np.where(first[1:], np.uint64(0), prev[:-1])
+        vocab, word = np.unique(h, return_inverse=True)
+        pairs, at, pair = np.unique(g, return_index=True, return_inverse=True)
+        v, d = len(vocab), DISCOUNT
+        n, m = np.empty((2, v)), np.empty((2, len(pairs)))
         for c in (0, 1):
             own = label == c
-            n = np.bincount(wi[own], minlength=v).astype(float)
-            total = max(1.0, n.sum())
-            back = d * (n > 0).sum() / total if n.sum() else 1.0
-            word_p[c] = np.maximum(n - d, 0) / total + back * shared
-            unknowns.append(back * unknown)
-            m = np.bincount(gi[own], minlength=len(pairs)).astype(float)
-            ctx = np.bincount(pair_prev, weights=m, minlength=v + 1)
-            kinds = np.bincount(pair_prev, weights=m > 0, minlength=v + 1)
-            seen[c] = np.maximum(m - d, 0) / np.maximum(ctx[pair_prev], 1)
-            after[c] = np.where(ctx > 0, d * kinds / np.maximum(ctx, 1), 1.0)
-        # a word unknown to both classes must not speak for either
-        return Model(vocab, word_p, float(min(unknowns) if unknowns else 1.0), pairs, seen, after, np.zeros(3))
+            _, once = np.unique(g[own], return_index=True)  # contexts of a word: words before it
+            n[c] = np.bincount(word[own][once], minlength=v)
+            _, once = np.unique(common.mix(earlier[own] * _PAIR + g[own]), return_index=True)  # of a pair: words before the pair
+            m[c] = np.bincount(pair[own][once], minlength=len(pairs))
+        both = 2 * np.minimum(n[0], n[1]) + np.minimum(n[0] + n[1], 2)
+        shared = np.maximum(both - 0.75, 0) / max(1.0, both.sum())
+        even = (1 - shared.sum()) / (v + 1)
+        shared, unknown = shared + even, even
+        word_p = np.empty((2, v))
+        back = []
+        for c in (0, 1):
+            taken = np.minimum(n[c], d)
+            total = n[c].sum()
+            back.append(taken.sum() / total if total else 1.0)
+            word_p[c] = (n[c] - taken) / max(1.0, total) + back[c] * shared
+        # pairs: share of the first word's pairs, mixed with a weight the classes share
+        prev_of = prev[at]
+        _, ctx = np.unique(prev_of, return_inverse=True)
+        kept = np.maximum(m - PAIR_DISCOUNT, 0)
+        contexts = ctx.max() + 1 if len(ctx) else 0
+        everything = np.bincount(ctx, weights=m.sum(0), minlength=contexts)
+        left = np.bincount(ctx, weights=kept.sum(0), minlength=contexts)
+        weight = (left / np.maximum(everything, 1))[ctx]
+        pair_p = np.empty((2, len(pairs)))
+        for c in (0, 1):
+            own = np.bincount(ctx, weights=kept[c], minlength=contexts)[ctx]
+            base = word_p[c][word[at]]
+            pair_p[c] = np.where(own > 0, weight * kept[c] / np.maximum(own, 1e-9) + (1 - weight) * base, base)
+        told = (kept > 0).any(0)  # the rest is what the words alone say
+        return Model(vocab, word_p, float(min(back) * unknown), pairs[told], pair_p[:, told], np.zeros(3))
+
+    def differences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of toxic over ordinary probability of every word, and the texts' bounds."""
+        h, g, docs = _grams(col)
+        out = np.zeros(len(h))
+        if len(h) and len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            ratio = np.log10(self.word_p[1] / self.word_p[0])
+            out = np.where(self.words[at] == h, ratio[at], 0.0)  # a word neither knows is as likely in both
+        if len(h) and len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
+            out = np.where(self.pairs[at] == g, np.log10(self.pair_p[1] / self.pair_p[0])[at], out)
+        return out, docs
 
     def compare(self, col: pa.Array) -> np.ndarray:
-        """Per text: mean and length-scaled log-likelihood difference (toxic less ordinary) and the strongest part."""
-        h, g, docs = _grams(col)
-        n = np.diff(docs)
-        if not len(h) or not len(self.words):
-            return np.zeros((len(n), 2))
-        wi = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        known = self.words[wi] == h
-        pi = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
-        pair = self.pairs[pi] == g
-        prev = np.full(len(h), len(self.words), np.int64)
-        prev[1:] = np.where(known[:-1], wi[:-1], len(self.words))
-        prev[docs[:-1][docs[:-1] < len(h)]] = len(self.words)
-        p = [np.where(pair, self.pair_seen[c][pi], 0.0) + self.after[c][prev] * np.where(known, self.word_p[c][wi], self.unknown_p) for c in (0, 1)]
-        diff = np.log10(p[1] / p[0])
-        sums = np.concatenate([[0.0], np.cumsum(diff)])
-        total = sums[docs[1:]] - sums[docs[:-1]]
-        return np.stack([total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1))], 1)
+        """Per text: excess over its background per word, and the strongest difference."""
+        d, docs = self.differences(col)
+        out = np.zeros((len(docs) - 1, 2))
+        for i, (a, b) in enumerate(zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)):
+            if b > a:
+                x = d[a:b] - (np.median(d[a:b]) if b - a >= 8 else 0.0)
+                out[i] = np.maximum(x - MARGIN, 0).sum() / (b - a), x.max()
+        return out
 
     def score(self, col: pa.Array) -> np.ndarray:
         x = self.compare(col)
         return 1 / (1 + np.exp(-np.clip(self.slope[0] + x @ self.slope[1:], -35, 35)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; classes weigh by their number."""
-    a = np.column_stack([np.ones(len(x)), x])
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Logistic regression by damped Newton steps with a small ridge on scaled features."""
+    scale = np.maximum(x.std(0), 1e-9)
+    a = np.column_stack([np.ones(len(x)), x / scale])
+    pull = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     b = np.zeros(a.shape[1])
-    for _ in range(50):
+    ridge = np.diag([0.01, *[0.5] * x.shape[1]])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -35, 35)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        ridge = 1e-3 * np.eye(len(b))
-        step = np.linalg.solve((a * w[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ b)
-        b += step
+        w = np.maximum(p * (1 - p), 1e-6) * pull
+        step = np.linalg.solve((a * w[:, None]).T @ a + ridge, a.T @ ((y - p) * pull) - ridge @ b)
+        b += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return b
+    return np.array([b[0], *(b[1:] / scale)])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents that are not held out, at most ``per_class`` a class."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     order = F.xxhash64(F.lit(11), "doc_id")
-    chosen = own.where("toxic > 0").orderBy(order, "doc_id").limit(per_class).union(own.where("toxic <= 0").orderBy(order, "doc_id").limit(per_class))
+    known = own.agg(F.count_if("toxic > 0"), F.count_if("toxic <= 0")).first()
+    n = max(1, min(per_class, *known))
+    chosen = own.where("toxic > 0").orderBy(order, "doc_id").limit(n).union(own.where("toxic <= 0").orderBy(order, "doc_id").limit(n))
     # at most 2 * per_class narrow rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
     got = rows.select("doc_id", "toxic", "text").orderBy("doc_id", "text").toLocalIterator()
@@ -157,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     for _, t, text in got:
         texts.append(text)
         toxic.append(t > 0)
-    return Model.fit(texts, np.array(toxic, bool))
+    return Model.fit(texts, np.array(toxic, bool), known[0] / max(1, sum(known)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
