@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard_join, mixing, token_files, toxicity
+from . import common, decontaminate, jaccard_join, maxent_lm, mixing, token_files, toxicity, vectors
 
 #: Folder of the public tokenizer files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -40,6 +40,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th, by largest inner product."""
+    rows = vectors.usable(_table(spark, sf_dir, "embeddings"))
+    return vectors.search(rows, rows.where("id % 20 = 0"), k=20)
+
+
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the maximum-entropy model."""
+    return maxent_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write token-id shards of all documents and read every document back through the index."""
     folder = common.shared_dir(spark)
@@ -59,6 +70,8 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_permutation_index": op6_permutation_index,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_token_files": op8_token_files,
     "op10_toxicity": op10_toxicity,
 }
