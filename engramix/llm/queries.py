@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard_join, maxent_lm, mixing, token_files, toxicity, vectors
+from . import chat, common, decontaminate, jaccard_join, licenses, maxent_lm, mixing, token_files, toxicity, vectors, warc
 
 #: Folder of the public tokenizer files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -35,11 +35,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def license_files(docs: DataFrame) -> DataFrame:
+    """Documents as a source tree: source/lang/hundred/name; every 20th is a licence file, every 200th one level up."""
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    base = F.concat_ws("/", F.coalesce("source", F.lit("nosource")), F.coalesce("lang", F.lit("nolang")))
+    i = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 200 == 0, F.concat(base, F.lit("/LICENSE-"), i)).when(F.col("doc_id") % 20 == 0, F.concat(base, F.lit("/"), hundred, F.lit("/LICENSE-"), i)).otherwise(F.concat(base, F.lit("/"), hundred, F.lit("/"), i, F.lit(".txt")))
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, their own or inherited."""
+    found = licenses.scan(license_files(_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets overlap to 90 %."""
     return jaccard_join.join(_table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th, by largest inner product."""
     rows = vectors.usable(_table(spark, sf_dir, "embeddings"))
@@ -58,6 +78,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, manifest)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, merge the capture index, and read every record back."""
+    _, captures = warc.archive(spark, _table(spark, sf_dir, "pages"), common.shared_dir(spark))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range_no", "seq", "url_key", "stamp")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by class-conditional Kneser-Ney models."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,10 +95,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_chat_format": op5_chat_format,
     "op6_permutation_index": op6_permutation_index,
     "op7_maxent_lm": op7_maxent_lm,
     "op8_token_files": op8_token_files,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -2,8 +2,8 @@
 
 A data set is a folder of shards in ascending document order. A shard is two
 files: ``ids-NNNNN.bin`` holds nothing but the ids of its documents one after
-the other (little-endian unsigned 32-bit), and ``idx-NNNNN.mph`` maps document
-keys to places in it: a minimal perfect hash gives each distinct key a slot
+the other (little-endian, unsigned, of 16 bits if the vocabulary fits and else
+of 32), and ``idx-NNNNN.mph`` maps document keys to places in it: a minimal perfect hash gives each distinct key a slot
 without storing the keys, the slot holds a fingerprint (to reject absent keys),
 the offset, and the number of ids and rows of that key.
 
@@ -118,14 +118,15 @@ class ShardIndex:
         self.hash, at = PerfectHash.load(data, 8)
         self.table = np.frombuffer(data, _SLOT, self.hash.n, at)
         at += self.hash.n * _SLOT.itemsize
-        (rows,) = struct.unpack_from("<Q", data, at)
+        rows, self.width = struct.unpack_from("<QI", data, at)
+        at += 4
         # in file order: ids of each row, its key, and whether it has one
         self.lengths = np.frombuffer(data, "<u8", rows, at + 8)
         self.keys = np.frombuffer(data, "<i8", rows, at + 8 + 8 * rows)
         self.keyed = np.frombuffer(data, np.uint8, rows, at + 8 + 16 * rows).astype(bool)
 
     @staticmethod
-    def dump(keys: np.ndarray, keyed: np.ndarray, lengths: np.ndarray) -> bytes:
+    def dump(keys: np.ndarray, keyed: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
         offsets = np.cumsum(lengths) - lengths
         own = np.flatnonzero(keyed)
         distinct, first, rows = np.unique(keys[own], return_index=True, return_counts=True)
@@ -137,7 +138,7 @@ class ShardIndex:
             table["print"][at], table["rows"][at] = _fingerprint(u), rows
             table["offset"][at] = offsets[own[first]]
             table["ids"][at] = np.add.reduceat(lengths[own], first) if len(first) else 0
-        return b"".join([_MAGIC, ph.dump(), table.tobytes(), struct.pack("<Q", len(keys)), lengths.astype("<u8").tobytes(), keys.astype("<i8").tobytes(), keyed.astype(np.uint8).tobytes()])
+        return b"".join([_MAGIC, ph.dump(), table.tobytes(), struct.pack("<QI", len(keys), width), lengths.astype("<u8").tobytes(), keys.astype("<i8").tobytes(), keyed.astype(np.uint8).tobytes()])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, offset, ids) of keys; constant time for each."""
@@ -184,6 +185,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self._clear()
 
     def _clear(self) -> None:
@@ -290,7 +292,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID) -> Da
             for b in common.blocks(batch, "text"):
                 out = out or store.open_output_stream(f"{tmp}.bin")
                 ids, n = enc.encode(b.column(1), end)
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(f"<u{enc.width}").tobytes())
                 keyed.append(b.column(0).is_valid().to_numpy(zero_copy_only=False))
                 keys.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 lengths.append(n)
@@ -299,7 +301,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID) -> Da
         out.close()
         k, has, n = np.concatenate(keys), np.concatenate(keyed), np.concatenate(lengths)
         with store.open_output_stream(f"{tmp}.mph") as f:
-            f.write(ShardIndex.dump(k, has, n))
+            f.write(ShardIndex.dump(k, has, n, enc.width))
         _place(store, f"{tmp}.bin", f"{root}/ids-{shard:05d}.bin")
         _place(store, f"{tmp}.mph", f"{root}/idx-{shard:05d}.mph")
         lo, hi = (int(k[has].min()), int(k[has].max())) if has.any() else (None, None)
@@ -337,8 +339,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     for a in range(0, n, 4096):
                         b = min(n, a + 4096)
                         size = index.lengths[a:b].astype(np.int64)
-                        f.seek(int(place[a]) * 4)
-                        data = f.read(int(size.sum()) * 4)
+                        f.seek(int(place[a]) * index.width)
+                        data = np.frombuffer(f.read(int(size.sum()) * index.width), f"<u{index.width}").astype("<u4").tobytes()
                         ends = np.cumsum(size) * 4
                         crc = [zlib.crc32(data[e - 4 * s : e]) for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(index.keys[a:b], mask=~index.keyed[a:b]), pa.array(before + place[a:b], pa.int64()), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -371,8 +373,8 @@ def lookup(spark: SparkSession, folder: str, manifest: DataFrame, wanted: DataFr
                 found, offset, n = index.find(own)
                 rows = []
                 for k, o, m in zip(own[found].tolist(), offset[found].tolist(), n[found].tolist(), strict=True):
-                    f.seek(o * 4)
-                    rows.append((k, np.frombuffer(f.read(m * 4), "<u4").astype(np.int64)))
+                    f.seek(o * index.width)
+                    rows.append((k, np.frombuffer(f.read(m * index.width), f"<u{index.width}").astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, ids array<long>")
