@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fit on labelled documents that are not held out, at most ``per_class`` a class."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     order = F.xxhash64(F.lit(11), "doc_id")
-    known = own.agg(F.count_if("toxic > 0"), F.count_if("toxic <= 0")).first()
+    known = own.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     n = max(1, min(per_class, *known))
     chosen = own.where("toxic > 0").orderBy(order, "doc_id").limit(n).union(own.where("toxic <= 0").orderBy(order, "doc_id").limit(n))
     # at most 2 * per_class narrow rows
