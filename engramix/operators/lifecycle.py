@@ -163,7 +163,7 @@ def side_effects(final: DataFrame, tombstoned: DataFrame, discarded: DataFrame)
 def set_trust(memories: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
     """Apply (id, new_trust, reason) and append to the trust history."""
     rows = memories.join(changes.dropDuplicates(["id"]), "id", "left")
-    entry = F.struct(F.col("trust_level").alias("from"), F.col("new_trust").alias("to"), "reason", at.alias("at"))
+    entry = F.struct(F.col("trust_level").cast("double").alias("from"), F.col("new_trust").cast("double").alias("to"), "reason", at.alias("at"))
     has = F.col("new_trust").isNotNull()
     history = F.col("trust_history") if "trust_history" in memories.columns else F.array().cast("array<struct<from:double,to:double,reason:string,at:timestamp>>")
     return rows.withColumn("trust_history", F.when(has, F.array_append(history, entry)).otherwise(history)).withColumn("trust_level", F.coalesce("new_trust", "trust_level")).drop("new_trust", "reason")
@@ -172,6 +172,6 @@ def set_trust(memories: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
 def unquarantine(memories: DataFrame) -> DataFrame:
     """Take the marks off and restore the trust before the last quarantine (else 0.5)."""
     marked = se.has_any(F.col("tags"), se.NOT_SHOWN)
-    last = F.element_at(F.filter("trust_history", lambda h: F.contains(h["reason"], F.lit("quarantined"))), -1)["from"]
+    last = F.try_element_at(F.filter("trust_history", lambda h: F.contains(h["reason"], F.lit("quarantined"))), F.lit(-1))["from"]
     tags = F.array_except("tags", F.array(*[F.lit(t) for t in se.NOT_SHOWN]))
     return memories.withColumn("trust_level", F.when(marked, F.coalesce(last, F.lit(0.5))).otherwise(F.col("trust_level"))).withColumn("tags", F.when(marked, tags).otherwise(F.col("tags")))

@@ -33,7 +33,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE concat('p', CAST(d.doc_id % 4 AS {str})) END AS project,
           concat('s', CAST(d.doc_id % 50 AS {str})) AS session_id,
           CASE WHEN d.doc_id % 2 = 0 THEN 'coder' ELSE NULL END AS agent_role,
-          CASE WHEN l.toxic = 1 THEN 0.1 WHEN l.quality = 1 THEN 0.8 WHEN l.quality = 0 THEN 0.3 ELSE 0.5 END AS trust_level,
+          CAST(CASE WHEN l.toxic = 1 THEN 0.1 WHEN l.quality = 1 THEN 0.8 WHEN l.quality = 0 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS trust_level,
           CASE d.doc_id % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'imported' WHEN 2 THEN 'explicit' WHEN 3 THEN 'derived' ELSE 'pattern' END AS knowledge_tier,
           CASE WHEN d.doc_id % 5 = 3 THEN {arr:concat('m', lpad(CAST(d.doc_id - 1 AS {str}), 9, '0')), concat('m', lpad(CAST(d.doc_id - 3 AS {str}), 9, '0'))} END AS source_ids,
           CASE d.doc_id % 4 WHEN 0 THEN 'auto_store' WHEN 1 THEN 'import' WHEN 2 THEN 'ingest' ELSE NULL END AS write_path,
@@ -65,7 +65,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("events",),
         """
         SELECT concat('m', lpad(CAST(event_id % 1000 AS {str}), 9, '0')) AS memory_id,
-          CAST(1.0 AS DOUBLE) * (0.2 + (count(*) % 13) * 0.5) AS stability, CAST(5.0 AS DOUBLE) AS difficulty,
+          CAST(0.2 + (count(*) % 13) * 0.5 AS DOUBLE) AS stability, CAST(5.0 AS DOUBLE) AS difficulty,
           CAST(count(*) % 6 AS BIGINT) AS reinforcement_count, CAST(max(ts) AS TIMESTAMP) AS last_reinforced_at
         FROM events WHERE event_id % 3 <> 0 GROUP BY event_id % 1000
         """,
