@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard_join, licenses, maxent_lm, mixing, token_files, toxicity, vectors, warc
+from . import chat, common, decontaminate, jaccard_join, licenses, maxent_lm, mixing, oracles, token_files, toxicity, vectors, warc
 
 #: Folder of the public tokenizer files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -81,7 +81,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, merge the capture index, and read every record back."""
     _, captures = warc.archive(spark, _table(spark, sf_dir, "pages"), common.shared_dir(spark))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range_no", "seq", "url_key", "stamp")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
