@@ -45,6 +45,8 @@ MOST_MATCHES = 4
 #: Verifying a candidate costs about as much as reading so many postings.
 VERIFY_COST = 8.0
 HUBS = 4
+#: Members of a posting list that one side of a task holds.
+LIST_PART = 2048
 _M = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -123,7 +125,7 @@ def matches(counts: np.ndarray, x: int, cut: int, noise: float) -> int:
 
 
 def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
-    """(token, cid, n, k, small) of each set's prefix; ``small``: also in the prefix it has as the smaller of a pair."""
+    """(token, cid, n, k, small, prefix) of each set's prefix; ``small``: also in the prefix it has as the smaller of a pair; ``prefix``: its length."""
 
     def run(batches):
         counts = sketch.value
@@ -132,7 +134,7 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for b in common.blocks(batch, "text"):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for u in shingle_sets(b.column(0), k):
                     x = len(u)
                     key = set_key(u) if x else None
@@ -146,13 +148,31 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
                     ell = matches(c[order], x, cut, noise)
                     order = order[: cut + ell]
                     m = len(order)
-                    for to, v in zip(out, (u[order], np.full(m, key), np.full(m, x, np.int32), np.full(m, ell, np.int8), np.arange(m) < small + ell), strict=True):
+                    for to, v in zip(out, (u[order], np.full(m, key), np.full(m, x, np.int32), np.full(m, ell, np.int8), np.arange(m) < small + ell, np.full(m, m, np.int32)), strict=True):
                         to.append(v)
                 if out[0]:
-                    t, c, n, e, s = (np.concatenate(v) for v in out)
-                    yield pa.RecordBatch.from_arrays([common.as_long(t), common.as_long(c), pa.array(n), pa.array(e), pa.array(s)], ["token", "cid", "n", "k", "small"])
+                    t, c, n, e, s, m = (np.concatenate(v) for v in out)
+                    yield pa.RecordBatch.from_arrays([common.as_long(t), common.as_long(c), pa.array(n), pa.array(e), pa.array(s), pa.array(m)], ["token", "cid", "n", "k", "small", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "token long, cid long, n int, k byte, small boolean")
+    return docs.select("text").mapInArrow(run, "token long, cid long, n int, k byte, small boolean, prefix int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that two or more sets post."""
+    twice = postings.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
+    return postings.join(twice, "token")
+
+
+def _lists(postings: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Posting lists with ``most``, the overlap a set can reach at most.
+
+    A prefix shingle that no other set posts is in no other set's reach, so it
+    comes off; a set that cannot reach its least overlap any more is dropped.
+    """
+    lists = common.save(_shared(postings).dropDuplicates(["token", "cid"]), f"{folder}/shared")
+    reach = lists.groupBy("cid").agg((F.first("n") - F.first("prefix") + F.count("*")).alias("most"), F.first("n").alias("_n"))
+    reach = reach.where(100 * F.col("most") >= percent * F.col("_n")).select("cid", "most")
+    return common.save(_shared(lists.join(reach, "cid")), f"{folder}/lists")
 
 
 def _may_link(percent: int):
@@ -204,12 +224,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text").join(rows, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")), "left_semi")
     sets = common.save(texts.select("text").mapInArrow(run, "cid long, tokens binary"), f"{folder}/sets").dropDuplicates(["cid"])
     full = kept.join(sets.toDF("p", "tp"), "p").join(sets.toDF("q", "tq"), "q").select("p", "q", "tp", "tq")
-    return common.save(full.mapInArrow(_links(percent), "u long, v long"), f"{folder}/links")
+    links = common.save(full.mapInArrow(_links(percent), "u long, v long"), f"{folder}/links")
+    for part in ("kept", "need", "sets"):
+        common.drop(docs.sparkSession, f"{folder}/{part}")
+    return links
 
 
 def _to_hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of each set with at most HUBS sets that head posting lists it is on."""
-    heads = [F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("h"), "cid", "n")).alias(f"h{i}") for i in range(HUBS)]
+    # the first head is the set with the fewest shingles of its own: the likely origin of a group of near copies
+    rank = [F.struct((F.col("n") - F.col("most")).alias("o"), F.xxhash64(F.lit(i), "cid").alias("h"), "cid", "n") if i == 0 else F.struct(F.lit(0).alias("o"), F.xxhash64(F.lit(i), "cid").alias("h"), "cid", "n") for i in range(HUBS)]
+    heads = [F.min(r).alias(f"h{i}") for i, r in enumerate(rank)]
     hubs = lists.groupBy("token").agg(*heads)
     met = lists.join(hubs, "token").select("cid", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}.cid").alias("hub"), F.col(f"h{i}.n").alias("m")) for i in range(HUBS)])).alias("hub"))
     met = met.select("cid", "n", "hub.*").where("cid <> hub").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
@@ -217,34 +242,93 @@ def _to_hubs(lists: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("cid", "hub").alias("p"), F.greatest("cid", "hub").alias("q")).distinct()
 
 
-def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _meet(percent: int):
+    """Pairs of sets that meet in a block of a posting list, lie in different components and may link.
+
+    Rows come sorted by block. All lists of a stretch are paired at once: row i
+    with row i + 1, then with row i + 2, and so on while both are in one block.
+    Only pairs that pass sizes, reach and bitmaps leave the task.
+    """
+
+    def pairs(cols):
+        gid, cid, n, k, small, most, comp, half, cross, bits = cols
+        out = [[], [], []]
+        at, d = np.arange(len(gid)), 0
+        while True:
+            d += 1
+            at = at[at + d < len(gid)]
+            at = at[gid[at] == gid[at + d]]
+            if not len(at):
+                break
+            x, y = at, at + d
+            keep = (comp[x] != comp[y]) & (~cross[x] | (half[x] != half[y]))
+            keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            keep &= (100 + percent) * np.minimum(most[x], most[y]) >= percent * (n[x] + n[y])
+            keep &= np.where((n[x] < n[y]) | ((n[x] == n[y]) & (cid[x] < cid[y])), small[x], small[y])
+            x, y = x[keep], y[keep]
+            if len(x):
+                diff = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                keep = (100 + percent) * diff <= (100 - percent) * (n[x] + n[y])
+                x, y = x[keep], y[keep]
+                out[0].append(np.minimum(cid[x], cid[y]))
+                out[1].append(np.maximum(cid[x], cid[y]))
+                out[2].append(np.minimum(k[x], k[y]))
+        return [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
+
+    def columns(b):
+        num = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        token, lo, hi = num("token"), num("lo"), num("hi")
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        data, _ = common.utf8(b.column(b.schema.get_field_index("bits")))
+        bits = np.frombuffer(data.tobytes(), np.uint64).reshape(len(token), -1)
+        return new, [np.cumsum(new), num("cid"), num("n").astype(np.int64), num("k").astype(np.int64), num("small"), num("most").astype(np.int64), num("comp"), num("half"), lo != hi, bits]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            new, cols = columns(held)
+            last = int(np.flatnonzero(new)[-1])  # the last block may go on in the next batch
+            if last == 0:
+                continue
+            p, q, k = pairs([c[:last] for c in cols])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(k, pa.int64())], ["p", "q", "k"])
+            held = held.slice(last)
+        if held is not None:
+            p, q, k = pairs(columns(held)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(k, pa.int64())], ["p", "q", "k"])
+
+    return run
+
+
+def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs whose ends lie in different components.
 
-    Posting lists are first reduced to the components on them; only lists with
-    two or more are opened, and only between different components.
+    Only lists that hold two or more components are opened. A list longer than
+    LIST_PART is dealt into parts, and every two parts meet in a task of their
+    own, so no task holds more than two parts of a list.
     """
-    own = lists.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid")).drop("node", "component")
-    on = own.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = on.toDF("token", "ca", "la", "ha"), on.toDF("token", "cb", "lb", "hb")
-    met = a.join(b, "token").where("ca < cb").where((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))).select("token", "ca", "cb")
-    x = own.toDF("token", "p", "np", "kp", "sp", "ca")
-    y = own.toDF("token", "q", "nq", "kq", "sq", "cb")
-    pairs = met.join(x, ["token", "ca"]).join(y, ["token", "cb"])
-    pairs = pairs.where(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-    smaller = (F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
-    pairs = pairs.where(F.when(smaller, F.col("sp")).otherwise(F.col("sq")))
-    pairs = pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.count("*").alias("shared"), F.min(F.least("kp", "kq")).alias("k"))
-    return pairs.where("shared >= k").select("p", "q")
-
-
-def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
+    own = lists.join(labels, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "k", "small", "most", F.coalesce("component", "cid").alias("comp"))
+    several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
+    several = several.select("token", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
+    rows = own.join(several, "token").join(classes.select("cid", "bits"), "cid").withColumn("half", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("token", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "cid", "n", "k", "small", "most", "comp", "half", "bits")
+    met = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(percent), "p long, q long, k long")
+    return met.groupBy("p", "q").agg(F.count("*").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("p", "q")
+
+
+def join(docs: DataFrame, shingle: int = 3, percent: int = 90, folder: str | None = None) -> DataFrame:
     """A row a document: doc_id, text_hash, n_shingles and component_id.
 
     Two documents link when 100 * intersection >= percent * union;
     component_id is the smallest doc_id that links reach.
     """
     spark = docs.sparkSession
-    folder = common.shared_dir(spark)
+    folder = folder or common.shared_dir(spark)
     scanned = common.save(_scan(docs, shingle), f"{folder}/scan")
     rows = scanned.where("block is null").select("doc_id", "text_hash", "n", "cid", "bits")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -256,18 +340,19 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     sketch = spark.sparkContext.broadcast(counts)
 
     postings = common.save(_postings(docs, sketch, shingle, percent), f"{folder}/postings")
-    shared = postings.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
-    lists = common.save(postings.join(shared, "token").dropDuplicates(["token", "cid"]), f"{folder}/lists")
+    lists = _lists(postings, percent, folder)
     common.drop(spark, f"{folder}/postings")
 
     near = _verify(_to_hubs(lists, percent), classes, docs, shingle, percent, f"{folder}/hubs")
     labels = common.save(components(near, f"{folder}/first"), f"{folder}/first/labels")
-    rest = _verify(_across(lists, labels, percent), classes, docs, shingle, percent, f"{folder}/across")
+    rest = _verify(_across(lists, labels, classes, percent), classes, docs, shingle, percent, f"{folder}/across")
     labels = common.save(components(near.union(rest), f"{folder}/last"), f"{folder}/last/labels")
 
     named = classes.select("cid", "least").join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid")).select("cid", "comp", "least")
     of_comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = common.save(named.join(of_comp, "comp").select("cid", "component_id"), f"{folder}/named")
+    for part in ("lists", "shared", "classes", "hubs", "across", "first", "last"):
+        common.drop(spark, f"{folder}/{part}")
     out = rows.select("doc_id", "text_hash", "n", "cid").join(of_class, "cid", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -278,7 +363,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     Documents without shingles stay, and so do rows without doc_id.
     """
     folder = common.shared_dir(docs.sparkSession)
-    found = common.save(join(docs, shingle, percent), f"{folder}/found")
+    found = common.save(join(docs, shingle, percent, f"{folder}/join"), f"{folder}/found")
+    common.drop(docs.sparkSession, f"{folder}/join")
     gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
     twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()

@@ -38,11 +38,11 @@ BUCKETS = 256  # hashed previous words; bucket 0 is the text's start
 HISTORIES = BUCKETS * CLASSES * CLASSES
 BLOCK = CLASSES * 512
 #: Words whose counts are sent to every task, at most.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 STEPS = 10
 #: Ridge of each weight table: previous word, pair, and the two skips.
 RIDGE = (2.0, 8.0, 2.0, 2.0)
-_GATHER = 1 << 19
+_GATHER = 1 << 18
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> F.Column:
@@ -158,9 +158,13 @@ class Weights:
 
 
 def fit_classes(blocks: DataFrame, steps: int = STEPS, tasks: int = 8) -> Weights:
-    """Gradient steps over the gathered histories. Data and weights are of fixed size, whatever the corpus."""
+    """Gradient steps over the gathered histories. Data and weights are of fixed size, whatever the corpus.
+
+    Tasks hold neighbouring histories, so most weight rows are met by one task
+    only; each sends the rows it met.
+    """
     w = Weights()
-    parts = blocks.repartition(tasks).persist()
+    parts = blocks.repartitionByRange(tasks, "block").persist()
     sc = blocks.sparkSession.sparkContext
     try:
         for _ in range(steps):
@@ -174,19 +178,17 @@ def fit_classes(blocks: DataFrame, steps: int = STEPS, tasks: int = 8) -> Weight
                         seen = np.flatnonzero(counts.sum(1))
                         got = sent.value.gradient(i * (BLOCK // CLASSES) + seen, counts[seen])
                         sums = got if sums is None else [x + y for x, y in zip(sums, got, strict=True)]
-                if sums is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())], ["g"])
-
-            total = None
-            for (g,) in parts.mapInArrow(run, "g binary").toLocalIterator():
-                v = np.frombuffer(bytes(g), np.float32).astype(np.float64)
-                total = v if total is None else total + v
-            if total is None:
-                return w
-            at = 0
-            for p, ridge in zip(w.parts, RIDGE, strict=True):
-                g, h = total[at : at + p.size].reshape(p.shape), total[at + p.size : at + 2 * p.size].reshape(p.shape)
-                at += 2 * p.size
+                for i in range(0, len(sums or ()), 2):
+                    met = np.flatnonzero(sums[i + 1].any(1))
+                    yield pa.RecordBatch.from_arrays([pa.array([i // 2], pa.int32()), pa.array([met.astype("<i4").tobytes()], pa.binary()), pa.array([np.concatenate([sums[i][met], sums[i + 1][met]]).tobytes()], pa.binary())], ["part", "rows", "sums"])
+
+            total = [(np.zeros(s), np.zeros(s)) for s in Weights.SHAPES]
+            for part, rows, sums in parts.mapInArrow(run, "part int, rows binary, sums binary").collect():  # as many rows as the weights have, and the shared ones once a task
+                met = np.frombuffer(bytes(rows), "<i4")
+                g, h = np.frombuffer(bytes(sums), np.float32).reshape(2, len(met), CLASSES)
+                total[part][0][met] += g
+                total[part][1][met] += h
+            for p, ridge, (g, h) in zip(w.parts, RIDGE, total, strict=True):
                 # four tables move at once, so each goes a quarter of the way
                 p += np.clip(0.25 * (g - ridge * p) / (h + ridge), -1.0, 1.0).astype(np.float32)
             sent.destroy()
