@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NOW = F.lit(views.NOW).cast("timestamp")
 SQL_NOW = f"TIMESTAMP '{views.NOW}'"
 
 
+def now() -> Column:
+    """The reference time. A function, as columns cannot be made before a session is."""
+    return F.lit(views.NOW).cast("timestamp")
+
+
 class Tables:
     """Logical views and raw tables of one directory, by attribute."""
 

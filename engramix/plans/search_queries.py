@@ -11,7 +11,7 @@ from ..operators import graph as gr
 from ..operators import lifecycle as lc
 from ..operators import recall as rc
 from ..operators import search as se
-from .registry import NOW, Tables, query
+from .registry import Tables, now, query
 
 PROBE = "m000000000"
 WORDS = "of the"
@@ -103,7 +103,7 @@ def hybrid_filtered(t):
 )
 def hybrid_salience(t):
     fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en")
-    return se.with_salience(fused, t.memories, t.memory_salience, NOW).withColumn("trust", F.col("trust").cast("double"))
+    return se.with_salience(fused, t.memories, t.memory_salience, now()).withColumn("trust", F.col("trust").cast("double"))
 
 
 @query("discover_band", f"WITH {_SEARCHABLE}, {_PROBE}, {_VECTOR} SELECT id, score FROM (SELECT id, score FROM vh ORDER BY score DESC, id LIMIT 60) WHERE score BETWEEN 0.1 AND 0.4 ORDER BY score DESC, id LIMIT 20", "memories memory_embeddings")
@@ -157,12 +157,12 @@ def recall_candidates(t):
 
 @query("recall_by_salience")
 def recall_by_salience(t):
-    return rc.by_salience(t.memories, t.memory_salience, t.session_recalls, "u3", NOW, 10, explicit=["en"])
+    return rc.by_salience(t.memories, t.memory_salience, t.session_recalls, "u3", now(), 10, explicit=["en"])
 
 
 @query("session_recall_log", "SELECT session_id, memory_id, floor(epoch(min(recalled_at)))::BIGINT AS recalled_at FROM (SELECT * FROM session_recalls UNION ALL SELECT 'u3', id, $NOW FROM memories WHERE doc_id % 50 = 0) GROUP BY ALL", "memories session_recalls")
 def session_recall_log(t):
-    out = rc.record(t.session_recalls, t.memories.where("doc_id % 50 = 0"), "u3", NOW)
+    out = rc.record(t.session_recalls, t.memories.where("doc_id % 50 = 0"), "u3", now())
     return out.withColumn("recalled_at", F.unix_timestamp("recalled_at"))
 
 
@@ -193,7 +193,7 @@ def merge_tiers_min_rank(t):
 def scores(t):
     return t.memories.select(
         "id",
-        F.round(sc.recency(sc.days_between(NOW, F.col("updated_at"))), 6).alias("recency"),
+        F.round(sc.recency(sc.days_between(now(), F.col("updated_at"))), 6).alias("recency"),
         F.round(sc.access_score(F.col("access_count")), 6).alias("access"),
         sc.tier_score(F.col("knowledge_tier")).alias("tier"),
         sc.initial_stability(F.col("type_hint")).alias("initial"),
@@ -204,12 +204,12 @@ def scores(t):
 
 @query("retrievability", "SELECT memory_id, round(CASE WHEN stability <= 0 THEN 0 ELSE least(1.0, greatest(0.0, pow(1 + (19.0/81.0) * greatest(0.0, epoch($NOW - last_reinforced_at) / 86400.0) / stability, -0.5))) END, 6) AS r FROM memory_salience", "memory_salience")
 def retrievability(t):
-    return t.memory_salience.select("memory_id", F.round(sc.retrievability(F.col("stability"), sc.days_between(NOW, F.col("last_reinforced_at"))), 6).alias("r"))
+    return t.memory_salience.select("memory_id", F.round(sc.retrievability(F.col("stability"), sc.days_between(now(), F.col("last_reinforced_at"))), 6).alias("r"))
 
 
 @query("reinforce", "WITH r AS (SELECT *, least(1.0, greatest(0.0, pow(1 + (19.0/81.0) * greatest(0.0, epoch($NOW - last_reinforced_at) / 86400.0) / stability, -0.5))) AS r FROM memory_salience) SELECT memory_id, round(least(36500.0, greatest(0.1, stability * (1 + (1 - r) * 1.5))), 6) AS good, round(least(36500.0, greatest(0.1, stability * (1 + (1 - r) * 2.0))), 6) AS easy, round(least(stability * 1.15, 100.0), 6) AS recalled, round(least(36500.0, greatest(0.1, stability * 1.5)), 6) AS useful, round(least(36500.0, greatest(0.1, stability * 0.2)), 6) AS irrelevant FROM r", "memory_salience")
 def reinforce(t):
-    days, s = sc.days_between(NOW, F.col("last_reinforced_at")), F.col("stability")
+    days, s = sc.days_between(now(), F.col("last_reinforced_at")), F.col("stability")
     return t.memory_salience.select("memory_id", *[F.round(sc.reinforced(s, days, F.lit(r)), 6).alias(r) for r in ("good", "easy")], F.round(sc.recall_bump(s), 6).alias("recalled"), *[F.round(sc.feedback(s, F.col("difficulty"), F.lit(x))[0], 6).alias(x) for x in ("useful", "irrelevant")])
 
 

@@ -12,7 +12,7 @@ from ..operators import graph as gr
 from ..operators import ingest as ig
 from ..operators import lifecycle as lc
 from ..operators import search as se
-from .registry import NOW, epoch, query
+from .registry import epoch, now, query
 
 LIVE = "deleted_at IS NULL"
 
@@ -52,7 +52,7 @@ def list_next_page(t):
 
 @query("recent", f"SELECT id FROM memories WHERE {LIVE} AND created_at > $NOW - INTERVAL 3 DAY", "memories")
 def recent(t):
-    return se.live(t.memories).where(F.col("created_at") > NOW - F.expr("INTERVAL 3 DAYS")).select("id")
+    return se.live(t.memories).where(F.col("created_at") > now() - F.expr("INTERVAL 3 DAYS")).select("id")
 
 
 @query("count_matching", f"SELECT count(*) AS n FROM memories WHERE {LIVE} AND actor = 'actor1' AND audience = 'global' AND session_id = 's1'", "memories")
@@ -229,7 +229,7 @@ def relationship_contradictions(t):
 
 @query("facts_as_of", "SELECT id, value FROM entity_facts WHERE valid_from <= $NOW - INTERVAL 100 DAY AND (invalid_at IS NULL OR $NOW - INTERVAL 100 DAY < invalid_at)", "entity_facts")
 def facts_as_of(t):
-    return gr.as_of(t.entity_facts, NOW - F.expr("INTERVAL 100 DAYS")).select("id", "value")
+    return gr.as_of(t.entity_facts, now() - F.expr("INTERVAL 100 DAYS")).select("id", "value")
 
 
 @query("current_fact", "SELECT entity_id, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) AS r FROM entity_facts WHERE invalid_at IS NULL) WHERE r = 1", "entity_facts")
@@ -276,17 +276,17 @@ _SAL = "s AS (SELECT m.*, coalesce(stability, 1.0) AS stability, coalesce(reinfo
 
 @query("gc_candidates", f"WITH {_SAL} SELECT id, stability FROM s WHERE {LIVE} AND stability < 3.5 AND epoch($NOW - created_at) / 86400.0 > 30 AND NOT is_consolidated_original", "memories memory_salience")
 def gc_candidates(t):
-    return lc.gc_candidates(t.memories, t.memory_salience, NOW, 3.5).select("id", "stability")
+    return lc.gc_candidates(t.memories, t.memory_salience, now(), 3.5).select("id", "stability")
 
 
 @query("expired", f"SELECT id FROM memories WHERE {LIVE} AND expires_at < $NOW", "memories")
 def expired(t):
-    return lc.expired(t.memories, NOW).select("id")
+    return lc.expired(t.memories, now()).select("id")
 
 
 @query("purgeable", "SELECT id FROM memories WHERE epoch($NOW - deleted_at) / 86400.0 > 30", "memories")
 def purgeable(t):
-    return lc.purgeable(t.memories, NOW).select("id")
+    return lc.purgeable(t.memories, now()).select("id")
 
 
 @query("orphans", "WITH g AS (SELECT id FROM memories WHERE deleted_at IS NOT NULL) SELECT DISTINCT m.id FROM memories m, LATERAL (SELECT unnest(source_ids) AS s) x WHERE x.s IN (SELECT id FROM g)", "memories")
@@ -296,7 +296,7 @@ def orphans(t):
 
 @query("soft_delete", f"SELECT id, floor(epoch(CASE WHEN {LIVE} AND type_hint = 'fact' THEN $NOW ELSE deleted_at END))::BIGINT AS deleted_at FROM memories", "memories")
 def soft_delete(t):
-    return lc.soft_delete(t.memories, t.memories.where("type_hint = 'fact'"), NOW).select("id", epoch("deleted_at").alias("deleted_at"))
+    return lc.soft_delete(t.memories, t.memories.where("type_hint = 'fact'"), now()).select("id", epoch("deleted_at").alias("deleted_at"))
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(content)), '(?m)^[#\s]+', '', 'g'), '[*_]', '', 'g'), '(?m)^[>\s]+', '', 'g'), '`', '', 'g'), '(?m)^(?:[-+] )+', '', 'g'), '\s+', ' ', 'g'))"
@@ -320,13 +320,13 @@ def dedup_pairs(t):
 
 @query("curation_candidates", f"WITH {_SAL} SELECT id, stability FROM s WHERE {LIVE} AND NOT is_consolidated_original AND created_at > $NOW - INTERVAL 20 DAY", "memories memory_salience")
 def curation_candidates(t):
-    return lc.curation_candidates(t.memories, t.memory_salience, NOW - F.expr("INTERVAL 20 DAYS"), None).select("id", "stability")
+    return lc.curation_candidates(t.memories, t.memory_salience, now() - F.expr("INTERVAL 20 DAYS"), None).select("id", "stability")
 
 
 @query("curation_review", f"WITH {_SAL} SELECT id, CASE WHEN stability < 2.0 AND floor(epoch($NOW - created_at) / 86400.0) > 30 AND (reinforcement_count = 0 OR last_reinforced_at IS NULL OR floor(epoch($NOW - last_reinforced_at) / 86400.0) > 30) THEN 'stale' WHEN reinforcement_count >= 3 AND stability < 5.0 THEN 'strengthen' ELSE 'skip' END AS action FROM s WHERE NOT regexp_matches(coalesce(content, ''), '(?i)disregard|you must|system *:|act as|ignore|override|forget|always|never|new instruction|you are now')", "memories memory_salience")
 def curation_review(t):
     rows = lc.with_salience(t.memories, t.memory_salience).where(~F.coalesce("content", F.lit("")).rlike("(?i)disregard|you must|system *:|act as|ignore|override|forget|always|never|new instruction|you are now"))
-    return lc.review(rows, NOW, 2.0)
+    return lc.review(rows, now(), 2.0)
 
 
 @query("curation_caps", "WITH a AS (SELECT id, type_hint AS action, row_number() OVER (PARTITION BY type_hint ORDER BY id) AS p FROM memories) SELECT id, action FROM a WHERE p <= CASE action WHEN 'fact' THEN 20 WHEN 'decision' THEN 50 ELSE p END", "memories")
@@ -336,7 +336,7 @@ def curation_caps(t):
 
 @query("curation_priority", "SELECT id, CASE WHEN trust_level <= 0.3 AND greatest(0.0, epoch($NOW - created_at)) / 60.0 < 60 THEN 1 WHEN trust_level <= 0.7 THEN 2 ELSE 3 END AS priority FROM memories", "memories")
 def curation_priority(t):
-    return t.memories.select("id", sc.priority(F.col("trust_level"), sc.days_between(NOW, F.col("created_at")) * 1440).alias("priority"))
+    return t.memories.select("id", sc.priority(F.col("trust_level"), sc.days_between(now(), F.col("created_at")) * 1440).alias("priority"))
 
 
 @query("greedy_clusters")
@@ -393,7 +393,7 @@ def side_effects(t):
 @query("trust_history", "SELECT id, CASE WHEN doc_id % 100 = 0 THEN 0.05 ELSE trust_level END::DOUBLE AS trust_level, CASE WHEN doc_id % 100 = 0 THEN 1 ELSE 0 END AS changes FROM memories", "memories")
 def trust_history(t):
     changes = t.memories.where("doc_id % 100 = 0").select("id", F.lit(0.05).alias("new_trust"), F.lit("quarantined").alias("reason"))
-    out = lc.set_trust(t.memories, changes, NOW)
+    out = lc.set_trust(t.memories, changes, now())
     return out.select("id", F.col("trust_level").cast("double").alias("trust_level"), F.size("trust_history").alias("changes"))
 
 
@@ -401,7 +401,7 @@ def trust_history(t):
 def unquarantine(t):
     hidden = t.memories.where(se.has_any(F.col("tags"), se.NOT_SHOWN) & (F.col("doc_id") % 2 == 0))
     changes = hidden.select("id", F.lit(0.05).alias("new_trust"), F.lit("auto: quarantined").alias("reason"))
-    quarantined = lc.set_trust(t.memories, changes, NOW)
+    quarantined = lc.set_trust(t.memories, changes, now())
     out = lc.unquarantine(quarantined)
     return out.select("id", F.col("trust_level").cast("double").alias("trust_level"), F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n_tags"))
 
@@ -422,7 +422,7 @@ def touch(t):
 
 @query("close_relationships", "SELECT id, invalid_at IS NOT NULL OR id IN ('cn1', 'cn2') AS closed FROM relationships", "relationships")
 def close_relationships(t):
-    return gr.close(t.relationships, ["cn1", "cn2"], NOW).select("id", F.col("invalid_at").isNotNull().alias("closed"))
+    return gr.close(t.relationships, ["cn1", "cn2"], now()).select("id", F.col("invalid_at").isNotNull().alias("closed"))
 
 
 # ---------------------------------------------------------------- ingest and text
@@ -447,8 +447,8 @@ def first_in_window(t):
 @query("idempotent_store", "WITH n AS (SELECT sha256(concat(printf('%08x', strlen(source)), source, printf('%08x', strlen(content)), content)) AS k, doc_id FROM memories WHERE content IS NOT NULL AND source IS NOT NULL) SELECT k AS idempotency_key, count(*) AS n FROM n WHERE doc_id % 2 = 0 AND k NOT IN (SELECT k FROM n WHERE doc_id % 4 = 1) GROUP BY 1", "memories")
 def idempotent_store(t):
     rows = t.memories.where("content is not null and source is not null").withColumn("idempotency_key", tx.idempotency_key(F.col("source"), F.col("content")))
-    keys = rows.where("doc_id % 4 = 1").select("idempotency_key", F.col("id").alias("memory_id"), (NOW + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
-    new, _ = ig.idempotent(rows.where("doc_id % 2 = 0"), keys, NOW)
+    keys = rows.where("doc_id % 4 = 1").select("idempotency_key", F.col("id").alias("memory_id"), (now() + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    new, _ = ig.idempotent(rows.where("doc_id % 2 = 0"), keys, now())
     return new.groupBy("idempotency_key").agg(F.count("*").alias("n"))
 
 
@@ -484,7 +484,7 @@ def secrets_screened(t):
 @query("event_times", "SELECT conv_id, turn, CASE WHEN regexp_matches(c, '(?i)\\bin\\s+the\\s+(\\d{2})s\\b') THEN 'decade' WHEN regexp_matches(c, '(?i)\\blast\\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b') THEN 'day' ELSE 'year' END AS precision, CASE WHEN turn % 3 = 0 THEN '1990-01-01' WHEN turn % 3 = 1 THEN '2024-01-30' ELSE concat(2000 + turn % 20, '-01-01') END AS day FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'It was in the 90s' WHEN 1 THEN 'We met last Tuesday' ELSE concat('Moved in ', 2000 + turn % 20) END AS c FROM messages)", "messages")
 def event_times(t):
     c = F.when(F.col("turn") % 3 == 0, "It was in the 90s").when(F.col("turn") % 3 == 1, "We met last Tuesday").otherwise(F.concat(F.lit("Moved in "), (2000 + F.col("turn") % 20).cast("string")))
-    e = tx.event_time(c, NOW)
+    e = tx.event_time(c, now())
     return t.messages.select("conv_id", "turn", e["precision"].alias("precision"), F.date_format(e["time"], "yyyy-MM-dd").alias("day"))
 
 
