@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -170,8 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
-    # k rows a query and shard meet here; the exact score decides
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(best.alias("best"))
-    out = found.select("query_id", F.posexplode("best").alias("at", "b"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    # k rows a query and shard meet here; each task keeps its own k of a query before they are dealt by query
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
