@@ -163,16 +163,15 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.join(twice, "token")
 
 
-def _lists(postings: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Posting lists with ``most``, the overlap a set can reach at most.
+def _lists(postings: DataFrame, folder: str) -> DataFrame:
+    """Posting lists with ``most``, the shingles of a set less those of its prefix that no other set posts.
 
-    A prefix shingle that no other set posts is in no other set's reach, so it
-    comes off; a set that cannot reach its least overlap any more is dropped.
+    It only ranks hubs. It is no bound of the overlap: a partner may hold such a
+    shingle beyond its own prefix.
     """
     lists = common.save(_shared(postings).dropDuplicates(["token", "cid"]), f"{folder}/shared")
-    reach = lists.groupBy("cid").agg((F.first("n") - F.first("prefix") + F.count("*")).alias("most"), F.first("n").alias("_n"))
-    reach = reach.where(100 * F.col("most") >= percent * F.col("_n")).select("cid", "most")
-    return common.save(_shared(lists.join(reach, "cid")), f"{folder}/lists")
+    most = lists.groupBy("cid").agg((F.first("n") - F.first("prefix") + F.count("*")).alias("most"))
+    return common.save(lists.join(most, "cid"), f"{folder}/lists")
 
 
 def _may_link(percent: int):
@@ -247,11 +246,11 @@ def _meet(percent: int):
 
     Rows come sorted by block. All lists of a stretch are paired at once: row i
     with row i + 1, then with row i + 2, and so on while both are in one block.
-    Only pairs that pass sizes, reach and bitmaps leave the task.
+    Only pairs that pass sizes and bitmaps leave the task.
     """
 
     def pairs(cols):
-        gid, cid, n, k, small, most, comp, half, cross, bits = cols
+        gid, cid, n, k, small, comp, half, cross, bits = cols
         out = [[], [], []]
         at, d = np.arange(len(gid)), 0
         while True:
@@ -263,7 +262,6 @@ def _meet(percent: int):
             x, y = at, at + d
             keep = (comp[x] != comp[y]) & (~cross[x] | (half[x] != half[y]))
             keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            keep &= (100 + percent) * np.minimum(most[x], most[y]) >= percent * (n[x] + n[y])
             keep &= np.where((n[x] < n[y]) | ((n[x] == n[y]) & (cid[x] < cid[y])), small[x], small[y])
             x, y = x[keep], y[keep]
             if len(x):
@@ -282,7 +280,7 @@ def _meet(percent: int):
         new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         data, _ = common.utf8(b.column(b.schema.get_field_index("bits")))
         bits = np.frombuffer(data.tobytes(), np.uint64).reshape(len(token), -1)
-        return new, [np.cumsum(new), num("cid"), num("n").astype(np.int64), num("k").astype(np.int64), num("small"), num("most").astype(np.int64), num("comp"), num("half"), lo != hi, bits]
+        return new, [np.cumsum(new), num("cid"), num("n").astype(np.int64), num("k").astype(np.int64), num("small"), num("comp"), num("half"), lo != hi, bits]
 
     def run(batches):
         held = None
@@ -311,12 +309,12 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
     LIST_PART is dealt into parts, and every two parts meet in a task of their
     own, so no task holds more than two parts of a list.
     """
-    own = lists.join(labels, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "k", "small", "most", F.coalesce("component", "cid").alias("comp"))
+    own = lists.join(labels, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "k", "small", F.coalesce("component", "cid").alias("comp"))
     several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
     several = several.select("token", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
     rows = own.join(several, "token").join(classes.select("cid", "bits"), "cid").withColumn("half", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "cid", "n", "k", "small", "most", "comp", "half", "bits")
+    rows = rows.select("token", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "cid", "n", "k", "small", "comp", "half", "bits")
     met = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(percent), "p long, q long, k long")
     return met.groupBy("p", "q").agg(F.count("*").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("p", "q")
 
@@ -340,7 +338,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, folder: str | Non
     sketch = spark.sparkContext.broadcast(counts)
 
     postings = common.save(_postings(docs, sketch, shingle, percent), f"{folder}/postings")
-    lists = _lists(postings, percent, folder)
+    lists = _lists(postings, folder)
     common.drop(spark, f"{folder}/postings")
 
     near = _verify(_to_hubs(lists, percent), classes, docs, shingle, percent, f"{folder}/hubs")

@@ -54,6 +54,23 @@ def test_dense_group_of_near_copies(spark, words):
     assert sorted(map(tuple, got)) == sorted(brute(rows, words, 3, 90))
 
 
+@pytest.mark.parametrize(("k", "percent", "sizes"), [(3, 90, [(100, 11)]), (5, 80, [(100, 25)]), (3, 90, [(n, n // 9 - j) for n in (50, 100, 180, 300) for j in (0, 1, 2)]), (5, 80, [(n, n // 4 - j) for n in (40, 100, 200) for j in (-1, 0, 1)])])
+def test_inserted_and_deleted_passages(spark, words, k, percent, sizes):
+    """Copies near the threshold that differ by a passage only one of the two has."""
+    rows = []
+    for g, (n, more) in enumerate(sizes):
+        text = [f"g{g}t{i}" for i in range(n + k - 1)]
+        added = [f"g{g}e{i}" for i in range(more)]
+        half = len(text) // 2
+        rows += [(10 * g, " ".join(text)), (10 * g + 1, " ".join(text + added))]
+        if len(sizes) > 1:
+            rows += [(10 * g + 2, " ".join(text[:half] + added[: max(1, more - 2 * k)] + text[half:])), (10 * g + 3, " ".join(text[: half - 2] + text[half + 2 :]))]
+    got = jj.join(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute(rows, words, k, percent)
+    assert len({c for _, _, c in want}) < len(rows)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_keep_one(docs):
     kept = jj.keep_one(docs, 3, 90)
     assert kept.columns == docs.columns
