@@ -3,17 +3,15 @@
 Two models, of toxic and of ordinary text, count expressions as Kneser-Ney lower
 orders do: by the number of distinct contexts they were seen in, not by
 occurrences, so a passage copied many times counts once. A word pair backs off
-to the class's words with a weight both classes share, and a word backs off to
-the counts that *both* classes share. A rare expression, or one of a single
-copied text, is thus left to the shared part and says nothing either way; one
-that is met in many contexts of one class alone says much.
-
-A text is scored by its log-likelihoods under both models, word by word. The
-text's own median difference is taken off as background (a language that is
-rarer in one class's sample shifts every word alike), and what exceeds the
-background by ``MARGIN`` is normalised by length. A logistic curve over that and
-the strongest single difference, fitted on labelled documents kept out of the
-counts, gives the probability.
+to the class's words, and a word backs off to the counts that *both* classes
+share. The model that met a word pair in few contexts leaves most of it to the
+shared part.
+
+A text is scored by the difference of its two log-likelihoods a word: every word
+of every text counts, whatever its ratio and the text's length. A logistic curve
+over that and two more features, fitted on labelled documents kept out of the
+counts, gives the probability. The two, the part above ``MARGIN`` a word and the
+strongest single difference, see only what was met in several contexts.
 
 Training takes a bounded sample of labelled rows: at most ``per_class`` a class,
 and as many of either, by a hash of doc_id. It is the only bound; every document
@@ -56,23 +54,49 @@ def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, common.mix(prev * _PAIR + h), w.docs
 
 
-#: Difference in log10 probability, over the text's background, from which a word counts.
+#: Difference in log10 probability from which a word counts in the second feature too.
 MARGIN = 1.5
-#: Contexts taken off every count of a word and of a pair; what is seen in fewer says nothing.
-DISCOUNT = 1.5
-PAIR_DISCOUNT = 6.0
+#: Contexts taken off every count of a word and of a pair.
+DISCOUNT = 0.75
+#: The same for the features besides the log-likelihoods, which see only what is met in several contexts.
+FIRM = 1.5
+FIRM_PAIR = 6.0
+
+
+def _look(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other) -> np.ndarray:
+    """values of h's keys, ``other`` where there is none."""
+    if not len(keys):
+        return np.zeros(len(h)) + other
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], other)
+
+
+def _backed_off(n: np.ndarray, shared: np.ndarray, discount: float) -> tuple[np.ndarray, list[float]]:
+    """Either class's probabilities of the words, and its weights of the shared part."""
+    p, back = np.empty(n.shape), []
+    for c in (0, 1):
+        taken = np.minimum(n[c], discount)
+        total = n[c].sum()
+        back.append(taken.sum() / total if total else 1.0)
+        p[c] = (n[c] - taken) / max(1.0, total) + back[c] * shared
+    return p, back
 
 
 @dataclass
 class Model:
-    """Count tables by sorted hash keys; both classes (ordinary, toxic) side by side."""
+    """Tables by sorted hash keys of log10 ratios, toxic over ordinary."""
 
     words: np.ndarray
-    word_p: np.ndarray  # 2 x words: a class's probability of a word
-    unknown_p: float
+    word_r: np.ndarray  # of the probabilities of a word
+    unknown_r: float  # of a word in neither class
+    contexts: np.ndarray
+    back_r: np.ndarray  # of the weights with which a first word backs off
     pairs: np.ndarray
-    pair_p: np.ndarray  # 2 x pairs: a class's probability of the pair's second word after the first
-    slope: np.ndarray  # logistic weights: constant, normalised excess, strongest difference
+    pair_r: np.ndarray  # of the probabilities of the pair's second word after the first
+    firm_r: np.ndarray  # as word_r, under FIRM
+    firm_pairs: np.ndarray  # the pairs met in more than FIRM_PAIR contexts of a class
+    firm_pair_r: np.ndarray
+    slope: np.ndarray  # logistic weights: constant, difference a word, excess a word, strongest difference
 
     @staticmethod
     def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
@@ -108,50 +132,51 @@ class Model:
         shared = np.maximum(both - 0.75, 0) / max(1.0, both.sum())
         even = (1 - shared.sum()) / (v + 1)
         shared, unknown = shared + even, even
-        word_p = np.empty((2, v))
-        back = []
+        word_p, back = _backed_off(n, shared, d)
+        firm_p, _ = _backed_off(n, shared, FIRM)
+        # pairs: discounted share of the first word's pairs, the rest by the second word alone
+        contexts, ctx = np.unique(prev[at], return_inverse=True)
+        pair_p, weight = np.empty((2, len(pairs))), np.ones((2, len(contexts)))
         for c in (0, 1):
-            taken = np.minimum(n[c], d)
-            total = n[c].sum()
-            back.append(taken.sum() / total if total else 1.0)
-            word_p[c] = (n[c] - taken) / max(1.0, total) + back[c] * shared
-        # pairs: share of the first word's pairs, mixed with a weight the classes share
-        prev_of = prev[at]
-        _, ctx = np.unique(prev_of, return_inverse=True)
-        kept = np.maximum(m - PAIR_DISCOUNT, 0)
-        contexts = ctx.max() + 1 if len(ctx) else 0
-        everything = np.bincount(ctx, weights=m.sum(0), minlength=contexts)
-        left = np.bincount(ctx, weights=kept.sum(0), minlength=contexts)
-        weight = (left / np.maximum(everything, 1))[ctx]
-        pair_p = np.empty((2, len(pairs)))
+            total = np.bincount(ctx, weights=m[c], minlength=len(contexts))
+            taken = np.bincount(ctx, weights=np.minimum(m[c], d), minlength=len(contexts))
+            weight[c] = np.where(total > 0, taken / np.maximum(total, 1), 1.0)  # a first word the class never met backs off whole
+            pair_p[c] = np.maximum(m[c] - d, 0) / np.maximum(total, 1)[ctx] + weight[c][ctx] * word_p[c][word[at]]
+        # the firm pairs mix with the word by a weight both classes share
+        kept = np.maximum(m - FIRM_PAIR, 0)
+        everything, left = (np.bincount(ctx, weights=x.sum(0), minlength=len(contexts)) for x in (m, kept))
+        share = (left / np.maximum(everything, 1))[ctx]
+        firm_pair_p = np.empty((2, len(pairs)))
         for c in (0, 1):
-            own = np.bincount(ctx, weights=kept[c], minlength=contexts)[ctx]
-            base = word_p[c][word[at]]
-            pair_p[c] = np.where(own > 0, weight * kept[c] / np.maximum(own, 1e-9) + (1 - weight) * base, base)
-        told = (kept > 0).any(0)  # the rest is what the words alone say
-        return Model(vocab, word_p, float(min(back) * unknown), pairs[told], pair_p[:, told], np.zeros(3))
+            own, base = np.bincount(ctx, weights=kept[c], minlength=len(contexts))[ctx], firm_p[c][word[at]]
+            firm_pair_p[c] = np.where(own > 0, share * kept[c] / np.maximum(own, 1e-9) + (1 - share) * base, base)
+        told = (kept > 0).any(0)
+        ratio = lambda p: np.log10(p[1] / p[0])
+        return Model(vocab, ratio(word_p), float(np.log10(back[1] / back[0])), contexts, ratio(weight), pairs, ratio(pair_p).astype(np.float32), ratio(firm_p), pairs[told], ratio(firm_pair_p[:, told]), np.zeros(4))
 
     def differences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of toxic over ordinary probability of every word, and the texts' bounds."""
+        """log10 of toxic over ordinary probability of every word after the one before it, and the texts' bounds."""
         h, g, docs = _grams(col)
-        out = np.zeros(len(h))
-        if len(h) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            ratio = np.log10(self.word_p[1] / self.word_p[0])
-            out = np.where(self.words[at] == h, ratio[at], 0.0)  # a word neither knows is as likely in both
-        if len(h) and len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
-            out = np.where(self.pairs[at] == g, np.log10(self.pair_p[1] / self.pair_p[0])[at], out)
-        return out, docs
+        prev = np.zeros(len(h), np.uint64)
+        prev[1:] = h[:-1]
+        prev[docs[:-1][docs[:-1] < len(h)]] = 0
+        backed = _look(self.words, self.word_r, h, self.unknown_r) + _look(self.contexts, self.back_r, prev, 0.0)
+        return _look(self.pairs, self.pair_r, g, backed), docs
+
+    def firm(self, col: pa.Array) -> np.ndarray:
+        """Such differences of the words and pairs that are met in several contexts; 0 for others."""
+        h, g, _ = _grams(col)
+        return _look(self.firm_pairs, self.firm_pair_r, g, _look(self.words, self.firm_r, h, 0.0))
 
     def compare(self, col: pa.Array) -> np.ndarray:
-        """Per text: excess over its background per word, and the strongest difference."""
+        """Per text: difference of the log-likelihoods a word, firm differences above MARGIN a word, and the strongest one."""
         d, docs = self.differences(col)
-        out = np.zeros((len(docs) - 1, 2))
+        firm = self.firm(col)
+        out = np.zeros((len(docs) - 1, 3))
         for i, (a, b) in enumerate(zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)):
             if b > a:
-                x = d[a:b] - (np.median(d[a:b]) if b - a >= 8 else 0.0)
-                out[i] = np.maximum(x - MARGIN, 0).sum() / (b - a), x.max()
+                x = firm[a:b]
+                out[i] = d[a:b].mean(), np.maximum(x - MARGIN, 0).mean(), x.max()
         return out
 
     def score(self, col: pa.Array) -> np.ndarray:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from engramix.llm import toxicity as tx
@@ -39,3 +41,49 @@ def test_odd_rows(spark, docs, no_docs):
     assert tx.score(no_docs, model).collect() == []
     none = tx.train(some, labels.limit(0))
     assert len({r.score for r in tx.score(docs, none).collect()}) == 1
+
+
+def accuracy(ordinary, toxic):
+    """Share of 300 texts that a model of 600 others tells right; every third is toxic."""
+    rng = random.Random(4)
+    label = np.arange(900) % 3 == 0
+    texts = [" ".join(toxic(rng) if t else ordinary(rng)) for t in label]
+    shuffled = rng.sample(range(900), 900)
+    own, check = shuffled[:600], shuffled[600:]
+    model = tx.Model.fit([texts[i] for i in own], label[own], 1 / 3)
+    got = model.score(pa.array([texts[i] for i in check], pa.large_string())) >= 0.5
+    return (got == label[check]).mean()
+
+
+def test_mild_differences_add_up():
+    """Toxic texts have some words twice as often and others half as often."""
+
+    def drawn(rng, shares):
+        return [f"{g}{rng.randrange(400)}" for g in rng.choices("abc", shares, k=120)]  # so many words that contexts do not run out
+
+    assert accuracy(lambda rng: drawn(rng, (1, 2, 2)), lambda rng: drawn(rng, (2, 1, 2))) > 0.9
+
+
+def test_pairs_of_ordinary_words():
+    """Two words that are as common in both classes insult only side by side, each pair in few texts."""
+
+    def placed(rng, *parts):
+        w = [[f"w{rng.randrange(40)}"] for _ in range(20)]
+        for at, part in zip(sorted(rng.sample(range(1, 20), len(parts)), reverse=True), parts, strict=True):
+            w[at:at] = [part, [f"w{rng.randrange(40)}"]]
+        return [x for part in w for x in part]
+
+    def toxic(rng):
+        i = rng.randrange(30)
+        return placed(rng, [f"p{i}", f"q{i}"])
+
+    assert accuracy(lambda rng: placed(rng, [f"p{rng.randrange(30)}"], [f"q{rng.randrange(30)}"]), toxic) > 0.9
+
+
+def test_full_likelihood_of_every_length():
+    """A word says the same in a text of one word as in one of thirty."""
+    texts = ["a b c d", "a b c e", "a f g d", "x b c y", "x f g y", "x b g y"]
+    model = tx.Model.count(texts, np.array([False] * 3 + [True] * 3))
+    one = model.compare(pa.array(["y"], pa.large_string()))[0, 0]
+    long = model.differences(pa.array(["y " * 30], pa.large_string()))[0]
+    assert one > 0 and model.compare(pa.array(["y " * 30], pa.large_string()))[0, 0] == long.mean()
