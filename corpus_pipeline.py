@@ -47,7 +47,7 @@ STAGES = [
     ("token files", write_tokens),
 ]
 
-#: No stage but the last two has an SQL form; the pipeline is tested against a brute-force version.
+#: No stage but the last two has an SQL form. The stages have tests of their own in tests/llm; the chain has none.
 ORACLE_SQL = None
 
 
