@@ -2,26 +2,29 @@
 
 Two models, of toxic and of ordinary text, count expressions as Kneser-Ney lower
 orders do: by the number of distinct contexts they were seen in, not by
-occurrences, so a passage copied many times counts once. A word pair backs off
-to the class's words, and a word backs off to the counts that *both* classes
-share. The model that met a word pair in few contexts leaves most of it to the
-shared part.
-
-A text is scored by the difference of its two log-likelihoods a word: every word
-of every text counts, whatever its ratio and the text's length. A logistic curve
-over that and two more features, fitted on labelled documents kept out of the
-counts, gives the probability. The two, the part above ``MARGIN`` a word and the
-strongest single difference, see only what was met in several contexts.
-
-Training takes a bounded sample of labelled rows: at most ``per_class`` a class,
-and as many of either, by a hash of doc_id. It is the only bound; every document
-is scored whole.
+occurrences, so a passage copied many times counts once. A word pair counts the
+words before it, a word the words before it, and the last level, which *both*
+classes share, the classes that have the word at all. An expression that was met
+rarely keeps little after the discount and is told by the shared counts, which
+say the same for both classes. How much a first word leaves to backing off is
+counted over both classes too, so its evenness is no evidence.
+
+A text is scored by the difference of its two log-likelihoods, normalised by
+length: over the whole text, and over the passage of 2, 4, 8 and 16 words in
+which the difference is largest (a shorter text is its own passage). All words
+of all texts count. A logistic curve over those differences, fitted on labelled
+documents kept out of the counts, gives the probability.
+
+Training takes a bounded sample of labelled rows: at most ``per_class``
+documents a class, and as many of either, by a hash of doc_id. Contexts are
+counted by Spark; only the finished tables, at most ``MOST_WORDS`` words and
+``MOST_PAIRS`` pairs, come to the driver. Every document is scored whole.
 
 Defined results: null and empty texts have no words and get the curve's value at
 no difference; null labels are unlabelled; documents with several labels count
-by the largest; rows that repeat a doc_id are scored each; if a class has no
-labelled rows, no text differs and all score the same; other columns are
-ignored.
+by the largest; rows that repeat a doc_id are scored each, and the least of
+their texts is learnt; if a class has no labelled rows, no text differs and all
+score the same; other columns are ignored, one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +39,13 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CLASS = 3000
+#: Contexts taken off every count.
+DISCOUNT = 0.75
+#: Words in the passages compared, besides the whole text.
+PASSAGES = (2, 4, 8, 16)
+#: Entries of the tables sent to tasks, the most frequent ones. Far above what PER_CLASS documents of usual length hold.
+MOST_WORDS = 1 << 20
+MOST_PAIRS = 1 << 22
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,23 +54,22 @@ def held_out() -> F.Column:
 
 
 def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, hashes of (previous word, word) with a start mark, and the words' documents' bounds."""
+    """Of all words of a block of texts: the hash, that of the word before (0 at the start), and the texts' bounds."""
     w = common.words(col, common.ALNUM)
     h = w.hashes
-    prev = np.zeros(len(h), np.uint64)
+    return h, _before(h, w.docs), w.docs
+
+
+def _before(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), np.uint64)
     if len(h):
-        prev[1:] = h[:-1]
-        prev[w.docs[:-1][w.docs[:-1] < len(h)]] = 0
-    return h, common.mix(prev * _PAIR + h), w.docs
+        out[1:] = h[:-1]
+        out[docs[:-1][docs[:-1] < len(h)]] = 0
+    return out
 
 
-#: Difference in log10 probability from which a word counts in the second feature too.
-MARGIN = 1.5
-#: Contexts taken off every count of a word and of a pair.
-DISCOUNT = 0.75
-#: The same for the features besides the log-likelihoods, which see only what is met in several contexts.
-FIRM = 1.5
-FIRM_PAIR = 6.0
+def _pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return common.mix(prev * _PAIR + word)
 
 
 def _look(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other) -> np.ndarray:
@@ -71,17 +80,6 @@ def _look(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other) -> np.ndar
     return np.where(keys[at] == h, values[at], other)
 
 
-def _backed_off(n: np.ndarray, shared: np.ndarray, discount: float) -> tuple[np.ndarray, list[float]]:
-    """Either class's probabilities of the words, and its weights of the shared part."""
-    p, back = np.empty(n.shape), []
-    for c in (0, 1):
-        taken = np.minimum(n[c], discount)
-        total = n[c].sum()
-        back.append(taken.sum() / total if total else 1.0)
-        p[c] = (n[c] - taken) / max(1.0, total) + back[c] * shared
-    return p, back
-
-
 @dataclass
 class Model:
     """Tables by sorted hash keys of log10 ratios, toxic over ordinary."""
@@ -89,94 +87,33 @@ class Model:
     words: np.ndarray
     word_r: np.ndarray  # of the probabilities of a word
     unknown_r: float  # of a word in neither class
-    contexts: np.ndarray
-    back_r: np.ndarray  # of the weights with which a first word backs off
     pairs: np.ndarray
     pair_r: np.ndarray  # of the probabilities of the pair's second word after the first
-    firm_r: np.ndarray  # as word_r, under FIRM
-    firm_pairs: np.ndarray  # the pairs met in more than FIRM_PAIR contexts of a class
-    firm_pair_r: np.ndarray
-    slope: np.ndarray  # logistic weights: constant, difference a word, excess a word, strongest difference
-
-    @staticmethod
-    def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
-        """A third of the texts is left for the curve; there the classes weigh by ``share``, that of toxic rows among all labelled."""
-        own = [i for i in range(len(texts)) if i % 3]
-        check = [i for i in range(len(texts)) if i % 3 == 0]
-        model = Model.count([texts[i] for i in own], toxic[own])
-        if len(check):
-            model.slope = _logistic(model.compare(pa.array([texts[i] for i in check], pa.large_string())), toxic[check].astype(float), share)
-        return model
-
-    @staticmethod
-    def count(texts: list[str], toxic: np.ndarray) -> Model:
-        h, g, docs = _grams(pa.array(texts, pa.large_string()))
-        label = np.repeat(toxic, np.diff(docs)).astype(np.int64)
-        first = np.zeros(len(h), bool)
-        first[docs[:-1][docs[:-1] < len(h)]] = True
-        prev = np.zeros(len(h), np.uint64)
-        prev[1:] = np.where(first[1:], np.uint64(0), h[:-1])
-        earlier = np.zeros(len(h), np.uint64)
-        earlier[1:] = np.where(first[1:], np.uint64(0), prev[:-1])
-        vocab, word = np.unique(h, return_inverse=True)
-        pairs, at, pair = np.unique(g, return_index=True, return_inverse=True)
-        v, d = len(vocab), DISCOUNT
-        n, m = np.empty((2, v)), np.empty((2, len(pairs)))
-        for c in (0, 1):
-            own = label == c
-            _, once = np.unique(g[own], return_index=True)  # contexts of a word: words before it
-            n[c] = np.bincount(word[own][once], minlength=v)
-            _, once = np.unique(common.mix(earlier[own] * _PAIR + g[own]), return_index=True)  # of a pair: words before the pair
-            m[c] = np.bincount(pair[own][once], minlength=len(pairs))
-        both = 2 * np.minimum(n[0], n[1]) + np.minimum(n[0] + n[1], 2)
-        shared = np.maximum(both - 0.75, 0) / max(1.0, both.sum())
-        even = (1 - shared.sum()) / (v + 1)
-        shared, unknown = shared + even, even
-        word_p, back = _backed_off(n, shared, d)
-        firm_p, _ = _backed_off(n, shared, FIRM)
-        # pairs: discounted share of the first word's pairs, the rest by the second word alone
-        contexts, ctx = np.unique(prev[at], return_inverse=True)
-        pair_p, weight = np.empty((2, len(pairs))), np.ones((2, len(contexts)))
-        for c in (0, 1):
-            total = np.bincount(ctx, weights=m[c], minlength=len(contexts))
-            taken = np.bincount(ctx, weights=np.minimum(m[c], d), minlength=len(contexts))
-            weight[c] = np.where(total > 0, taken / np.maximum(total, 1), 1.0)  # a first word the class never met backs off whole
-            pair_p[c] = np.maximum(m[c] - d, 0) / np.maximum(total, 1)[ctx] + weight[c][ctx] * word_p[c][word[at]]
-        # the firm pairs mix with the word by a weight both classes share
-        kept = np.maximum(m - FIRM_PAIR, 0)
-        everything, left = (np.bincount(ctx, weights=x.sum(0), minlength=len(contexts)) for x in (m, kept))
-        share = (left / np.maximum(everything, 1))[ctx]
-        firm_pair_p = np.empty((2, len(pairs)))
-        for c in (0, 1):
-            own, base = np.bincount(ctx, weights=kept[c], minlength=len(contexts))[ctx], firm_p[c][word[at]]
-            firm_pair_p[c] = np.where(own > 0, share * kept[c] / np.maximum(own, 1e-9) + (1 - share) * base, base)
-        told = (kept > 0).any(0)
-        ratio = lambda p: np.log10(p[1] / p[0])
-        return Model(vocab, ratio(word_p), float(np.log10(back[1] / back[0])), contexts, ratio(weight), pairs, ratio(pair_p).astype(np.float32), ratio(firm_p), pairs[told], ratio(firm_pair_p[:, told]), np.zeros(4))
+    slope: np.ndarray  # logistic weights: constant, whole text, passages
 
     def differences(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """log10 of toxic over ordinary probability of every word after the one before it, and the texts' bounds."""
-        h, g, docs = _grams(col)
-        prev = np.zeros(len(h), np.uint64)
-        prev[1:] = h[:-1]
-        prev[docs[:-1][docs[:-1] < len(h)]] = 0
-        backed = _look(self.words, self.word_r, h, self.unknown_r) + _look(self.contexts, self.back_r, prev, 0.0)
-        return _look(self.pairs, self.pair_r, g, backed), docs
-
-    def firm(self, col: pa.Array) -> np.ndarray:
-        """Such differences of the words and pairs that are met in several contexts; 0 for others."""
-        h, g, _ = _grams(col)
-        return _look(self.firm_pairs, self.firm_pair_r, g, _look(self.words, self.firm_r, h, 0.0))
+        h, prev, docs = _grams(col)
+        # an unseen pair backs off with the same weight in both classes, so the word's ratio stays
+        return _look(self.pairs, self.pair_r, _pair_key(prev, h), _look(self.words, self.word_r, h, self.unknown_r)), docs
 
     def compare(self, col: pa.Array) -> np.ndarray:
-        """Per text: difference of the log-likelihoods a word, firm differences above MARGIN a word, and the strongest one."""
+        """Per text: difference of the log-likelihoods a word, of the text and of its strongest passages."""
         d, docs = self.differences(col)
-        firm = self.firm(col)
-        out = np.zeros((len(docs) - 1, 3))
-        for i, (a, b) in enumerate(zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)):
-            if b > a:
-                x = firm[a:b]
-                out[i] = d[a:b].mean(), np.maximum(x - MARGIN, 0).mean(), x.max()
+        out = np.zeros((len(docs) - 1, 1 + len(PASSAGES)))
+        own = np.flatnonzero(np.diff(docs))
+        if not len(own):
+            return out
+        first, n = docs[own], np.diff(docs)[own]
+        total = np.concatenate([[0.0], np.cumsum(d)])
+        mean = (total[first + n] - total[first]) / n
+        out[own, 0] = mean
+        last = np.repeat(docs[own + 1], n)  # where each word's text ends
+        for j, size in enumerate(PASSAGES, 1):
+            ends = np.arange(len(d)) + size
+            inside = ends <= last
+            s = np.where(inside, total[np.minimum(ends, len(d))] - total[:-1], -np.inf)
+            out[own, j] = np.where(n >= size, np.maximum.reduceat(s, first) / size, mean)
         return out
 
     def score(self, col: pa.Array) -> np.ndarray:
@@ -185,7 +122,7 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Logistic regression by damped Newton steps with a small ridge on scaled features."""
+    """Logistic regression by damped Newton steps with a small ridge on scaled features; classes weigh by ``share``, that of toxic rows."""
     scale = np.maximum(x.std(0), 1e-9)
     a = np.column_stack([np.ones(len(x)), x / scale])
     pull = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -201,6 +138,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return np.array([b[0], *(b[1:] / scale)])
 
 
+# ---------------------------------------------------------------- counting
+
+
+def contexts(texts: DataFrame) -> DataFrame:
+    """(prev, word, m0, m1) from (toxic, text): in how many contexts each pair occurs in ordinary and in toxic text."""
+
+    def run(batches):
+        for batch in batches:
+            for b in common.blocks(batch, "text"):
+                h, prev, docs = _grams(b.column(1))
+                toxic = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(toxic), common.as_long(_before(prev, docs)), common.as_long(prev), common.as_long(h)], ["toxic", "earlier", "prev", "word"])
+
+    seen = texts.select("toxic", "text").mapInArrow(run, "toxic boolean, earlier long, prev long, word long").distinct()
+    return seen.groupBy("prev", "word").agg(F.count_if(~F.col("toxic")).alias("m0"), F.count_if("toxic").alias("m1"))
+
+
+def word_probabilities(pairs: DataFrame) -> tuple[DataFrame, float, float]:
+    """(word, n, p0, p1): a word's probabilities in ordinary and toxic text; and those of any unknown word."""
+    words = pairs.groupBy("word").agg(F.count_if(F.col("m0") > 0).alias("n0"), F.count_if(F.col("m1") > 0).alias("n1"))
+    classes = (F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("double") for x in ("n0", "n1", F.least("n0", F.lit(DISCOUNT)), F.least("n1", F.lit(DISCOUNT)), classes)]
+    n0, n1, taken0, taken1, shared = words.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+    back0, back1 = (taken / n if n else 1.0 for taken, n in ((taken0, n0), (taken1, n1)))
+    unknown = 1 / (shared + 1)
+
+    def p(count: str, total: float, back: float) -> F.Column:
+        return F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) / max(1.0, total) + back * classes * unknown
+
+    return words.select("word", (F.col("n0") + F.col("n1")).alias("n"), p("n0", n0, back0).alias("p0"), p("n1", n1, back1).alias("p1")), back0 * unknown, back1 * unknown
+
+
+def pair_probabilities(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(prev, word, n, p0, p1): probabilities of word after prev, for all pairs seen."""
+    least = [F.least(F.col(m), F.lit(DISCOUNT)) for m in ("m0", "m1")]
+    classes = (F.col("m0") > 0).cast("int") + (F.col("m1") > 0).cast("int")
+    of = pairs.groupBy("prev").agg(F.sum("m0").alias("a0"), F.sum("m1").alias("a1"), F.sum(least[0]).alias("t0"), F.sum(least[1]).alias("t1"), F.sum(classes).alias("shared"))
+    rows = pairs.join(of, "prev").join(words.select("word", "p0", "p1"), "word")
+    back = (F.col("t0") + F.col("t1")) / (F.col("a0") + F.col("a1"))
+
+    def p(m: str, all_: str, t: str, word_p: str) -> F.Column:
+        shared = classes / F.col("shared")
+        after = F.when(F.col(all_) > 0, (F.greatest(F.col(m) - DISCOUNT, F.lit(0.0)) + F.col(t) * shared) / F.col(all_)).otherwise(shared)
+        return (1 - back) * after + back * F.col(word_p)
+
+    return rows.select("prev", "word", (F.col("m0") + F.col("m1")).alias("n"), p("m0", "a0", "t0", "p0").alias("q0"), p("m1", "a1", "t1", "p1").alias("q1"))
+
+
+def _table(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Key columns and ratios of the entries seen most often: of all counts from which on there are at most ``most``."""
+    keys = rows.columns[:-2]
+    least, room = 1 << 62, most
+    for n, entries in sorted(rows.groupBy("n").count().collect(), reverse=True):  # distinct counts: fewer than the root of twice the sample's words
+        room -= entries
+        if room < 0:
+            break
+        least = n
+    got = rows.where(F.col("n") >= least).select(*keys, F.col("r").cast("float")).toArrow()
+    return [got.column(i).to_numpy().view(np.uint64) for i in range(len(keys))], got.column(len(keys)).to_numpy()
+
+
+def fit(texts: DataFrame, share: float, folder: str) -> Model:
+    """Model of (doc_id, toxic, text); a third of the documents is left for the curve. ``share``: that of toxic rows among all labelled."""
+    check = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0
+    pairs = common.save(contexts(texts.where(~check)), f"{folder}/pairs")
+    words, unknown0, unknown1 = word_probabilities(pairs)
+    words = common.save(words, f"{folder}/words")
+    (word,), word_r = _table(words.select("word", F.log10(F.col("p1") / F.col("p0")).alias("r"), "n"), MOST_WORDS)
+    told = common.save(pair_probabilities(pairs, words), f"{folder}/told")
+    (first, second), pair_r = _table(told.select("prev", "word", F.log10(F.col("q1") / F.col("q0")).alias("r"), "n"), MOST_PAIRS)
+    key = _pair_key(first, second)
+    by_word, by_pair = np.argsort(word), np.argsort(key)
+    model = Model(word[by_word], word_r[by_word], float(np.log10(unknown1 / unknown0)), key[by_pair], pair_r[by_pair], np.zeros(2 + len(PASSAGES)))
+
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_PAIRS
+
+    def run(batches):
+        for batch in batches:
+            for b in common.blocks(batch, "text"):
+                x = shared.value.compare(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["toxic", *[f"x{j}" for j in range(x.shape[1])]])
+
+    got = texts.where(check).select("toxic", "text").mapInArrow(run, ", ".join(["toxic boolean", *[f"x{j} double" for j in range(1 + len(PASSAGES))]])).toArrow()  # a third of the sample, numbers only
+    if got.num_rows:
+        x = np.column_stack([got.column(j + 1).to_numpy() for j in range(1 + len(PASSAGES))])
+        model.slope = _logistic(x, got.column(0).to_numpy().astype(float), share)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents that are not held out, at most ``per_class`` a class."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
@@ -208,19 +234,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     known = own.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     n = max(1, min(per_class, *known))
     chosen = own.where("toxic > 0").orderBy(order, "doc_id").limit(n).union(own.where("toxic <= 0").orderBy(order, "doc_id").limit(n))
-    # at most 2 * per_class narrow rows
+    # chosen: at most 2 * per_class narrow rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    got = rows.select("doc_id", "toxic", "text").orderBy("doc_id", "text").toLocalIterator()
-    texts, toxic = [], []
-    for _, t, text in got:
-        texts.append(text)
-        toxic.append(t > 0)
-    return Model.fit(texts, np.array(toxic, bool), known[0] / max(1, sum(known)))
+    folder = common.shared_dir(docs.sparkSession)
+    texts = common.save(rows.groupBy("doc_id", (F.col("toxic") > 0).alias("toxic")).agg(F.min("text").alias("text")), f"{folder}/texts")
+    model = fit(texts, known[0] / max(1, sum(known)), folder)
+    common.drop(docs.sparkSession, folder)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``score`` added: 0 to 1, higher: toxic likelier. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_PAIRS
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
     names = docs.columns
 
     def run(batches):
