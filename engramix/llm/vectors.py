@@ -1,52 +1,65 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded sample of the vectors. A vector is represented by the order
-of its nearest pivots; every vector is posted in the inverted file of each pivot
-together with the pivot's place in its order. A query reads the files of its own
-nearest pivots, sums how far each pivot's place is from its own (footrule
-distance), takes the vectors of least distance as candidates and ranks those by
-the exact measure.
-
-The index is sharded by rows: each task holds the inverted files of its own
-vectors, so no file of a common pivot ever gathers in one place. The query set
-is sent to the shards in blocks of bounded size, and each shard returns only its
-own best for each query.
+of its ``posted`` nearest pivots and posted in the inverted files of those, and
+only those, with the pivot's place in its order. A query opens the files of its
+own ``reads`` nearest pivots and ranks what is posted there by footrule distance:
+the sum over its pivots of how far the places lie apart, where a pivot that a
+vector is not posted under counts as the place after the last. The nearest
+candidates by that distance are ranked again by the exact measure.
+
+The index is built once, in shards of at most about ``SHARD_ROWS`` distinct
+vectors (dealt by hash, equal vectors are one entry), and saved in the shared
+folder. Queries are saved in blocks. Every task searches one block in one shard
+and gives only its own best; nothing but pivots and counts comes to the driver.
 
 The measure is the inner product. Pivots order vectors by cosine after a
 coordinate is added that brings all to one length, under which the largest inner
 product is the nearest vector, so vectors of any length are served.
 
-Defined results: vectors that are null, zero, of another length than the pivots,
-or hold null or non-finite components take no part; equal vectors are kept once
-in a shard's files with all their ids, and ties go to the smaller id; rows
-without id take no part; rows that repeat an id count once with their best
-score; other columns are ignored; an empty table gives an empty result.
+The share of a shard that is ranked exactly is the same at every size, but not
+less than ``least`` candidates a result asked for, as a share of a small shard
+would be too few to choose from.
+
+Defined results: vectors that are null, zero, of another number of components
+than most vectors have (of equally many, the larger number), or hold null or
+non-finite components take no part; ties go to the smaller id; rows without id
+take no part; a query id that comes with several vectors asks for the least of
+them, and a candidate's id counts once with its best score; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots: the rows of least hash. A documented bound: what is fitted on a sample.
-PIVOTS = 128
-#: Share of a shard's vectors that a query ranks exactly, and the least number.
-SHARE = 0.25
-LEAST = 500
-#: Inverted files a query reads: those of its nearest pivots.
-READS = 64
-QUERY_BLOCK = 2048
+#: Pivots: the vectors of least hash. A documented bound: what is fitted on a sample.
+PIVOTS = 256
+#: Files a vector is posted in, and files a query opens.
+POSTED = 96
+READS = 48
+#: Share of a shard's entries that a query ranks exactly, and the least number for each result asked for.
+SHARE = 0.2
+LEAST = 12
+SHARD_ROWS = 8192
+QUERY_BLOCK = 4096
+
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id long, v array<double>: rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    """id long, v array<double>: rows that may take part."""
+    v = F.col(f"`{vector}`").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    return vectors.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -57,74 +70,119 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 class Index:
-    """Inverted pivot files over a shard of vectors."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, longest: float):
-        order = np.lexsort((ids,))
-        ids, rows = ids[order], rows[order]
-        self.rows, first, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-        back = back.ravel()
-        by = np.argsort(back, kind="stable")
-        self.ids, self.heads = ids[by], np.searchsorted(back[by], np.arange(len(self.rows) + 1))
-        self.pivots, self.longest = pivots, longest
-        place = self.places(self.rows)
-        # one file a pivot; as every vector orders all pivots, each file lists all rows and keeps their places only
-        self.files = np.ascontiguousarray(place.T)
-
-    def places(self, rows: np.ndarray) -> np.ndarray:
-        """Place of every pivot in each row's order."""
-        norm2 = (rows * rows).sum(1)
-        extra = np.sqrt(np.maximum(self.longest - norm2, 0.0))
-        near = rows @ self.pivots[:, :-1].T + extra[:, None] * self.pivots[:, -1][None, :]
-        order = np.argsort(-near, axis=1, kind="stable")
-        out = np.empty(order.shape, np.int16)
-        np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-        return out
-
-    def query_places(self, rows: np.ndarray) -> np.ndarray:
-        """Queries are directions: the added coordinate is zero."""
-        near = rows @ self.pivots[:, :-1].T
-        order = np.argsort(-near, axis=1, kind="stable")
-        out = np.empty(order.shape, np.int16)
-        np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-        return out
-
-    def search(self, q_ids: np.ndarray, q_rows: np.ndarray, k: int, share: float, least: int):
-        """(query id, id, score) of this shard's k best for each query."""
+    """Inverted pivot files over a shard of distinct vectors.
+
+    ``rows``: the vectors; ``ids`` from ``heads[i]`` to ``heads[i + 1]``: ids of
+    the i-th, rising; ``posts`` from ``files[p]`` to ``files[p + 1]``: entries
+    posted under pivot p, and ``places`` p's place in their orders.
+    """
+
+    PARTS = ("rows", "ids", "heads", "files", "posts", "places", "pivots")
+
+    def __init__(self, rows, ids, heads, files, posts, places, pivots):
+        self.rows, self.ids, self.heads, self.files, self.posts, self.places, self.pivots = rows, ids, heads, files, posts, places, pivots
+
+    @staticmethod
+    def build(rows: np.ndarray, ids: list[np.ndarray], pivots: np.ndarray, longest: float, posted: int) -> Index:
+        heads = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+        extra = np.sqrt(np.maximum(longest - (rows * rows).sum(1), 0.0))
+        near = rows @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1][None, :]
+        order = np.argsort(-near, axis=1, kind="stable")[:, :posted]
+        flat = order.ravel()
+        by = np.argsort(flat, kind="stable")
+        files = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
+        return Index(rows, np.concatenate(ids), heads, files, (by // order.shape[1]).astype(np.int32), (by % order.shape[1]).astype(np.int16), pivots)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{p: getattr(self, p) for p in self.PARTS})
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> Index:
+        with np.load(io.BytesIO(data)) as got:
+            return Index(*[got[p] for p in Index.PARTS])
+
+    def candidates(self, q: np.ndarray, want: int, posted: int, reads: int) -> np.ndarray:
+        """Entries of least footrule distance to the query's order; all that tie with the last."""
         n = len(self.rows)
-        want = min(n, max(least, int(np.ceil(share * n))))
-        places = self.query_places(q_rows)
-        out = []
-        for qid, q, own in zip(q_ids.tolist(), q_rows, places, strict=True):
-            if want < n:
-                foot = np.zeros(n, np.int32)
-                for p in np.argsort(own, kind="stable")[:READS]:
-                    foot += np.abs(self.files[p] - own[p])
-                limit = np.partition(foot, want - 1)[want - 1]
-                cand = np.flatnonzero(foot <= limit)  # ties of the last distance are all ranked
-            else:
-                cand = np.arange(n)
+        order = np.argsort(-(self.pivots[:, :-1] @ q), kind="stable")[:reads]  # queries are directions: their added coordinate is zero
+        absent = min(posted, len(self.pivots))
+        foot = np.zeros(n, np.int32)
+        for place, p in enumerate(order.tolist()):
+            a, b = self.files[p], self.files[p + 1]
+            # against what an entry that is not posted here counts
+            foot[self.posts[a:b]] += np.abs(self.places[a:b] - place) - abs(absent - place)
+        if want >= n:
+            return np.arange(n)
+        return np.flatnonzero(foot <= np.partition(foot, want - 1)[want - 1])
+
+    def search(self, q_ids: np.ndarray, q_rows: np.ndarray, k: int, share: float, least: int, posted: int, reads: int):
+        """(query id, id, score) arrays: this shard's k best for each query."""
+        want = max(least * k, int(np.ceil(share * len(self.rows))))
+        for qid, q in zip(q_ids.tolist(), q_rows, strict=True):
+            cand = self.candidates(q, want, posted, reads)
             s = self.rows[cand] @ q
             if len(cand) > k + 1:
                 # keep ties with the last in, ids decide between them
-                cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                keep = s >= cut
+                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                 cand, s = cand[keep], s[keep]
-            got_id, got_s = [], []
-            for c, x in zip(cand.tolist(), s.tolist(), strict=True):
-                own_ids = self.ids[self.heads[c] : self.heads[c + 1]]
-                own_ids = own_ids[own_ids != qid][:k]  # ids rise within a file entry
-                got_id.append(own_ids)
-                got_s.append(np.full(len(own_ids), x))
-            if not got_id:
-                continue
-            i, x = np.concatenate(got_id), np.concatenate(got_s)
+            own = [self.ids[self.heads[c] : self.heads[c + 1]] for c in cand.tolist()]
+            i, x = np.concatenate(own), np.repeat(s, [len(o) for o in own])
+            i, x = i[i != qid], x[i != qid]
             best = np.lexsort((i, -x))[:k]
-            out.append((np.full(len(best), qid), i[best], x[best]))
-        return out
+            yield np.full(len(best), qid), i[best], x[best]
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "file:" + uri)
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write a file under a temporary name and move it, so a repeated task leaves one whole file."""
+    from pyspark import TaskContext
 
+    store, root = _store(folder)
+    tmp = f"{root}/tmp-{name}-{TaskContext.get().taskAttemptId()}"
+    with store.open_output_stream(tmp) as f:
+        f.write(data)
+    store.move(tmp, f"{root}/{name}")
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+
+def _get(folder: str, name: str) -> bytes:
+    store, root = _store(folder)
+    with store.open_input_stream(f"{root}/{name}") as f:
+        return f.read()
+
+
+def build(vectors: DataFrame, folder: str, k: int, pivots: int = PIVOTS, posted: int = POSTED) -> list[int]:
+    """Write the index of ``vectors`` (id, v of equal lengths) to ``folder`` as files index-N; the numbers N."""
+    # of equal vectors no more than the k + 1 smallest ids can be among k nearest
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    entries = vectors.distinct().withColumn("_place", place).where(F.col("_place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = common.save(entries, f"{folder}/entries")
+    n, longest = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    if not n:
+        return []
+    p = np.array([r.v for r in entries.orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()])  # PIVOTS rows
+    p = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(1), 0.0))])
+    p /= np.sqrt(longest)
+    shards = -(-n // SHARD_ROWS)
+    _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("head")
+        shard = table.column("shard")[0].as_py()
+        ids = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in table.column("ids")]
+        _put(folder, f"index-{shard}", Index.build(_matrix(table.column("v")), ids, p, longest, posted).dump())
+        return pa.table({"shard": pa.array([shard], pa.int64()), "entries": pa.array([table.num_rows], pa.int64())})
+
+    dealt = entries.select("v", "ids", F.col("ids")[0].alias("head"), F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(shards)).alias("shard"))
+    made = common.save(dealt.groupBy("shard").applyInArrow(run, "shard long, entries long"), f"{folder}/manifest")
+    return sorted(r.shard for r in made.select("shard").collect())  # a number for each SHARD_ROWS vectors
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, share: float = SHARE, least: int = LEAST, posted: int = POSTED, reads: int = READS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other vectors found.
 
     ``vectors`` and ``queries`` come from ``usable``.
@@ -132,45 +190,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     spark = vectors.sparkSession
     folder = common.shared_dir(spark)
     base = common.save(vectors, f"{folder}/vectors")
-    asked = common.save(queries.dropDuplicates(["id"]), f"{folder}/queries")
+    lengths = base.groupBy(F.size("v").alias("size")).count().orderBy(F.col("count").desc(), F.col("size").desc()).limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = base.orderBy(F.xxhash64("v"), "id").limit(pivots).collect()
-    if not picked:
+    if not lengths:
+        return empty
+    shards = build(base.where(F.size("v") == lengths[0]["size"]), folder, k, pivots, posted)
+    asked = common.save(queries.where(F.size("v") == lengths[0]["size"]).groupBy("id").agg(F.min("v").alias("v")), f"{folder}/queries")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if not blocks:
         return empty
-    dim = len(picked[0].v)
-    base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    longest = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    p = np.array([r.v for r in picked if len(r.v) == dim])
-    p = np.column_stack([p, np.sqrt(np.maximum(longest - (p * p).sum(1), 0.0))])
 
-    parts = []
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about QUERY_BLOCK rows
-        if not own:
-            continue
-        sent = spark.sparkContext.broadcast((p, longest, np.array([r.id for r in own]), np.array([r.v for r in own])))
-
-        def run(batches, sent=sent):
-            pivots, longest, q_ids, q_rows = sent.value
-            held = [(b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows]
-            if not held:
-                return
-            index = Index(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pivots, longest)
-            for a in range(0, len(q_ids), 256):
-                got = index.search(q_ids[a : a + 256], q_rows[a : a + 256], k, share, least)
-                if got:
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        block = table.column("block")[0].as_py()
+        out = io.BytesIO()
+        np.savez(out, ids=table.column("id").to_numpy(), rows=_matrix(table.column("v")))
+        _put(folder, f"queries-{block}", out.getvalue())
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(blocks)))
+    kept = common.save(dealt.groupBy("block").applyInArrow(keep, "block long"), f"{folder}/blocks")
+    # every block of queries meets every shard: two numbers a task
+    cells = kept.withColumn("shard", F.explode(F.lit(shards).cast("array<long>")))
+    cells = cells.repartition(min(10000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(shards))), "shard", "block").sortWithinPartitions("shard")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for block, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is None or held[0] != shard:
+                    held = shard, Index.load(_get(folder, f"index-{shard}"))
+                with np.load(io.BytesIO(_get(folder, f"queries-{block}"))) as asked:
+                    q_ids, q_rows = asked["ids"], asked["rows"]
+                for a in range(0, len(q_ids), 256):
+                    got = list(held[1].search(q_ids[a : a + 256], q_rows[a : a + 256], k, share, least, posted, reads))
                     q, i, s = (np.concatenate([g[j] for g in got]) for j in range(3))
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-        parts.append(base.mapInArrow(run, "query_id long, vec_id long, score double"))
-    if not parts:
-        return empty
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.union(more)
-    # k rows a query and shard meet here; each task keeps its own k of a query before they are dealt by query
+    # k rows a query and shard
+    found = common.save(cells.select("block", "shard").mapInArrow(run, _FOUND), f"{folder}/found")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -63,7 +63,7 @@ def test_nearest(spark):
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, None]), (2004, [1.0]), (None, [1.0] * 16)]
     table = vectors.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
     got = {}
-    for r in vectors.search(table, table.where("id % 20 = 0"), 10, least=200).collect():
+    for r in vectors.search(table, table.where("id % 20 = 0"), 10).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hit = 0
     for q in range(0, 900, 20):
@@ -78,6 +78,49 @@ def test_nearest(spark):
     assert vectors.search(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_nearest_ranks_what_is_posted():
+    """Footrule distances from the files equal those from the definition, and only the nearest pivots' files list an entry."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    longest = (x * x).sum(1).max()
+    p = np.column_stack([x[:40], np.sqrt(longest - (x[:40] ** 2).sum(1))])
+    index = vectors.Index.load(vectors.Index.build(x, [np.array([i]) for i in range(300)], p, longest, 12).dump())
+    assert len(index.posts) == 300 * 12
+    order = np.argsort(-(x @ p[:, :-1].T + np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None] * p[:, -1]), axis=1, kind="stable")[:, :12]
+    for q in x[:5]:
+        own = np.argsort(-(p[:, :-1] @ q), kind="stable")[:6].tolist()
+        foot = [sum(abs((o.tolist().index(j) if j in o else 12) - i) for i, j in enumerate(own)) for o in order]
+        limit = sorted(foot)[29]
+        assert index.candidates(q, 30, 12, 6).tolist() == [i for i, f in enumerate(foot) if f <= limit]
+
+
+def test_nearest_odd_rows(spark, monkeypatch):
+    """Vectors of another length than most, ids with several vectors, columns of clashing names, many shards and blocks."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, [float(v) for v in r], 1.0, "a") for i, r in enumerate(x)] + [(900, [1.0], 0.0, "b"), (901, [2.0] * 9, 0.0, "c"), (20, [9.0] * 8, 0.0, "d"), (40, [float(v) for v in x[40]], 0.0, "e")]
+    table = vectors.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, v string"))
+    out = vectors.search(table, table.where("id % 20 = 0"), 5).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    assert sorted(got) == list(range(0, 400, 20)) and out
+    hit = 0
+    for q, found in got.items():
+        own = min(r[1] for r in rows if r[0] == q)
+        s = {}
+        for i, v, *_ in rows:
+            if i != q and len(v) == 8:
+                s[i] = max(s.get(i, -np.inf), float(np.dot(v, own)))
+        best = sorted(s, key=lambda i: (-s[i], i))[:5]
+        assert sorted(r for r, _, _ in found) == [1, 2, 3, 4, 5] and all(abs(x - s[i]) < 1e-8 for _, i, x in found)
+        hit += len(set(best) & {i for _, i, _ in found})
+    assert hit / 100 >= 0.9
+    assert sorted(out) == sorted(vectors.search(table.repartition(5), table.where("id % 20 = 0"), 5).collect())
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):
