@@ -8,14 +8,16 @@ comparison of the words themselves confirms each occurrence. All documents of a
 block of text are searched in step, so the tables are probed with whole numpy
 vectors.
 
-The machine is broadcast. Its size is bounded: the benchmark is dealt into
-parts of at most ``part_bytes`` of text, and every part is one more pass over
-the same rows within the same stage (no shuffle).
+The machine is broadcast. Its size is bounded: distinct items are dealt into
+parts of at most about ``part_bytes`` of text. Every part is a pass over the rows
+of its own, saved before the next, so one machine is in memory at a time (no
+shuffle). The tables have as many slots as the part's windows need.
 
 Defined results: null texts and texts without words have no hits and are clean;
 items without words are no test strings; an item without an id marks words but
 is not listed; repeated items count once; repeated documents each get a row; an
-empty benchmark leaves everything clean; other columns are ignored.
+empty benchmark leaves everything clean; other columns are ignored. When tables
+are built, windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,44 +33,56 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-_BITS = 16
+#: Slots a table has for each distinct block, and the bounds of its size (as powers of two).
+_ROOM = 8
+_LEAST_BITS, _MOST_BITS = 12, 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _block(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def _block(h: np.ndarray, at: np.ndarray, width: int, bits: int) -> np.ndarray:
     """Table slot of the block of ``width`` words that ends at each position."""
     v = h[at] * _M1
     if width == 2:
         v = v ^ (h[at - 1] * _M2)
-    return (common.mix(v) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (common.mix(v) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Machine:
-    """Wu-Manber tables for windows of one length."""
+    """Wu-Manber tables for windows of one length over the words ``w`` of the items."""
 
+    w: common.Words
     length: int
     width: int  # words in a block
+    bits: int
     shift: np.ndarray  # slot -> words to skip
-    heads: np.ndarray  # slot -> first bucket entry (len 2^bits + 1)
-    order: np.ndarray  # bucket entries: window numbers
-    first: np.ndarray  # hash of each window's first word
-    texts: list[bytes]  # the windows, words joined by one space
-    items: list[np.ndarray]  # item numbers of each window
+    at: np.ndarray  # first word of each distinct window, ordered by the slot of its last block
+    last: np.ndarray  # those slots
+    heads: np.ndarray  # window -> first entry of ``items``
+    items: np.ndarray  # item numbers
 
     @staticmethod
-    def build(texts: list[bytes], items: list[np.ndarray], hashes: np.ndarray) -> Machine:
-        """hashes: one row of word hashes a window."""
-        length = hashes.shape[1]
+    def build(w: common.Words, length: int, at: np.ndarray, item: np.ndarray) -> Machine:
+        """Windows of ``length`` words that begin at words ``at``, of items ``item`` (-1: not listed)."""
         width = min(2, length)
-        shift = np.full(1 << _BITS, length - width + 1, np.int64)
-        flat, base = hashes.ravel(), np.arange(len(texts)) * length
+        powers = np.array([pow(0xD6E8FEB86659FD93, j + 1, 1 << 64) for j in range(length)], np.uint64)
+        key = common.mix((w.hashes[at[:, None] + np.arange(length)] * powers).sum(1, dtype=np.uint64))
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        at = at[first]
+        bits = int(np.clip(np.ceil(np.log2(_ROOM * len(at) + 1)), _LEAST_BITS, _MOST_BITS))
+        shift = np.full(1 << bits, length - width + 1, np.uint8 if length < 256 else np.int64)
         for j in range(width - 1, length):
-            np.minimum.at(shift, _block(flat, base + j, width), length - 1 - j)
-        last = _block(flat, base + length - 1, width)
+            np.minimum.at(shift, _block(w.hashes, at + j, width, bits), length - 1 - j)
+        last = _block(w.hashes, at + length - 1, width, bits)
         order = np.argsort(last, kind="stable")
-        heads = np.searchsorted(last[order], np.arange((1 << _BITS) + 1))
-        return Machine(length, width, shift, heads, order, hashes[:, 0].copy(), texts, items)
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        named = item >= 0
+        pairs = np.unique(np.column_stack([place[back[named]], item[named]]), axis=0) if named.any() else np.empty((0, 2), np.int64)
+        return Machine(w, length, width, bits, shift, at[order], last[order], np.searchsorted(pairs[:, 0], np.arange(len(at) + 1)), pairs[:, 1])
+
+    def items_of(self, window: int) -> list[int]:
+        return self.items[self.heads[window] : self.heads[window + 1]].tolist()
 
     def search(self, w: common.Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence in a block of texts."""
@@ -83,17 +97,18 @@ class Machine:
         stop = np.minimum(lo[doc] + (nth + 1) * step + m - 1, hi[doc])
         found_at, found_window = [], []
         while len(at):
-            slot = _block(h, at, self.width)
-            skip = self.shift[slot]
+            slot = _block(h, at, self.width, self.bits)
+            skip = self.shift[slot].astype(np.int64)
             hit = np.flatnonzero(skip == 0)
             if len(hit):
-                many = self.heads[slot[hit] + 1] - self.heads[slot[hit]]
+                head = np.searchsorted(self.last, slot[hit], "left")
+                many = np.searchsorted(self.last, slot[hit], "right") - head
                 ends = np.repeat(at[hit], many)
-                entry = np.repeat(self.heads[slot[hit]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                window = self.order[entry]
-                same = h[ends - m + 1] == self.first[window]
+                window = np.repeat(head, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                same = h[ends - m + 1] == self.w.hashes[self.at[window]]
                 for e, p in zip(ends[same].tolist(), window[same].tolist(), strict=True):
-                    if b" ".join(w.norm[w.starts[e - m + 1] : w.ends[e]].split()) == self.texts[p]:
+                    a = self.at[p]
+                    if w.norm[w.starts[e - m + 1] : w.ends[e]].split() == self.w.norm[self.w.starts[a] : self.w.ends[a + m - 1]].split():
                         found_at.append(e - m + 1)
                         found_window.append(p)
             at = at + np.maximum(skip, 1)
@@ -105,26 +120,17 @@ class Machine:
 def machines(item_ids: list, texts: list[str | None], window: int = WINDOW) -> tuple[list, list[Machine]]:
     """Item ids by number, and a machine for each length of window."""
     w = common.words(pa.array(texts, pa.large_string()), common.ALNUM)
-    by_length: dict[int, dict[bytes, tuple[int, set]]] = {}
-    ids: list = []
-    number: dict = {}
-    for i, item in enumerate(item_ids):
-        a, b = int(w.docs[i]), int(w.docs[i + 1])
-        if a == b:
-            continue
-        if item is not None and item not in number:
-            number[item] = len(ids)
-            ids.append(item)
-        n = min(window, b - a)
-        for j in range(a, b - n + 1):
-            text = b" ".join(w.norm[w.starts[j] : w.ends[j + n - 1]].split())
-            entry = by_length.setdefault(n, {}).setdefault(text, (j, set()))
-            if item is not None:
-                entry[1].add(number[item])
+    ids = sorted({i for i in item_ids if i is not None}, key=str)
+    number = {x: i for i, x in enumerate(ids)}
+    item = np.array([number.get(i, -1) for i in item_ids], np.int64)
+    n = np.diff(w.docs)
+    length = np.minimum(n, window)
     out = []
-    for n, found in sorted(by_length.items()):
-        first = np.array([j for j, _ in found.values()])
-        out.append(Machine.build(list(found), [np.array(sorted(s), np.int64) for _, s in found.values()], w.hashes[first[:, None] + np.arange(n)]))
+    for m in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == m)
+        many = n[own] - m + 1
+        at = np.repeat(w.docs[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out.append(Machine.build(w, m, at, np.repeat(item[own], many)))
     return ids, out
 
 
@@ -149,7 +155,7 @@ def _search(rows: DataFrame, carried: str, ids: list, built: list[Machine], agai
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + m.length, -1)
                     for d, p in zip((np.searchsorted(w.docs, at, "right") - 1).tolist(), window.tolist(), strict=True):
-                        found.setdefault(d, set()).update(m.items[p].tolist())
+                        found.setdefault(d, set()).update(m.items_of(p))
                 marks = np.flatnonzero(np.cumsum(hit[:-1]) > 0) if found or hit.any() else np.empty(0, np.int64)
                 cut = np.searchsorted(marks, w.docs)
                 words_hit = [marks[cut[i] : cut[i + 1]] - w.docs[i] for i in range(b.num_rows)]
@@ -165,18 +171,24 @@ def _search(rows: DataFrame, carried: str, ids: list, built: list[Machine], agai
     return rows.mapInArrow(run, f"{carried}, {_OUT}")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_bytes: int = 16 << 20) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_bytes: int = 8 << 20) -> DataFrame:
     """Columns of docs with n_words, hit_words (places of words in occurrences) and items found."""
+    spark = docs.sparkSession
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(size // part_bytes) + 1
-    out, again = docs, False
+    own = items.select("item_id", "text").where("text is not null").distinct()
+    parts = int((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes) + 1
+    if parts > 1:
+        folder = common.shared_dir(spark)
+        own = common.save(own.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), f"{folder}/items")
+    out = docs
     for part in range(parts):
-        own = items.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        rows = own.collect()  # at most about part_bytes of text
+        rows = (own if parts == 1 else own.where(F.col("part") == part).drop("part")).collect()  # at most about part_bytes of text
         ids, built = machines([r[0] for r in rows], [r[1] for r in rows], window)
-        out = _search(out, carried, ids, built, again)
-        again = True
+        out = _search(out, carried, ids, built, part > 0)
+        if part + 1 < parts:
+            out = common.save(out, f"{folder}/pass{part}")
+            if part:
+                common.drop(spark, f"{folder}/pass{part - 1}")
     return out
 
 

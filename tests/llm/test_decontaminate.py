@@ -46,3 +46,18 @@ def test_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(no_docs, none).count() == 0
     assert dc.decontaminate(docs, none).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_repeated_items_are_one_test_string(spark, docs):
+    """A thousand repeats of an item do not grow the parts, and its ids are all listed."""
+    items = spark.createDataFrame([(i % 3, "gamma, delta. w1") for i in range(1000)] + [(9, "one two")], "item_id long, text string")
+    few = spark.createDataFrame([(0, "gamma delta w1"), (1, "gamma delta w1"), (2, "gamma delta w1"), (9, "one two")], "item_id long, text string")
+    got = dc.decontaminate(docs, items, part_bytes=40)
+    assert sorted(map(str, got.collect())) == sorted(map(str, dc.decontaminate(docs, few).collect()))
+
+
+def test_tables_skip_however_many_windows():
+    """Most slots of a machine of 40,000 windows let a search skip."""
+    texts = [" ".join(f"v{i * 31 + j * 7919 % 5003}" for j in range(40)) for i in range(1500)]
+    _, (machine,) = dc.machines(list(range(1500)), texts)
+    assert len(machine.at) > 40000 and (machine.shift == 0).mean() < 0.2 and (machine.shift > 1).mean() > 0.4
