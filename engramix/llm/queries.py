@@ -74,8 +74,9 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write token-id shards of all documents and read every document back through the index."""
     folder = common.shared_dir(spark)
-    manifest = token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path())
-    return token_files.read(spark, folder, manifest)
+    docs = _table(spark, sf_dir, "documents")
+    manifest = token_files.write(docs, folder, tokenizer_path())
+    return token_files.read(spark, folder, manifest, docs.select("doc_id"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
