@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: doc_id, start, n_tokens and ids_crc32 of every row, from the files."""
     folder = common.shared_dir(spark)
-    return token_files.read(spark, folder, token_files.write(docs, folder, queries.tokenizer_path()))
+    return token_files.read(spark, folder, token_files.write(docs, folder, queries.tokenizer_path()), docs.select("doc_id"))
 
 
 STAGES = [
