@@ -28,6 +28,7 @@ gives an empty result. Sets and shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ VERIFY_COST = 8.0
 HUBS = 4
 #: Members of a posting list that one side of a task holds.
 LIST_PART = 2048
+#: Set keys a task remembers to leave out copies early; it starts anew beyond. Copies it misses are left out later.
+SEEN = 1 << 18
 _M = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,6 +100,8 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                         bits.append(None)
                         continue
                     if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(key)
                         np.add.at(sketch, (u & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
                     keys.append(key - (1 << 64) if key >> 63 else key)
@@ -140,6 +145,8 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
                     key = set_key(u) if x else None
                     if key is None or int(key) in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(int(key))
                     c = counts[(u & mask).astype(np.int64)]
                     cut = x - -(-percent * x // 100)
@@ -250,7 +257,7 @@ def _meet(percent: int):
     """
 
     def pairs(cols):
-        gid, cid, n, k, small, comp, half, cross, bits = cols
+        gid, cid, n, k, small, comp, half, cross, upper, bits = cols
         out = [[], [], []]
         at, d = np.arange(len(gid)), 0
         while True:
@@ -260,7 +267,7 @@ def _meet(percent: int):
             if not len(at):
                 break
             x, y = at, at + d
-            keep = (comp[x] != comp[y]) & (~cross[x] | (half[x] != half[y]))
+            keep = (comp[x] != comp[y]) & (~cross[x] | (half[x] != half[y])) & (upper[x] | upper[y])
             keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             keep &= np.where((n[x] < n[y]) | ((n[x] == n[y]) & (cid[x] < cid[y])), small[x], small[y])
             x, y = x[keep], y[keep]
@@ -275,12 +282,12 @@ def _meet(percent: int):
 
     def columns(b):
         num = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-        token, lo, hi = num("token"), num("lo"), num("hi")
+        token, cell, lo, hi = num("token"), num("cell"), num("lo"), num("hi")
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         data, _ = common.utf8(b.column(b.schema.get_field_index("bits")))
         bits = np.frombuffer(data.tobytes(), np.uint64).reshape(len(token), -1)
-        return new, [np.cumsum(new), num("cid"), num("n").astype(np.int64), num("k").astype(np.int64), num("small"), num("comp"), num("half"), lo != hi, bits]
+        return new, [np.cumsum(new), num("cid"), num("n").astype(np.int64), num("k").astype(np.int64), num("small"), num("comp"), num("half"), lo != hi, num("upper"), bits]
 
     def run(batches):
         held = None
@@ -305,17 +312,23 @@ def _meet(percent: int):
 def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs whose ends lie in different components.
 
-    Only lists that hold two or more components are opened. A list longer than
+    Only lists that hold two or more components are opened. Sets are dealt by
+    size: sizes rise by 100 / percent from one class to the next, so sets link
+    only within a class or across neighbouring ones, and each set is met in its
+    own cell and, as one of the smaller, in the next. A cell longer than
     LIST_PART is dealt into parts, and every two parts meet in a task of their
     own, so no task holds more than two parts of a list.
     """
     own = lists.join(labels, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "k", "small", F.coalesce("component", "cid").alias("comp"))
-    several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
-    several = several.select("token", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
-    rows = own.join(several, "token").join(classes.select("cid", "bits"), "cid").withColumn("half", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    size_class = F.floor(F.log(F.col("n").cast("double")) * ((1 - 1e-9) / math.log(100 / percent)) if percent < 100 else F.col("n")).cast("int")
+    own = own.join(several, "token").withColumn("class", size_class).withColumn("cell", F.explode(F.array("class", F.col("class") + 1)))
+    cells = own.groupBy("token", "cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
+    cells = cells.select("token", "cell", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts"))
+    rows = own.join(cells, ["token", "cell"]).join(classes.select("cid", "bits"), "cid").withColumn("half", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "cid", "n", "k", "small", "comp", "half", "bits")
-    met = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(percent), "p long, q long, k long")
+    rows = rows.select("token", "cell", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "cid", "n", "k", "small", "comp", "half", (F.col("class") == F.col("cell")).alias("upper"), "bits")
+    met = rows.repartition("token", "cell", "lo", "hi").sortWithinPartitions("token", "cell", "lo", "hi").mapInArrow(_meet(percent), "p long, q long, k long")
     return met.groupBy("p", "q").agg(F.count("*").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("p", "q")
 
 
