@@ -16,16 +16,28 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "predicate"))
 
 
+def _hop(reached: DataFrame, links: DataFrame, hop: int, start: str, node: str) -> DataFrame:
+    """reached (start, node, hops) with what lies one hop beyond its last ring.
+
+    Reached rows are kept beside the new ones in one left join, so every hop
+    stands once in the plan.
+    """
+    onward = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rows = reached.join(onward, (F.col(node) == F.col("_a")) & (F.col("hops") == hop - 1), "left")
+    old, new = F.struct(F.col(node).alias("n"), "hops"), F.struct(F.col("_b").alias("n"), F.lit(hop).alias("hops"))
+    both = rows.select(start, F.explode(F.when(F.col("_b").isNull(), F.array(old)).otherwise(F.array(old, new))).alias("_x"))
+    return both.groupBy(start, F.col("_x.n").alias(node)).agg(F.min("_x.hops").alias("hops"))
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hops): nodes within ``depth`` hops of each seed, by their least number of hops.
 
-    A frontier that only grows by new nodes: as many joins as hops, no paths are kept.
+    Only the last ring grows: as many joins as hops, no paths are kept.
     """
     links = both_ways(active(edges)).select("a", "b").distinct()
     reached = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hops"))
     for hop in range(1, depth + 1):
-        step = reached.where(F.col("hops") == hop - 1).join(links, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), F.lit(hop).alias("hops"))
-        reached = reached.union(step).groupBy("seed", "node").agg(F.min("hops").alias("hops"))
+        reached = _hop(reached, links, hop, "seed", "node")
     return reached.where("hops > 0")
 
 
@@ -86,11 +98,10 @@ def sources(memories: DataFrame) -> DataFrame:
 
 def provenance(memories: DataFrame, depth: int = 10) -> DataFrame:
     """(id, ancestor, hops): everything a row derives from, by least hops."""
-    links = memories.select("id", F.explode("source_ids").alias("up")).distinct()
-    reached = links.select("id", F.col("up").alias("ancestor"), F.lit(1).alias("hops"))
+    links = memories.select(F.col("id").alias("a"), F.explode("source_ids").alias("b")).distinct()
+    reached = links.select(F.col("a").alias("id"), F.col("b").alias("ancestor"), F.lit(1).alias("hops"))
     for hop in range(2, depth + 1):
-        step = reached.where(F.col("hops") == hop - 1).join(links.toDF("from_id", "up"), F.col("ancestor") == F.col("from_id")).select(reached.id, F.col("up").alias("ancestor"), F.lit(hop).alias("hops")).where(F.col("id") != F.col("ancestor"))
-        reached = reached.union(step).groupBy("id", "ancestor").agg(F.min("hops").alias("hops"))
+        reached = _hop(reached, links, hop, "id", "ancestor").where("id <> ancestor")
     return reached
 
 

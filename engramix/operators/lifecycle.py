@@ -85,12 +85,15 @@ def review(rows: DataFrame, now: Column, stale_below: float = 0.3, stale_days: i
 
 
 def capped(actions: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """The first actions of each kind by id, up to its cap (the feature of a curation run)."""
+    """The first actions of each kind by id, up to its cap (the feature of a curation run). Kinds without a cap are not sorted."""
+    if not caps:
+        return actions
+    bound = F.coalesce(F.col("action").isin(*caps), F.lit(False))
+    # the largest cap is the limit that every task applies before rows are dealt by kind
     place = F.row_number().over(Window.partitionBy("action").orderBy("id"))
-    cap = F.lit(None).cast("int")
-    for kind, n in caps.items():
-        cap = F.when(F.col("action") == kind, n).otherwise(cap)
-    return actions.withColumn("_p", place).where(cap.isNull() | (F.col("_p") <= cap)).drop("_p")
+    few = actions.where(bound).withColumn("_p", place).where(F.col("_p") <= max(caps.values()))
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for item in caps.items() for x in item]), F.col("action"))
+    return few.where(F.col("_p") <= cap).drop("_p").unionByName(actions.where(~bound))
 
 
 def greedy_clusters(edges: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:

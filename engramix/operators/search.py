@@ -7,6 +7,7 @@ a limit, which Spark runs as a per-task top-k.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,8 +78,13 @@ def _times(column: str, word: str) -> Column:
 
 
 def text_hits(memories: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of rows that hold all query words. No word table: counts of the few query words are folded per row."""
-    words = sorted(set(query.lower().split()))
+    """(id, score): BM25 of rows that hold all query words. No word table: counts of the few query words are folded per row.
+
+    A query is cut into words as texts are; without words it finds nothing.
+    """
+    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    if not words:
+        return memories.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     rows = memories.select("id", tx.tokens(F.col("content")).alias("t"))
     rows = rows.select("id", F.size("t").alias("n"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(words)])
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])

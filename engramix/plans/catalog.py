@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries, state_queries, table_queries  # noqa: F401
+from . import record_queries, search_queries, state_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

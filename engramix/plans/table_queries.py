@@ -258,9 +258,9 @@ def provenance_one(t):
     return gr.sources(t.memories).withColumn("content", F.md5("content"))
 
 
-@query("provenance_deep", "WITH RECURSIVE l AS (SELECT id, unnest(source_ids) AS up FROM memories WHERE source_ids IS NOT NULL), w AS (SELECT id, up AS ancestor, 1 AS hops FROM l UNION SELECT w.id, l.up, w.hops + 1 FROM w JOIN l ON w.ancestor = l.id WHERE w.hops < 4) SELECT id, ancestor, min(hops) AS hops FROM w GROUP BY ALL", "memories")
+@query("provenance_deep", "WITH RECURSIVE l AS (SELECT id, unnest(source_ids) AS up FROM memories WHERE source_ids IS NOT NULL), w AS (SELECT id, up AS ancestor, 1 AS hops FROM l UNION SELECT w.id, l.up, w.hops + 1 FROM w JOIN l ON w.ancestor = l.id WHERE w.hops < 10) SELECT id, ancestor, min(hops) AS hops FROM w GROUP BY ALL", "memories")
 def provenance_deep(t):
-    return gr.provenance(t.memories, 4)
+    return gr.provenance(t.memories, 10)
 
 
 @query("derived_from", "SELECT id FROM memories WHERE id IN (SELECT unnest(source_ids) FROM memories)", "memories")
@@ -323,10 +323,13 @@ def curation_candidates(t):
     return lc.curation_candidates(t.memories, t.memory_salience, now() - F.expr("INTERVAL 20 DAYS"), None).select("id", "stability")
 
 
-@query("curation_review", f"WITH {_SAL} SELECT id, CASE WHEN stability < 2.0 AND floor(epoch($NOW - created_at) / 86400.0) > 30 AND (reinforcement_count = 0 OR last_reinforced_at IS NULL OR floor(epoch($NOW - last_reinforced_at) / 86400.0) > 30) THEN 'stale' WHEN reinforcement_count >= 3 AND stability < 5.0 THEN 'strengthen' ELSE 'skip' END AS action FROM s WHERE NOT regexp_matches(coalesce(content, ''), '(?i)disregard|you must|system *:|act as|ignore|override|forget|always|never|new instruction|you are now')", "memories memory_salience")
+#: Number of distinct signals in a text, as SQL.
+SIGNALS = " + ".join(f"CAST(coalesce({' OR '.join(f'regexp_matches(content, {chr(39)}{p}{chr(39)})' for n, p in tx.INJECTION if n == name)}, false) AS INTEGER)" for name in dict.fromkeys(n for n, _ in tx.INJECTION))
+
+
+@query("curation_review", f"WITH {_SAL} SELECT id, CASE WHEN {SIGNALS} >= CASE WHEN trust_level >= 0.7 THEN 3 WHEN trust_level >= 0.3 THEN 2 ELSE 1 END THEN 'suspicious' WHEN stability < 2.0 AND floor(epoch($NOW - created_at) / 86400.0) > 30 AND (reinforcement_count = 0 OR last_reinforced_at IS NULL OR floor(epoch($NOW - last_reinforced_at) / 86400.0) > 30) THEN 'stale' WHEN reinforcement_count >= 3 AND stability < 5.0 THEN 'strengthen' ELSE 'skip' END AS action FROM s", "memories memory_salience")
 def curation_review(t):
-    rows = lc.with_salience(t.memories, t.memory_salience).where(~F.coalesce("content", F.lit("")).rlike("(?i)disregard|you must|system *:|act as|ignore|override|forget|always|never|new instruction|you are now"))
-    return lc.review(rows, now(), 2.0)
+    return lc.review(lc.with_salience(t.memories, t.memory_salience), now(), 2.0)
 
 
 @query("curation_caps", "WITH a AS (SELECT id, type_hint AS action, row_number() OVER (PARTITION BY type_hint ORDER BY id) AS p FROM memories) SELECT id, action FROM a WHERE p <= CASE action WHEN 'fact' THEN 20 WHEN 'decision' THEN 50 ELSE p END", "memories")

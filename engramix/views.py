@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The reference time of all queries.
 NOW = "2024-02-01 00:00:00"
-N_MEMORIES = "1000"
 
 #: View -> (tables it reads, SQL). ``{now}``, ``{arr:a, b}`` and ``{days:n}`` are dialect words.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -62,19 +61,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """,
     ),
     "memory_salience": (
-        ("events",),
+        ("events", "documents"),
         """
-        SELECT concat('m', lpad(CAST(event_id % 1000 AS {str}), 9, '0')) AS memory_id,
+        SELECT concat('m', lpad(CAST(event_id % n AS {str}), 9, '0')) AS memory_id,
           CAST(0.2 + (count(*) % 13) * 0.5 AS DOUBLE) AS stability, CAST(5.0 AS DOUBLE) AS difficulty,
           CAST(count(*) % 6 AS BIGINT) AS reinforcement_count, CAST(max(ts) AS TIMESTAMP) AS last_reinforced_at
-        FROM events WHERE event_id % 3 <> 0 GROUP BY event_id % 1000
+        FROM events CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM documents ) d GROUP BY event_id % n
         """,
     ),
     "session_recalls": (
-        ("events",),
+        ("events", "documents"),
         """
-        SELECT concat('u', CAST(user_id AS {str})) AS session_id, concat('m', lpad(CAST(event_id % 1000 AS {str}), 9, '0')) AS memory_id, min(CAST(ts AS TIMESTAMP)) AS recalled_at
-        FROM events GROUP BY user_id, event_id % 1000
+        SELECT concat('u', CAST(user_id AS {str})) AS session_id, concat('m', lpad(CAST(event_id % n AS {str}), 9, '0')) AS memory_id, min(CAST(ts AS TIMESTAMP)) AS recalled_at
+        FROM events CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM documents ) d GROUP BY user_id, event_id % n
         """,
     ),
     "entities": (
@@ -96,17 +95,17 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """,
     ),
     "entity_facts": (
-        ("orders",),
+        ("orders", "documents"),
         """
         SELECT concat('f', CAST(o_orderkey AS {str})) AS id, concat('c', CAST(o_custkey AS {str})) AS entity_id, 'orderpriority' AS attribute, o_orderpriority AS value, CAST(o_orderdate AS TIMESTAMP) AS valid_from,
-          CASE WHEN o_orderstatus = 'F' THEN {now} - {days:o_orderkey % 200} END AS invalid_at, concat('m', lpad(CAST(o_orderkey % 1000 AS {str}), 9, '0')) AS source_memory_id
-        FROM orders
+          CASE WHEN o_orderstatus = 'F' THEN {now} - {days:o_orderkey % 200} END AS invalid_at, concat('m', lpad(CAST(o_orderkey % n AS {str}), 9, '0')) AS source_memory_id
+        FROM orders CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM documents ) d
         """,
     ),
     "entity_mentions": (
-        ("orders",),
+        ("orders", "documents"),
         """
-        SELECT concat('e', CAST(o_orderkey AS {str})) AS id, concat('c', CAST(o_custkey AS {str})) AS entity_id, concat('m', lpad(CAST(o_orderkey % 1000 AS {str}), 9, '0')) AS memory_id, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders
+        SELECT concat('e', CAST(o_orderkey AS {str})) AS id, concat('c', CAST(o_custkey AS {str})) AS entity_id, concat('m', lpad(CAST(o_orderkey % n AS {str}), 9, '0')) AS memory_id, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM documents ) d
         """,
     ),
     "predicate_contradictions": ((), "SELECT * FROM (VALUES ('likes', 'dislikes'), ('dislikes', 'likes'), ('trusts', 'distrusts'), ('distrusts', 'trusts')) t(predicate_a, predicate_b)"),
