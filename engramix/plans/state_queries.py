@@ -68,9 +68,9 @@ def session_tags(t):
     return st.session_tags(log).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("idle_sessions", "SELECT session_id, floor(epoch(max(recalled_at)))::BIGINT AS last_at FROM session_recalls GROUP BY 1 HAVING epoch($NOW - max(recalled_at)) > 432000", "session_recalls")
+@query("idle_sessions", "SELECT session_id, floor(epoch(max(recalled_at)))::BIGINT AS last_at FROM session_recalls GROUP BY 1 HAVING epoch($NOW - max(recalled_at)) > 129600", "session_recalls")
 def idle_sessions(t):
-    return st.idle_sessions(t.session_recalls, now(), 432000).withColumn("last_at", F.unix_timestamp("last_at"))
+    return st.idle_sessions(t.session_recalls, now(), 129600).withColumn("last_at", F.unix_timestamp("last_at"))
 
 
 _PAIRS = "p AS (SELECT m.id AS memory_id, k.keeper FROM memories m JOIN (SELECT md5(content) AS h, min(id) AS keeper FROM memories WHERE content IS NOT NULL GROUP BY 1) k ON md5(m.content) = k.h WHERE m.id <> k.keeper)"

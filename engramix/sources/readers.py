@@ -90,7 +90,11 @@ def safe_entry(name: str) -> bool:
 
 
 def conversations_json(spark: SparkSession, path: str) -> DataFrame:
-    """(path, conversation): conversation objects of export archives or plain JSON files."""
+    """(path, conversation, rejected): conversation objects of export archives or plain JSON files.
+
+    Entries that are too large, too many or not safe to open are rows without a
+    conversation and with the reason in ``rejected``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
@@ -100,42 +104,65 @@ def conversations_json(spark: SparkSession, path: str) -> DataFrame:
                 texts = []
                 if data[:2] == b"PK":
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for e in z.infolist()[:MAX_ENTRIES]:
-                            if safe_entry(e.filename) and e.filename.endswith("conversations.json") and e.file_size <= MAX_ENTRY:
+                        entries = z.infolist()
+                        if len(entries) > MAX_ENTRIES:
+                            out.append((name, None, f"{len(entries) - MAX_ENTRIES} entries beyond the {MAX_ENTRIES}th"))
+                        for e in entries[:MAX_ENTRIES]:
+                            if not e.filename.endswith("conversations.json"):
+                                continue
+                            if not safe_entry(e.filename):
+                                out.append((name, None, f"unsafe entry {e.filename}"))
+                            elif e.file_size > MAX_ENTRY:
+                                out.append((name, None, f"entry {e.filename} of {e.file_size} bytes"))
+                            else:
                                 texts.append(z.read(e))
                 else:
                     texts.append(data)
                 for t in texts:
-                    out += [(name, json.dumps(c)) for c in json.loads(t)]
-            yield pd.DataFrame(out, columns=["path", "conversation"])
-
-    return files.mapInPandas(run, "path string, conversation string")
-
-
-MAPPING = "id string, title string, create_time double, mapping map<string, struct<parent:string, children:array<string>, message:struct<author:struct<role:string>, create_time:double, content:struct<content_type:string, parts:array<string>>>>>"
+                    out += [(name, json.dumps(c), None) for c in json.loads(t)]
+            yield pd.DataFrame(out, columns=["path", "conversation", "rejected"])
+
+    return files.mapInPandas(run, "path string, conversation string, rejected string")
+
+
+def _tree_order(mapping: dict | None) -> list[tuple[str, str]]:
+    """(role, text) of a conversation's tree, depth first, first child first; a node that is met again is left out."""
+    mapping = mapping or {}
+    stack = [k for k, n in mapping.items() if not n or n.get("parent") not in mapping][::-1]
+    seen, out = set(), []
+    while stack:
+        key = stack.pop()
+        node = mapping.get(key)
+        if key in seen or not node:
+            continue
+        seen.add(key)
+        stack += [c for c in (node.get("children") or [])[::-1]]
+        message = node.get("message") or {}
+        role = (message.get("author") or {}).get("role")
+        parts = (message.get("content") or {}).get("parts") or []
+        text = "\n".join(p for p in parts if isinstance(p, str) and p)
+        if role in ("user", "assistant") and text.strip():
+            out.append((role, text))
+    return out
 
 
 def tree_messages(conversations: DataFrame) -> DataFrame:
     """(conversation_id, title, place, role, content): messages of tree exports, depth first, first child first.
 
-    A node's path of child numbers from the root orders it; paths grow level by
-    level with one join each, over all conversations at once.
+    A conversation is one row and is put in order within it: no joins, and a
+    cycle ends where it closes.
     """
-    c = conversations.select(F.from_json("conversation", MAPPING).alias("c")).select("c.id", "c.title", "c.mapping")
-    nodes = c.select("id", "title", F.explode("mapping").alias("node", "n")).select("id", "title", "node", "n.parent", "n.children", "n.message")
-    kids = nodes.select("id", F.col("node").alias("up"), F.posexplode("children").alias("nth", "node"))
-    known = nodes.select("id", F.col("node").alias("parent"))
-    reached = nodes.join(known, ["id", "parent"], "left_anti").select("id", "node", F.array(F.lit(0)).alias("way"))
-    level = reached
-    while True:
-        level = level.toDF("id", "up", "w").join(kids, ["id", "up"]).select("id", "node", F.concat("w", F.array("nth")).alias("way"))
-        if level.limit(1).count() == 0:
-            break
-        reached = reached.unionByName(level)
-    text = F.array_join(F.filter("message.content.parts", lambda p: p.isNotNull() & (p != "")), "\n")
-    rows = nodes.join(reached, ["id", "node"]).select("id", "title", "way", F.col("message.author.role").alias("role"), text.alias("content")).where(F.col("role").isin("user", "assistant") & (F.trim("content") != ""))
-    ordered = rows.groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct("way", "role", "content"))).alias("m")).select("id", "title", F.posexplode("m").alias("place", "x"))
-    return ordered.select(F.col("id").alias("conversation_id"), "title", "place", "x.role", "x.content")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["conversation"]:
+                c = json.loads(text) if text else None
+                if isinstance(c, dict):
+                    out += [(c.get("id") or c.get("conversation_id"), c.get("title"), i, role, said) for i, (role, said) in enumerate(_tree_order(c.get("mapping")))]
+            yield pd.DataFrame(out, columns=["conversation_id", "title", "place", "role", "content"])
+
+    return conversations.select("conversation").mapInPandas(run, "conversation_id string, title string, place int, role string, content string")
 
 
 def flat_messages(conversations: DataFrame) -> DataFrame:

@@ -94,3 +94,26 @@ def test_import_chain(spark):
     assert sorted(r.content[0] for r in keep.collect()) == ["p", "x"]
     assert {r.reason for r in out.collect()} == {"noise", "known"}
     assert "warning:prompt-injection" in keep.where("content like 'please%'").first().tags
+
+
+def test_archive_limits_are_rejected_visibly(spark, tmp_path, monkeypatch):
+    """Entries that are too large, unsafe or too many come back as rejected rows; cycles in a tree end."""
+    import io
+    import json
+    import zipfile
+
+    monkeypatch.setattr(readers, "MAX_ENTRY", 1000)
+    monkeypatch.setattr(readers, "MAX_ENTRIES", 4)
+    tree = {"id": "c1", "title": "t", "mapping": {"a": {"parent": None, "children": ["b"], "message": {"author": {"role": "user"}, "content": {"parts": ["hi"]}}}, "b": {"parent": "a", "children": ["a", "b"], "message": {"author": {"role": "assistant"}, "content": {"parts": ["yo", None, ""]}}}}}
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("x/conversations.json", json.dumps([tree, {"id": "c2", "mapping": {"p": {"parent": "q", "children": ["q"]}, "q": {"parent": "p", "children": ["p"]}}}]))
+        z.writestr("../conversations.json", "[]")
+        z.writestr("y/conversations.json", "[" + " " * 2000 + "]")
+        z.writestr("z.txt", "")
+        z.writestr("late/conversations.json", "[]")
+    (tmp_path / "e.zip").write_bytes(data.getvalue())
+    rows = readers.conversations_json(spark, str(tmp_path))
+    assert sorted(r.rejected.split(" ")[0] for r in rows.collect() if r.rejected) == ["1", "entry", "unsafe"]
+    got = readers.tree_messages(rows).collect()
+    assert [(r.conversation_id, r.place, r.role, r.content) for r in got] == [("c1", 0, "user", "hi"), ("c1", 1, "assistant", "yo")]
