@@ -6,7 +6,8 @@ occurrences, so a passage copied many times counts once. A word pair counts the
 words before it, a word the words before it, and the last level, which *both*
 classes share, the classes that have the word at all. An expression that was met
 rarely keeps little after the discount and is told by the shared counts, which
-say the same for both classes. How much a first word leaves to backing off is
+say the same for both classes; a shared pair counts in the proportion in which a
+class has its word. How much a first word leaves to backing off is
 counted over both classes too, so its evenness is no evidence.
 
 A text is scored by the difference of its two log-likelihoods, normalised by
@@ -95,7 +96,7 @@ class Model:
         """log10 of toxic over ordinary probability of every word after the one before it, and the texts' bounds."""
         h, prev, docs = _grams(col)
         # an unseen pair backs off with the same weight in both classes, so the word's ratio stays
-        return _look(self.pairs, self.pair_r, _pair_key(prev, h), _look(self.words, self.word_r, h, self.unknown_r)), docs
+        return _look(self.pairs, self.pair_r, _pair_key(prev, h), _look(self.words, self.word_r, h, self.unknown_r)).astype(np.float64), docs
 
     def compare(self, col: pa.Array) -> np.ndarray:
         """Per text: difference of the log-likelihoods a word, of the text and of its strongest passages."""
@@ -156,34 +157,44 @@ def contexts(texts: DataFrame) -> DataFrame:
 
 
 def word_probabilities(pairs: DataFrame) -> tuple[DataFrame, float, float]:
-    """(word, n, p0, p1): a word's probabilities in ordinary and toxic text; and those of any unknown word."""
-    words = pairs.groupBy("word").agg(F.count_if(F.col("m0") > 0).alias("n0"), F.count_if(F.col("m1") > 0).alias("n1"))
+    """(word, n, p0, p1, r1): a word's probabilities in ordinary and toxic text, and how far it is toxic text's; and the probabilities of any unknown word.
+
+    r1 is the toxic share of what the word takes of either class's pair contexts (one added to each).
+    """
+    words = pairs.groupBy("word").agg(F.count_if(F.col("m0") > 0).alias("n0"), F.count_if(F.col("m1") > 0).alias("n1"), F.sum("m0").alias("k0"), F.sum("m1").alias("k1"))
     classes = (F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")
-    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("double") for x in ("n0", "n1", F.least("n0", F.lit(DISCOUNT)), F.least("n1", F.lit(DISCOUNT)), classes)]
-    n0, n1, taken0, taken1, shared = words.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("double") for x in ("n0", "n1", F.least("n0", F.lit(DISCOUNT)), F.least("n1", F.lit(DISCOUNT)), classes, F.col("k0") + 1, F.col("k1") + 1)]
+    n0, n1, taken0, taken1, shared, all0, all1 = words.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
     back0, back1 = (taken / n if n else 1.0 for taken, n in ((taken0, n0), (taken1, n1)))
     unknown = 1 / (shared + 1)
 
     def p(count: str, total: float, back: float) -> F.Column:
         return F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) / max(1.0, total) + back * classes * unknown
 
-    return words.select("word", (F.col("n0") + F.col("n1")).alias("n"), p("n0", n0, back0).alias("p0"), p("n1", n1, back1).alias("p1")), back0 * unknown, back1 * unknown
+    take0, take1 = (F.col("k0") + 1) / max(1.0, all0), (F.col("k1") + 1) / max(1.0, all1)
+    return words.select("word", (F.col("n0") + F.col("n1")).alias("n"), p("n0", n0, back0).alias("p0"), p("n1", n1, back1).alias("p1"), (take1 / (take0 + take1)).alias("r1")), back0 * unknown, back1 * unknown
 
 
 def pair_probabilities(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(prev, word, n, p0, p1): probabilities of word after prev, for all pairs seen."""
-    least = [F.least(F.col(m), F.lit(DISCOUNT)) for m in ("m0", "m1")]
+    """(prev, word, n, q0, q1): probabilities of word after prev, for all pairs seen.
+
+    What the discount takes goes to the pairs that either class has after prev,
+    each in the proportion in which the class has the word.
+    """
+    rows = pairs.join(words.select("word", "p0", "p1", "r1"), "word")
     classes = (F.col("m0") > 0).cast("int") + (F.col("m1") > 0).cast("int")
-    of = pairs.groupBy("prev").agg(F.sum("m0").alias("a0"), F.sum("m1").alias("a1"), F.sum(least[0]).alias("t0"), F.sum(least[1]).alias("t1"), F.sum(classes).alias("shared"))
-    rows = pairs.join(of, "prev").join(words.select("word", "p0", "p1"), "word")
+    rows = rows.withColumn("s0", classes * (1 - F.col("r1"))).withColumn("s1", classes * F.col("r1"))
+    least = [F.least(F.col(m), F.lit(DISCOUNT)) for m in ("m0", "m1")]
+    of = rows.groupBy("prev").agg(F.sum("m0").alias("a0"), F.sum("m1").alias("a1"), F.sum(least[0]).alias("t0"), F.sum(least[1]).alias("t1"), F.sum("s0").alias("all0"), F.sum("s1").alias("all1"))
+    rows = rows.join(of, "prev")
     back = (F.col("t0") + F.col("t1")) / (F.col("a0") + F.col("a1"))
 
-    def p(m: str, all_: str, t: str, word_p: str) -> F.Column:
-        shared = classes / F.col("shared")
-        after = F.when(F.col(all_) > 0, (F.greatest(F.col(m) - DISCOUNT, F.lit(0.0)) + F.col(t) * shared) / F.col(all_)).otherwise(shared)
-        return (1 - back) * after + back * F.col(word_p)
+    def p(c: int) -> F.Column:
+        m, a, t, s, word = F.col(f"m{c}"), F.col(f"a{c}"), F.col(f"t{c}"), F.col(f"s{c}") / F.col(f"all{c}"), F.col(f"p{c}")
+        after = F.when(a > 0, (F.greatest(m - DISCOUNT, F.lit(0.0)) + t * s) / a).otherwise(s)
+        return (1 - back) * after + back * word
 
-    return rows.select("prev", "word", (F.col("m0") + F.col("m1")).alias("n"), p("m0", "a0", "t0", "p0").alias("q0"), p("m1", "a1", "t1", "p1").alias("q1"))
+    return rows.select("prev", "word", (F.col("m0") + F.col("m1")).alias("n"), p(0).alias("q0"), p(1).alias("q1"))
 
 
 def _table(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -105,6 +105,11 @@ def test_probabilities_against_brute_force(spark):
     for c, unknown in ((0, unknown0), (1, unknown1)):
         assert all(math.isclose(got[w][c], uni[c][w]) for w in vocab)
         assert math.isclose(sum(uni[c].values()) + unknown, 1)
+    k = [collections.Counter() for _ in (0, 1)]
+    for c in (0, 1):
+        for (_, w), x in m[c].items():
+            k[c][w] += x
+    take = [{w: (k[c][w] + 1) / sum(k[c][x] + 1 for x in vocab) for w in vocab} for c in (0, 1)]
     rows = {(h[r.prev], h[r.word]): (r.q0, r.q1) for r in tx.pair_probabilities(pairs, words).collect()}
     assert set(rows) == {*m[0], *m[1]}
     for p in {p for p, _ in rows}:
@@ -113,7 +118,8 @@ def test_probabilities_against_brute_force(spark):
         both = collections.Counter([*after[0], *after[1]])
         for c in (0, 1):
             for w in both:
-                s = both[w] / sum(both.values())
+                part = {x: both[x] * take[c][x] / (take[0][x] + take[1][x]) for x in both}
+                s = part[w] / sum(part.values())
                 f = (max(after[c].get(w, 0) - d, 0) + sum(min(k, d) for k in after[c].values()) * s) / sum(after[c].values()) if after[c] else s
                 assert math.isclose(rows[p, w][c], (1 - back) * f + back * uni[c][w])
             # what pairs hold and what is left to single words sums to one
