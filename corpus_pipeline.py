@@ -47,7 +47,7 @@ STAGES = [
     ("token files", write_tokens),
 ]
 
-#: No stage but the last two has an SQL form. The stages have tests of their own in tests/llm; the chain has none.
+#: Toxicity and token ids have no SQL form. Every stage and the chain are tested against brute-force versions in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
