@@ -86,6 +86,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
     """A row a document (its set's size, key and bitmap) and, per task, blocks of the shingle sketch."""
 
     def run(batches):
+        common.trim()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         names = ["doc_id", "text_hash", "n", "cid", "bits", "block", "counts"]
@@ -133,6 +134,7 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     """(token, cid, n, k, small, prefix) of each set's prefix; ``small``: also in the prefix it has as the smaller of a pair; ``prefix``: its length."""
 
     def run(batches):
+        common.trim()
         counts = sketch.value
         noise = float(counts.sum(dtype=np.float64) / len(counts))
         mask = np.uint64(len(counts) - 1)
@@ -199,6 +201,7 @@ def _links(percent: int):
     """Exact test on the full sets."""
 
     def run(batches):
+        common.trim()
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
@@ -219,6 +222,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     kept = common.save(kept, f"{folder}/kept")
 
     def run(batches):
+        common.trim()
         for batch in batches:
             for b in common.blocks(batch, "text"):
                 sets = list(shingle_sets(b.column(0), k))

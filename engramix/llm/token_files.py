@@ -44,6 +44,8 @@ _GAMMA = 2.0
 _LEVELS = 48
 #: Pieces of text whose ids a worker remembers before it starts anew.
 MEMORY = 1 << 21
+#: Pieces the library is given at once.
+AT_ONCE = 1 << 12
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -214,9 +216,12 @@ class Encoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) > MEMORY:
             self._clear()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        parts = []
+        for i in range(0, len(pieces), AT_ONCE):  # the library's own results are far larger than the ids
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + AT_ONCE], add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append((n, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))))
+        sizes, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
@@ -311,6 +316,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID) -> Da
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.trim()
         ctx = TaskContext.get()
         shard = ctx.partitionId()
         store, root = _store(folder)
@@ -328,6 +334,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID) -> Da
         if out is None:
             return
         out.close()
+        common.trim()
         k, has, n = np.concatenate(keys), np.concatenate(keyed), np.concatenate(lengths)
         for suffix, data in (("len", n.astype("<u8").tobytes()), ("mph", ShardIndex.dump(k, has, n, enc.width))):
             with store.open_output_stream(f"{tmp}.{suffix}") as f:

@@ -261,6 +261,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        common.trim()
         m = shared.value
         for batch in batches:
             for b in common.blocks(batch, text):
