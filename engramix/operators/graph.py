@@ -112,11 +112,19 @@ def derived_from(memories: DataFrame) -> DataFrame:
 
 
 def related_counts(memories: DataFrame, ids: DataFrame, trivial: list[str]) -> DataFrame:
-    """(id, related): how many other live rows share a tag that is not trivial."""
-    tags = memories.where(F.col("deleted_at").isNull()).select("id", F.explode("tags").alias("tag")).where(~F.col("tag").isin(trivial)).distinct()
-    own = tags.join(ids.select("id"), "id", "left_semi")
-    pairs = own.join(tags.toDF("other", "tag"), "tag").where("id <> other")
-    return pairs.groupBy("id").agg(F.count_distinct("other").alias("related"))
+    """(id, related): how many other live rows share a tag that is not trivial; rows without any are left out.
+
+    Rows of equal tags are counted first, so that a common tag joins distinct
+    sets of tags, not rows. Ids are taken to be unique.
+    """
+    own = F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull() & ~t.isin(trivial))))
+    rows = memories.where(F.col("deleted_at").isNull()).select("id", own.alias("own")).where(F.size("own") > 0)
+    sets = rows.groupBy("own").agg(F.count("*").alias("n"))
+    wanted = rows.join(ids.select("id").distinct(), "id", "left_semi")
+    asked = wanted.select("own").distinct().select("own", F.explode("own").alias("tag"))
+    met = asked.join(sets.select(F.col("own").alias("other"), "n", F.explode("own").alias("tag")), "tag").select("own", "other", "n").distinct()
+    total = met.groupBy("own").agg((F.sum("n") - 1).alias("related"))
+    return wanted.join(total, "own").where("related > 0").select("id", "related")
 
 
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,7 +6,6 @@ of a table, and the caller writes it.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,28 +95,45 @@ def capped(actions: DataFrame, caps: dict[str, int]) -> DataFrame:
     return few.where(F.col("_p") <= cap).drop("_p").unionByName(actions.where(~bound))
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the session's checkpoint folder; on a single machine without one, one under /tmp is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def greedy_clusters(edges: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
-    """(cluster, id): seeds in priority order absorb unvisited neighbours.
+    """(cluster, id): seeds in order of (priority, id) absorb neighbours not yet absorbed; at most ``most`` a cluster.
 
-    The order of visits decides, so one curation run (a bounded set of
-    candidates with their neighbours) is one group.
+    The order of visits decides, but only along edges: a row is absorbed once an
+    earlier neighbour is known to be a seed, and is a seed once all earlier ones
+    are known not to be. Each round settles all rows of which that is known, and
+    at least the first open one, so nothing is gathered in one task. Rows without
+    a priority come last; of repeated edges the most similar counts.
     """
-    rows = candidates.select("id", "priority").join(edges.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))).alias("near")).withColumnRenamed("memory_id", "id"), "id", "left")
-    rows = rows.withColumn("near", F.transform("near", lambda x: x["neighbour"]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "id"])
-        left, out = set(pdf["id"]), []
-        for seed, near in zip(pdf["id"], pdf["near"], strict=True):
-            if seed not in left:
-                continue
-            members = [seed, *[x for x in (near if near is not None else []) if x in left and x != seed]]
-            left.difference_update(members)
-            for i in range(0, len(members), most):
-                out += [(members[i], m) for m in members[i : i + most]]
-        return pd.DataFrame(out, columns=["cluster", "id"])
-
-    return rows.withColumn("_run", F.lit(0)).groupBy("_run").applyInPandas(lambda pdf: run(pdf), "cluster string, id string")
+    turn = F.struct(F.col("priority").isNull().alias("late"), "priority", "id")
+    rows = candidates.groupBy("id").agg(F.min("priority").alias("priority")).select("id", turn.alias("turn"))
+    arcs = edges.groupBy(F.col("memory_id").alias("u"), F.col("neighbour").alias("v")).agg(F.max("similarity").alias("s"))
+    arcs = arcs.join(rows.select(F.col("id").alias("u"), F.col("turn").alias("tu")), "u").join(rows.select(F.col("id").alias("v"), F.col("turn").alias("tv")), "v")
+    arcs = _checkpointed(arcs.where("tu < tv").select("u", "v", "s", "tu"))
+
+    state = rows.select("id", F.lit(None).cast("boolean").alias("seed"))
+    while True:
+        heard = arcs.join(state.select(F.col("id").alias("u"), "seed"), "u").groupBy(F.col("v").alias("id")).agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("taken"), F.bool_or(F.col("seed").isNull()).alias("open"))
+        known = F.when(F.col("taken"), F.lit(False)).when(F.col("open"), F.lit(None)).otherwise(F.lit(True))
+        state = _checkpointed(state.join(heard, "id", "left").select("id", F.coalesce("seed", known).alias("seed")))
+        if state.where("seed is null").isEmpty():
+            break
+
+    seeds = state.where("seed").select(F.col("id").alias("u"))
+    absorbed = arcs.join(seeds, "u", "left_semi").groupBy("v").agg(F.min(F.struct("tu", "u", "s")).alias("by"))
+    members = seeds.select("u", F.col("u").alias("id"), F.lit(0).alias("later"), F.lit(None).cast("double").alias("s")).union(absorbed.select("by.u", "v", F.lit(1), F.col("by.s").cast("double")))
+    place = F.row_number().over(Window.partitionBy("u").orderBy("later", F.col("s").desc(), "id"))
+    parts = members.withColumn("place", place).withColumn("part", F.floor((F.col("place") - 1) / most))
+    return parts.select(F.first("id").over(Window.partitionBy("u", "part").orderBy("place")).alias("cluster"), "id")
 
 
 def promotable(memories: DataFrame, embeddings: DataFrame, salience: DataFrame, tier: str = "fast", stability: float = 3.0, reinforcements: int = 4, cap: int | None = None) -> DataFrame:
