@@ -79,4 +79,39 @@ SELECT fd.doc_id, path, coalesce(own.licence, nr.licence) AS licence, coalesce(s
 FROM fd LEFT JOIN own ON own.doc_id = fd.doc_id LEFT JOIN nr ON nr.dir = fd.dir
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_license_scan": OP3, "op4_jaccard_join": OP4, "op5_chat_format": OP5, "op9_warc": OP9}
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _assigned(n: int) -> str:
+    """Nearest entries of codebook n; ties to the lower index."""
+    return f"""a{n} AS (SELECT r, p.part, min((CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e)) AS best FROM p JOIN c{n} c ON c.part = p.part GROUP BY ALL)"""
+
+
+def _moved(n: int) -> str:
+    """Codebook n + 1 out of assignment n; unused entries stay."""
+    return f"""c{n + 1} AS (SELECT c.part, c.e, coalesce(m.s, c.s) AS s FROM c{n} c LEFT JOIN (
+  SELECT part, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS s FROM (
+    SELECT p.part, a.best[2] AS e, i, CAST(sum(p.s[i + 1]) AS DOUBLE) AS total, count(*) AS n FROM p JOIN a{n} a ON a.r = p.r AND a.part = p.part, (SELECT unnest(range((SELECT max(w) FROM k))) AS i) GROUP BY ALL) GROUP BY part, e) m ON m.part = c.part AND m.e = c.e)"""
+
+
+OP11 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v, len(v) // 16 AS w FROM (SELECT vec_id, label, {_INTEGERS} AS v FROM embeddings WHERE {_FINITE})),
+p AS (SELECT r, part, v[part * w + 1 : part * w + w] AS s FROM k, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, r - 1 AS e, s FROM p WHERE r <= 64),
+{_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2),
+d AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN d ON d.r = k.r, h
+"""
+
+OP12 = f"""
+WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op3_license_scan": OP3, "op4_jaccard_join": OP4, "op5_chat_format": OP5, "op9_warc": OP9, "op11_vector_codes": OP11, "op12_hard_negatives": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard_join, licenses, maxent_lm, mixing, oracles, token_files, toxicity, vectors, warc
+from . import chat, common, decontaminate, hard_negatives, jaccard_join, langid, licenses, maxent_lm, mixing, oracles, token_files, toxicity, vector_codes, vectors, warc
 
 #: Folder of the public tokenizer files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -93,6 +93,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 16 codebooks of 64 entries, two rounds of exponion search."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector; labels of every 7th are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"), 100)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by character models."""
+    docs = _table(spark, sf_dir, "documents")
+    told = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return told.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -104,6 +122,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = oracles.ORACLES
