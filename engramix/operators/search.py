@@ -7,14 +7,13 @@ a limit, which Spark runs as a per-task top-k.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
-from ..functions import text as tx
+from . import fulltext
 
 #: Candidates of a leg.
 CANDIDATES = 40
@@ -75,28 +74,15 @@ def vector_hits(memories: DataFrame, embeddings: DataFrame, query: list[float] |
     return own.select("id", F.round(s, 6).alias("score"))
 
 
-def _times(column: str, word: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == word))
+def text_hits(memories: DataFrame, query: str, index: fulltext.Index | None = None) -> DataFrame:
+    """(id, score): BM25 of rows that hold all query words, by their stems; a query of stop words finds nothing.
 
-
-def text_hits(memories: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): BM25 of rows that hold all query words. No word table: counts of the few query words are folded per row.
-
-    A query is cut into words as texts are; without words it finds nothing.
+    With an index only the postings of the query's stems are read, and rows of
+    ``memories`` are kept; without one the postings are made from ``memories``.
     """
-    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
-    if not words:
-        return memories.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = memories.select("id", tx.tokens(F.col("content")).alias("t"))
-    rows = rows.select("id", F.size("t").alias("n"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(words)])
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    rows = rows.where(reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(words))]))
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        idf = F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return rows.join(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # stats is one row
+    if index is None:
+        return fulltext.hits(fulltext.Index.of(memories), query)
+    return fulltext.hits(index, query).join(memories.select("id"), "id", "left_semi")
 
 
 def symbolic_hits(memories: DataFrame, query: str) -> DataFrame:
@@ -129,7 +115,7 @@ def fuse_lists(lists: list[DataFrame], k: float = 60.0) -> DataFrame:
     return fuse({f"list{i}": (x, k) for i, x in enumerate(lists)}).select("id", "score")
 
 
-def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES) -> DataFrame:
+def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES, index: fulltext.Index | None = None) -> DataFrame:
     """Three legs, fused; a leg of weight 0 is left out of the plan."""
     rows = searchable(memories)
     legs = {}
@@ -137,7 +123,7 @@ def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[
         k = sc.leg_k(base_k, weight)
         if k is None or (leg == "vector" and vector is None):
             continue
-        hits = text_hits(rows, query) if leg == "text" else vector_hits(rows, embeddings, vector) if leg == "vector" else symbolic_hits(rows, symbol or query)
+        hits = text_hits(rows, query, index) if leg == "text" else vector_hits(rows, embeddings, vector) if leg == "vector" else symbolic_hits(rows, symbol or query)
         legs[leg] = (ranked(hits, "score", candidates, leg), k)
     return fuse(legs).orderBy(F.col("score").desc(), "id").limit(limit)
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import views
+from .. import scratch, views
+from ..operators import fulltext, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,10 @@ def now() -> Column:
     return F.lit(views.NOW).cast("timestamp")
 
 
+#: Full-text indexes of this process: (application, directory, state of its files) to folder.
+_INDEXES: dict[tuple, str] = {}
+
+
 class Tables:
     """Logical views and raw tables of one directory, by attribute."""
 
@@ -28,6 +33,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.sf_dir, name)
 
+    @property
+    def text_index(self) -> fulltext.Index:
+        """Index of the searchable memories, written once for each state of the files."""
+        files = self.spark.read.format("binaryFile").load([f"{self.sf_dir}/{n}.parquet" for n in views.VIEWS["memories"][0]])
+        state = files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38, 0)"))).first()[0]
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, str(state))
+        if key not in _INDEXES:
+            path = scratch.folder(self.spark)
+            fulltext.Index.build(search.searchable(self.memories), path)
+            _INDEXES[key] = path
+        return fulltext.Index.open(self.spark, _INDEXES[key])
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

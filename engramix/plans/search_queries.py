@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import english as en
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import graph as gr
@@ -14,15 +15,16 @@ from ..operators import search as se
 from .registry import Tables, now, query
 
 PROBE = "m000000000"
-WORDS = "of the"
+#: Two stems, one of them of an inflected word, and a stop word.
+WORDS = "things of one"
 
 _SEARCHABLE = "s AS (SELECT * FROM memories WHERE deleted_at IS NULL AND NOT is_consolidated_original AND NOT coalesce(list_has_any(tags, ['suspicious','curation:flagged']), false))"
 _PROBE = f"p AS (SELECT embedding AS pv FROM memory_embeddings WHERE memory_id = '{PROBE}')"
 _COS = "round(least(1.0, greatest(0.0, CASE WHEN sqrt(list_sum(list_transform(embedding, x -> x*x))) * sqrt(list_sum(list_transform(pv, x -> x*x))) = 0 THEN 0 ELSE list_dot_product(embedding, pv) / (sqrt(list_sum(list_transform(embedding, x -> x*x))) * sqrt(list_sum(list_transform(pv, x -> x*x)))) END)), 6)"
 _VECTOR = f"vh AS (SELECT s.id, {_COS} AS score FROM s JOIN memory_embeddings e ON s.id = e.memory_id AND e.is_current, p)"
-_TOK = "tk AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM s)"
-_TF = "tf AS (SELECT id, coalesce(len(t), 0) AS n, len(list_filter(t, x -> x = 'of')) AS a, len(list_filter(t, x -> x = 'the')) AS b FROM tk)"
-_ST = "st AS (SELECT count(*) AS docs, avg(CASE WHEN n IS NOT NULL THEN n END) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM tf)"
+_TOK = f"tk AS (SELECT id, list_filter(regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+'), x -> x NOT IN {tuple(en.STOP)}) AS t FROM s), sm AS (SELECT word, {en.stem_sql('word', False)} AS stem FROM (SELECT DISTINCT unnest(t) AS word FROM tk))"
+_TF = "tf AS (SELECT tk.id, len(t) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM tk LEFT JOIN (SELECT id, count(*) FILTER (WHERE stem = 'one') AS a, count(*) FILTER (WHERE stem = 'thing') AS b FROM (SELECT id, unnest(t) AS word FROM tk) u JOIN sm ON sm.word = u.word GROUP BY id) g ON g.id = tk.id)"
+_ST = "st AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM tf)"
 _TEXT = "th AS (SELECT id, round(ln((docs - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln((docs - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM tf, st WHERE a > 0 AND b > 0)"
 _SYM = "sh AS (SELECT * FROM (SELECT id, CAST((CASE WHEN coalesce(list_contains(tags, 'en'), false) THEN 3 ELSE 0 END) + (CASE WHEN len(list_filter(coalesce(entities, []), x -> contains(lower(x), 'en'))) > 0 THEN 2 ELSE 0 END) + (CASE WHEN len(list_filter(coalesce(facts, []), x -> contains(lower(x), 'en'))) > 0 THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(type_hint), 'en') THEN 1 ELSE 0 END) + (CASE WHEN coalesce(contains(lower(source), 'en'), false) THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM s) WHERE score > 0)"
 
@@ -54,7 +56,25 @@ def vector_search_tier(t):
 
 @query("text_search", f"WITH {_SEARCHABLE}, {_TOK}, {_TF}, {_ST}, {_TEXT}, {_top('th', 't1')} SELECT t1.id, rank, score FROM t1 JOIN th ON t1.id = th.id", "memories")
 def text_search(t):
-    return se.ranked(se.text_hits(se.searchable(t.memories), WORDS), "score", 40, "text").select("id", "rank", "score")
+    return se.ranked(se.text_hits(se.searchable(t.memories), WORDS, t.text_index), "score", 40, "text").select("id", "rank", "score")
+
+
+@query("text_search_stop_words", "SELECT id, CAST(0 AS DOUBLE) AS score FROM memories WHERE false", "memories")
+def text_search_stop_words(t):
+    """A query of stop words only finds nothing."""
+    return se.text_hits(se.searchable(t.memories), "what is this about", t.text_index)
+
+
+@query(
+    "stem_frequencies",
+    f"WITH {_SEARCHABLE}, {_TOK}, u AS (SELECT id, unnest(t) AS word FROM tk) SELECT stem, count(*) AS tf, count(DISTINCT id) AS df, count(DISTINCT u.word) AS words FROM u JOIN sm ON sm.word = u.word GROUP BY stem",
+    "memories",
+)
+def stem_frequencies(t):
+    """Of every stem of all texts: occurrences, rows and words."""
+    words = se.searchable(t.memories).select("id", F.explode(en.content_words(F.col("content"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    stems = words.select("word").distinct().select("word", en.stem("word").alias("stem"))
+    return words.join(stems, "word").groupBy("stem").agg(F.sum("n").alias("tf"), F.count_distinct("id").alias("df"), F.count_distinct("word").alias("words"))
 
 
 @query("symbolic_search", f"WITH {_SEARCHABLE}, {_SYM}, {_top('sh', 'y1')} SELECT y1.id, rank, score FROM y1 JOIN sh ON y1.id = sh.id", "memories")
@@ -64,18 +84,18 @@ def symbolic_search(t):
 
 @query("hybrid_search", f"WITH {_LEGS}, {_FUSED} SELECT id, score, {_LABEL} AS legs FROM fu ORDER BY score DESC, id LIMIT 20", "memories memory_embeddings")
 def hybrid_search(t):
-    return se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en")
+    return se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", index=t.text_index)
 
 
 @query("hybrid_two_legs", f"WITH {_LEGS}, fu AS (SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 1.0 / (60.0 + rank) AS s FROM t1 UNION ALL SELECT id, 1.0 / (30.0 + rank) FROM v1) GROUP BY id) SELECT id, score FROM fu ORDER BY score DESC, id LIMIT 20", "memories memory_embeddings")
 def hybrid_two_legs(t):
     """A leg of weight 0 is not planned at all; weight 2 halves k."""
-    return se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), weights=(1.0, 2.0, 0.0)).select("id", "score")
+    return se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), weights=(1.0, 2.0, 0.0), index=t.text_index).select("id", "score")
 
 
 @query("hybrid_page_two", f"WITH {_LEGS}, {_FUSED}, c AS (SELECT id, score FROM fu ORDER BY score DESC, id LIMIT 1 OFFSET 9) SELECT fu.id, fu.score FROM fu, c WHERE fu.score < c.score OR (fu.score = c.score AND fu.id > c.id) ORDER BY fu.score DESC, fu.id LIMIT 10", "memories memory_embeddings")
 def hybrid_page_two(t):
-    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", limit=1000)
+    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", limit=1000, index=t.text_index)
     last = fused.limit(10).orderBy("score", F.col("id").desc()).limit(1).first()
     return se.after(fused.select("id", "score"), "score", (last.score, last.id), 10)
 
@@ -83,7 +103,7 @@ def hybrid_page_two(t):
 @query("hybrid_filtered", f"WITH {_LEGS}, {_FUSED}, top AS (SELECT id, score FROM fu ORDER BY score DESC, id LIMIT 40) SELECT top.id, top.score FROM top JOIN memories m ON top.id = m.id WHERE (m.project = 'p1' OR m.project IS NULL) AND m.knowledge_tier <> 'raw' AND (m.source LIKE 'src1%' OR m.source LIKE 'user%')", "memories memory_embeddings")
 def hybrid_filtered(t):
     """Filters after the fusion and its limit: fewer rows than the limit."""
-    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", limit=40)
+    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", limit=40, index=t.text_index)
     rows = fused.join(t.memories.select("id", "project", "knowledge_tier", "source"), "id")
     rows = se.source_prefixes(se.tier_filter(se.project_scope(rows, "p1"), None), ["src1", "user"])
     return rows.select("id", "score")
@@ -102,7 +122,7 @@ def hybrid_filtered(t):
     "memories memory_embeddings memory_salience",
 )
 def hybrid_salience(t):
-    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en")
+    fused = se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", index=t.text_index)
     return se.with_salience(fused, t.memories, t.memory_salience, now()).withColumn("trust", F.col("trust").cast("double"))
 
 
