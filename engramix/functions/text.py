@@ -72,9 +72,22 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalise(text), 256)
 
 
+def _length_prefix(text: Column) -> Column:
+    """The byte length of a text as four bytes, the lowest first."""
+    digits = F.lpad(F.hex(F.octet_length(text).cast("long")), 8, "0")
+    return F.concat(*[F.unhex(F.substring(digits, i, 2)) for i in (7, 5, 3, 1)])
+
+
 def idempotency_key(*fields: Column) -> Column:
-    """SHA-256 over length-prefixed fields."""
-    return F.sha2(F.concat(*[F.concat(F.format_string("%08x", F.octet_length(F.coalesce(f.cast("string"), F.lit("")))), F.coalesce(f.cast("string"), F.lit(""))) for f in fields]), 256)
+    """SHA-256 over fields, each led by its length in bytes (32 bits, little-endian); null counts as empty."""
+    texts = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
+    return F.sha2(F.concat(*[part for t in texts for part in (_length_prefix(t), F.encode(t, "UTF-8"))]), 256)
+
+
+def message_key(source: Column, session: Column, at: Column, role: Column, content: Column) -> Column:
+    """Key of a message: source, session, role, content and the time in UTC with microseconds."""
+    utc = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return idempotency_key(source, session, role, content, utc)
 
 
 def truncate(text: Column, n: int) -> Column:

@@ -447,7 +447,13 @@ def first_in_window(t):
     return ig.first_in_window(t.auto_entries, ["content_key"], "ts", "event_id", 21600).select("event_id")
 
 
-@query("idempotent_store", "WITH n AS (SELECT sha256(concat(printf('%08x', strlen(source)), source, printf('%08x', strlen(content)), content)) AS k, doc_id FROM memories WHERE content IS NOT NULL AND source IS NOT NULL) SELECT k AS idempotency_key, count(*) AS n FROM n WHERE doc_id % 2 = 0 AND k NOT IN (SELECT k FROM n WHERE doc_id % 4 = 1) GROUP BY 1", "memories")
+def _LE(text: str) -> str:
+    """Byte length of a text as four bytes, the lowest first, in DuckDB."""
+    h = f"printf('%08x', strlen({text}))"
+    return f"unhex(concat(substr({h}, 7, 2), substr({h}, 5, 2), substr({h}, 3, 2), substr({h}, 1, 2)))"
+
+
+@query("idempotent_store", f"WITH n AS (SELECT sha256({_LE('source')} || encode(source) || {_LE('content')} || encode(content)) AS k, doc_id FROM memories WHERE content IS NOT NULL AND source IS NOT NULL) SELECT k AS idempotency_key, count(*) AS n FROM n WHERE doc_id % 2 = 0 AND k NOT IN (SELECT k FROM n WHERE doc_id % 4 = 1) GROUP BY 1", "memories")
 def idempotent_store(t):
     rows = t.memories.where("content is not null and source is not null").withColumn("idempotency_key", tx.idempotency_key(F.col("source"), F.col("content")))
     keys = rows.where("doc_id % 4 = 1").select("idempotency_key", F.col("id").alias("memory_id"), (now() + F.expr("INTERVAL 1 DAY")).alias("expires_at"))

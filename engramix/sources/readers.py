@@ -51,6 +51,21 @@ def jsonl_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"entities": entities, "relationships": edges, "facts": facts}
 
 
+def ingest_messages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of files that hold a JSON array or JSON lines, told by their first character; broken ones are in ``_corrupt``."""
+    kind = f"{schema}, _corrupt string"
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at"), F.ltrim("value").alias("_line")).where("_line != ''")
+    # the first line of each file, found in each task before files are dealt
+    arrays = lines.groupBy("_path").agg(F.min_by(F.substring("_line", 1, 1), "_at").alias("_first")).where("_first = '['").select("_path")
+
+    def read(whole: bool) -> DataFrame:
+        reader = spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("multiLine", whole)
+        rows = reader.json(path)
+        return rows.select("*", F.col("_metadata.file_path").alias("_path"))
+
+    return read(True).join(arrays, "_path", "left_semi").unionByName(read(False).join(arrays, "_path", "left_anti")).drop("_path")
+
+
 def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, heading, content): sections that start at '# ' or '## '."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
