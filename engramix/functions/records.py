@@ -64,20 +64,6 @@ def project_of_slug(slug: Column) -> Column:
     return F.element_at(F.split(F.ltrim(slug, F.lit("-")), "-"), -1)
 
 
-def topic(text: Column, most: int = 60) -> Column:
-    """First sentence, cut to ``most`` bytes with '...'. Cuts fall between characters."""
-    first = F.trim(F.regexp_extract(text, r"^[^.!?\n]*[.!?]?", 0))
-    # the longest prefix of at most most - 3 bytes: characters take 1 to 4 bytes, so the candidates are few
-    lengths = F.sequence(F.lit((most - 3) // 4), F.lit(most - 3))
-    fitting = F.filter(lengths, lambda n: F.octet_length(first.substr(F.lit(1), n)) <= most - 3)
-    return F.when(F.octet_length(first) > most, F.concat(first.substr(F.lit(1), F.array_max(fitting)), F.lit("..."))).otherwise(first)
-
-
-def chunk_header(of: Column, index: Column, total: Column) -> Column:
-    """Line in front of a chunk; ``index`` counts from 0."""
-    return F.format_string('[From: "%s", part %d/%d]\n', of, index + 1, total)
-
-
 def facts(value: Column) -> Column:
     """struct(flat, structured) of a JSON array of facts: objects if every one names an entity, else its strings."""
     objects = F.from_json(value, STRUCTURED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import redaction
+from ..functions import redaction, sentences
 from ..functions import text as tx
 
 
@@ -70,17 +70,6 @@ def normalise_facts(rows: DataFrame) -> DataFrame:
     return raw.select("id", "entity", tx.entity_type(F.col("entity")).alias("entity_type"), attribute.alias("attribute"), value.alias("value"))
 
 
-def chunks(rows: DataFrame, size: int = 2048, overlap: int = 1) -> DataFrame:
-    """(id, place, chunk): sentences packed to at most ``size`` bytes, the last ``overlap`` carried over."""
-    sentences = F.filter(F.regexp_extract_all("content", F.lit(r"[^.!?\n]+[.!?]*\s*"), F.lit(0)), lambda s: F.trim(s) != "")
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), empty.alias("open"))
-
-    def step(acc, s):
-        joined = F.array_join(acc["open"], "")
-        fits = (F.octet_length(joined) + F.octet_length(s) <= size) | (F.size(acc["open"]) == 0)
-        carried = F.slice(acc["open"], F.greatest(F.lit(1), F.size(acc["open"]) - overlap + 1), overlap) if overlap else empty
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], joined)).alias("done"), F.when(fits, F.array_append(acc["open"], s)).otherwise(F.array_append(carried, s)).alias("open"))
-
-    packed = F.aggregate(sentences, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.array_join(a["open"], ""))).otherwise(a["done"]))
-    return rows.select("id", F.posexplode(packed).alias("place", "chunk"))
+def chunks(rows: DataFrame, size: int = 2048, overlap: int = 1, least: int = 0) -> DataFrame:
+    """(id, place, total, start, end, header, chunk): whole sentences of at most ``size`` bytes, the last ``overlap`` carried over; none for a text that fits one chunk."""
+    return rows.select("id", F.explode(sentences.chunks(F.col("content"), size, overlap, least)).alias("c")).select("id", "c.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as rf
+from ..functions import sentences
 from ..functions import text as tx
 
 #: What narrates the use of tools instead of saying something.
@@ -161,10 +162,10 @@ def rescue(filtered: DataFrame, ids: DataFrame) -> DataFrame:
     return filtered.join(hit, "id", "left").withColumn("rescued", F.coalesce("_hit", "rescued", F.lit(False))).drop("_hit")
 
 
-def span_of(chunks: DataFrame, similarity: str = "similarity") -> DataFrame:
-    """The best span of each memory from (memory_id, place, first, last, similarity); ties to the earlier."""
-    best = chunks.groupBy("memory_id").agg(F.max_by(F.struct("place", "first", "last", similarity), F.struct(F.col(similarity), -F.col("place"))).alias("b"))
-    return best.select("memory_id", "b.*")
+def spans_of(memories: DataFrame, topic: str, **limits) -> DataFrame:
+    """(id, start, end, similarity): the bytes of each text that fit a topic best; texts without content have none."""
+    rows = memories.where(F.col("content").isNotNull())
+    return rows.select("id", sentences.span(F.col("content"), topic, **limits).alias("s")).select("id", "s.*")
 
 
 def merge_clusters(clusters: DataFrame, memories: DataFrame) -> DataFrame:
@@ -173,12 +174,6 @@ def merge_clusters(clusters: DataFrame, memories: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.count("*").alias("members"), rf.merged_text(F.collect_list(F.struct("created_at", "id", "content"))).alias("content"))
 
 
-def chunk_headers(chunks: DataFrame, memories: DataFrame) -> DataFrame:
-    """Chunks (memory_id, place, total) with the header that names their memory's topic."""
-    topics = memories.select(F.col("id").alias("memory_id"), rf.topic(F.col("content")).alias("topic"))
-    return chunks.join(topics, "memory_id").withColumn("header", rf.chunk_header(F.col("topic"), F.col("place"), F.col("total")))
-
-
 def suspicious_report(rows: DataFrame) -> DataFrame:
     """(id, signals, suspicious) of every row."""
     return rows.select("id", F.size(tx.injection_signals(F.col("content"))).alias("signals"), F.coalesce(tx.is_suspicious(F.col("content"), F.col("trust_level")), F.lit(False)).alias("suspicious"))

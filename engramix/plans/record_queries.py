@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records as rf
+from ..functions import sentences
+from ..operators import ingest as ig
 from ..operators import records as rc
 from .registry import epoch, now, query
 from .table_queries import SIGNALS
@@ -177,14 +179,16 @@ def slug_projects(t):
     return t.memories.select("id", rf.project_of_slug(F.concat(F.lit("-home-u-p"), (F.col("doc_id") % 4).cast("string"))).alias("project"))
 
 
-@query("topics", r"WITH f AS (SELECT id, trim(regexp_extract(content, '^[^.!?\n]*[.!?]?')) AS s FROM memories WHERE content IS NOT NULL) SELECT id, CASE WHEN strlen(s) > 60 THEN substr(s, 1, CAST(list_max(list_filter(range(0, 58), n -> strlen(substr(s, 1, CAST(n AS BIGINT))) <= 57)) AS BIGINT)) || '...' ELSE s END AS topic FROM f", "memories")
+@query("topics")
 def topics(t):
-    return t.memories.where("content is not null").select("id", rf.topic(F.col("content")).alias("topic"))
+    """First sentences of whole texts; the rules are tried one by one in the tests."""
+    return t.memories.where("content is not null").select("id", sentences.topic(F.col("content")).alias("topic"))
 
 
-@query("chunk_headers", "SELECT id, '[From: \"' || type_hint || '\", part ' || (doc_id % 3 + 1) || '/3]' || chr(10) AS header FROM memories", "memories")
+@query("chunk_headers")
 def chunk_headers(t):
-    return t.memories.select("id", rf.chunk_header(F.col("type_hint"), F.col("doc_id") % 3, F.lit(3)).alias("header"))
+    """Headers of all chunks with the topic of their text."""
+    return ig.chunks(t.memories, 2048, 1, 512).select("id", "place", "total", "header")
 
 
 @query("structured_facts", "SELECT id, CASE WHEN doc_id % 3 = 1 THEN 0 WHEN doc_id % 3 = 2 THEN 1 ELSE len(coalesce(facts, [])) END AS flat, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS structured FROM memories", "memories")
@@ -229,10 +233,10 @@ def rescued_items(t):
     return rc.rescue(items, t.memories.where("doc_id % 4 = 0").select("id"))
 
 
-@query("best_spans", "WITH s AS (SELECT 'm' || conv_id AS memory_id, turn AS place, strlen(coalesce(content, '')) % 17 AS similarity FROM messages) SELECT memory_id, place, similarity FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, place) AS r FROM s) WHERE r = 1", "messages")
+@query("best_spans")
 def best_spans(t):
-    spans = t.messages.select(F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("memory_id"), F.col("turn").alias("place"), F.lit(0).alias("first"), F.lit(1).alias("last"), (F.octet_length(F.coalesce("content", F.lit(""))) % 17).alias("similarity"))
-    return rc.span_of(spans).select("memory_id", "place", "similarity")
+    """The part of every whole text that is nearest to a topic."""
+    return rc.spans_of(t.memories, "public licence of the work")
 
 
 @query("suspicion", f"WITH s AS (SELECT id, trust_level, {SIGNALS} AS signals FROM memories) SELECT id, signals, signals >= CASE WHEN trust_level >= 0.7 THEN 3 WHEN trust_level >= 0.3 THEN 2 ELSE 1 END AS suspicious FROM s", "memories")

@@ -469,7 +469,7 @@ def normalise_facts(t):
 @query("chunks")
 def chunks(t):
     """Overlapping chunks of whole texts; checked by a fold in Python in the tests."""
-    return ig.chunks(t.memories, 2048, 1).select("id", "place", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("chunk"))
+    return ig.chunks(t.memories, 2048, 1).select("id", "place", "total", "start", "end", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("chunk"))
 
 
 @query("injection_signals", "SELECT id, array_to_string(list_distinct_in_order, ',') AS signals FROM (SELECT id, list_filter([CASE WHEN regexp_matches(content, '(?i)\\bignore\\s+(all\\s+)?previous\\b') OR regexp_matches(content, '(?i)\\boverride\\s+(your\\s+)?instructions?\\b') OR regexp_matches(content, '(?i)\\bdisregard\\b') THEN 'override_instruction' END, CASE WHEN regexp_matches(content, '(?i)\\byou\\s+must\\b') THEN 'imperative_directive' END, CASE WHEN regexp_matches(content, '(?i)\\byou\\s+are\\s+now\\b') THEN 'role_override' END, CASE WHEN regexp_matches(content, '(?i)\\bsystem\\s*:\\s*') THEN 'system_prompt_injection' END, CASE WHEN regexp_matches(content, '(?i)\\bforget\\s+(everything|all)\\b') THEN 'memory_wipe' END, CASE WHEN regexp_matches(content, '(?i)\\b(always|never)\\s+(do|say|respond|answer)\\b') THEN 'behavioral_override' END, CASE WHEN regexp_matches(content, '(?i)\\bact\\s+as\\s+(if|though)?\\s*\\b') THEN 'persona_injection' END, CASE WHEN regexp_matches(content, '(?i)\\bnew\\s+instructions?\\s*:') THEN 'instruction_injection' END], x -> x IS NOT NULL) AS list_distinct_in_order FROM memories WHERE content IS NOT NULL)", "memories")
