@@ -93,7 +93,8 @@ def undo_run(memories: DataFrame, salience: DataFrame, actions: DataFrame, run_i
 
     ``actions`` (run_id, kind, memory_id, merged_id, stability): originals of
     ``merge`` live again and their merged memory goes, ``flag`` loses its tag,
-    ``strengthen`` has its old stability back. Quarantine is not undone.
+    ``strengthen`` and ``flag`` have their old stability back if the action holds
+    it. Quarantine is not undone.
     """
     own = actions.where(F.col("run_id") == run_id)
     of = own.groupBy(F.col("memory_id").alias("id")).agg(F.bool_or(F.col("kind") == "merge").alias("_back"), F.bool_or(F.col("kind") == "flag").alias("_flag"))
@@ -102,7 +103,7 @@ def undo_run(memories: DataFrame, salience: DataFrame, actions: DataFrame, run_i
     back, flag = F.coalesce("_back", F.lit(False)), F.coalesce("_flag", F.lit(False))
     rows = rows.withColumn("deleted_at", F.when(~back, F.col("deleted_at"))).withColumn("is_consolidated_original", F.col("is_consolidated_original") & ~back)
     rows = rows.withColumn("tags", F.when(flag, F.array_remove("tags", tag)).otherwise(F.col("tags"))).drop("_back", "_flag")
-    old = own.where("kind = 'strengthen'").groupBy("memory_id").agg(F.min("stability").alias("_old"))
+    old = own.where("kind in ('strengthen', 'flag')").groupBy("memory_id").agg(F.min("stability").alias("_old"))
     return rows, salience.join(old, "memory_id", "left").withColumn("stability", F.coalesce("_old", "stability")).drop("_old")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import intake_queries, record_queries, search_queries, state_queries, table_queries  # noqa: F401
+from . import intake_queries, record_queries, run_queries, search_queries, state_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
