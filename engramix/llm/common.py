@@ -170,35 +170,35 @@ BLOCK_SCHEMA = "block int, counts binary"
 
 
 def emit_blocks(counts: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    """A task's dense uint32 counts as compressed blocks; empty blocks are left out."""
+    """A task's dense counts as compressed blocks of 64-bit numbers; empty blocks are left out."""
     ids, blobs = [], []
     for i in range(0, len(counts), block):
         part = counts[i : i + block]
         if part.any():
             ids.append(i // block)
-            blobs.append(zlib.compress(part.astype("<u4").tobytes(), 1))
+            blobs.append(zlib.compress(part.astype("<u8").tobytes(), 1))
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<u4")
+    return np.frombuffer(zlib.decompress(blob), "<u8")
 
 
 def add_blocks(df: DataFrame) -> DataFrame:
     """Sum blocks of equal number. The array is of fixed size, so is the result.
 
     Each task holds one running sum a block number it is dealt; nothing is
-    gathered per group first. Counts stop at 2^32-1.
+    gathered per group first. Counts have 64 bits.
     """
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = unpack(blob.as_py()).astype(np.uint64)
+                part = unpack(blob.as_py())
                 sums[i] = sums[i] + part if i in sums else part
         for i, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(np.minimum(s, (1 << 32) - 1).astype("<u4").tobytes(), 1)], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(s.astype("<u8").tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     return df.repartition("block").mapInArrow(run, BLOCK_SCHEMA)
 

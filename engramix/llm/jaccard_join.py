@@ -351,7 +351,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, folder: str | Non
 
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for i, blob in common.add_blocks(scanned.where("block is not null").select("block", "counts")).toLocalIterator():  # 2^SKETCH_BITS counters in all
-        counts[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK] = common.unpack(bytes(blob))
+        counts[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK] = np.minimum(common.unpack(bytes(blob)), (1 << 32) - 1)  # orders shingles only
     sketch = spark.sparkContext.broadcast(counts)
 
     postings = common.save(_postings(docs, sketch, shingle, percent), f"{folder}/postings")

@@ -106,7 +106,7 @@ def _words(docs: DataFrame, sizes: Sizes) -> DataFrame:
 
     def run(batches):
         names = ["h", "ending", "n", "block", "counts"]
-        cells = np.zeros(sizes.endings * 2 * sizes.beside, np.uint32)
+        cells = np.zeros(sizes.endings * 2 * sizes.beside, np.uint64)
         held: list[tuple] = []
         size = 0
 
@@ -125,7 +125,7 @@ def _words(docs: DataFrame, sizes: Sizes) -> DataFrame:
                 before = shifted(ending, bounds, -1)
                 both = np.flatnonzero((ending >= 0) & (before >= 0))
                 e, f, wide = ending[both], before[both], 2 * sizes.beside
-                cells += np.bincount(np.concatenate([e * wide + f % sizes.beside, f * wide + sizes.beside + e % sizes.beside]), minlength=len(cells)).astype(np.uint32)
+                cells += np.bincount(np.concatenate([e * wide + f % sizes.beside, f * wide + sizes.beside + e % sizes.beside]), minlength=len(cells)).astype(np.uint64)
                 u, at, n = np.unique(h, return_index=True, return_counts=True)
                 held.append((u, ending[at].astype(np.int32), n))
                 size += len(u)
@@ -202,7 +202,7 @@ def _outcomes(docs: DataFrame, classes: Classes) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # of the size the parameters set
 
     def run(batches):
-        cells = [np.zeros(sizes.leaves * sizes.classes * k, np.uint32) for k in (sizes.classes, sizes.subclasses)]
+        cells = [np.zeros(sizes.leaves * sizes.classes * k, np.uint64) for k in (sizes.classes, sizes.subclasses)]
         for batch in batches:
             for b in common.blocks(batch, "text"):
                 h, ending, bounds = tokens(b.column(0), sizes.endings)
@@ -346,7 +346,7 @@ def train(docs: DataFrame, folder: str, frequent: int = FREQUENT, sizes: Sizes |
     spark = docs.sparkSession
     gathered = common.save(_words(docs, sizes), f"{folder}/gathered")
     counts = common.save(gathered.where("h is not null").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), f"{folder}/counts")
-    beside = np.zeros(sizes.endings * 2 * sizes.beside, np.uint32)
+    beside = np.zeros(sizes.endings * 2 * sizes.beside, np.uint64)
     for i, blob in common.add_blocks(gathered.where("block is not null").select("block", "counts")).toLocalIterator():  # an array of the size the parameters set
         part = common.unpack(bytes(blob))
         beside[i * BLOCK : i * BLOCK + len(part)] = part

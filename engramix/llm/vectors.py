@@ -17,9 +17,9 @@ The measure is the inner product. Pivots order vectors by cosine after a
 coordinate is added that brings all to one length, under which the largest inner
 product is the nearest vector, so vectors of any length are served.
 
-The share of a shard that is ranked exactly is the same at every size, but not
-less than ``least`` candidates a result asked for, as a share of a small shard
-would be too few to choose from.
+What is ranked exactly is, at every size, ``least`` candidates for each result
+asked for and a share of the shard besides, and only entries that are posted under
+a pivot the query reads.
 
 Defined results: vectors that are null, zero, of another number of components
 than most vectors have (of equally many, the larger number), or hold null or
@@ -42,13 +42,13 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pivots: the vectors of least hash. A documented bound: what is fitted on a sample.
-PIVOTS = 256
+PIVOTS = 512
 #: Files a vector is posted in, and files a query opens.
-POSTED = 96
-READS = 48
-#: Share of a shard's entries that a query ranks exactly, and the least number for each result asked for.
-SHARE = 0.2
-LEAST = 12
+POSTED = 192
+READS = 128
+#: A query ranks exactly LEAST entries for each result asked for and this share of a shard's besides.
+SHARE = 0.05
+LEAST = 4
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 
@@ -104,8 +104,9 @@ class Index:
             return Index(*[got[p] for p in Index.PARTS])
 
     def candidates(self, q: np.ndarray, want: int, posted: int, reads: int) -> np.ndarray:
-        """Entries of least footrule distance to the query's order; all that tie with the last."""
+        """Posted entries of least footrule distance to the query's order; all that tie with the last."""
         n = len(self.rows)
+        met = np.zeros(n, bool)
         order = np.argsort(-(self.pivots[:, :-1] @ q), kind="stable")[:reads]  # queries are directions: their added coordinate is zero
         absent = min(posted, len(self.pivots))
         foot = np.zeros(n, np.int32)
@@ -113,13 +114,17 @@ class Index:
             a, b = self.files[p], self.files[p + 1]
             # against what an entry that is not posted here counts
             foot[self.posts[a:b]] += np.abs(self.places[a:b] - place) - abs(absent - place)
-        if want >= n:
-            return np.arange(n)
-        return np.flatnonzero(foot <= np.partition(foot, want - 1)[want - 1])
+            met[self.posts[a:b]] = True
+        entries = np.flatnonzero(met)
+        if not len(entries):
+            return entries
+        own = foot[entries]
+        last = min(want, len(own)) - 1
+        return entries[own <= np.partition(own, last)[last]]
 
     def search(self, q_ids: np.ndarray, q_rows: np.ndarray, k: int, share: float, least: int, posted: int, reads: int):
         """(query id, id, score) arrays: this shard's k best for each query."""
-        want = max(least * k, int(np.ceil(share * len(self.rows))))
+        want = least * k + int(np.ceil(share * len(self.rows)))
         for qid, q in zip(q_ids.tolist(), q_rows, strict=True):
             cand = self.candidates(q, want, posted, reads)
             s = self.rows[cand] @ q
@@ -127,6 +132,8 @@ class Index:
                 # keep ties with the last in, ids decide between them
                 keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                 cand, s = cand[keep], s[keep]
+            if not len(cand):
+                continue
             own = [self.ids[self.heads[c] : self.heads[c + 1]] for c in cand.tolist()]
             i, x = np.concatenate(own), np.repeat(s, [len(o) for o in own])
             i, x = i[i != qid], x[i != qid]
@@ -224,6 +231,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
                     q_ids, q_rows = asked["ids"], asked["rows"]
                 for a in range(0, len(q_ids), 256):
                     got = list(held[1].search(q_ids[a : a + 256], q_rows[a : a + 256], k, share, least, posted, reads))
+                    if not got:
+                        continue
                     q, i, s = (np.concatenate([g[j] for g in got]) for j in range(3))
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
