@@ -13,13 +13,14 @@ counted over both classes too, so its evenness is no evidence.
 A text is scored by the difference of its two log-likelihoods, normalised by
 length: over the whole text, and over the passage of 2, 4, 8 and 16 words in
 which the difference is largest (a shorter text is its own passage). All words
-of all texts count. A logistic curve over those differences, fitted on labelled
-documents kept out of the counts, gives the probability.
+of all texts count. A logistic curve over those differences gives the probability.
 
 Training takes a bounded sample of labelled rows: at most ``per_class``
-documents a class, and as many of either, by a hash of doc_id. Contexts are
-counted by Spark; only the finished tables, at most ``MOST_WORDS`` words and
-``MOST_PAIRS`` pairs, come to the driver. Every document is scored whole.
+documents a class, by a hash of doc_id, as long as a class has no more than ``SAMPLE_BYTES`` of text (one document at least). Contexts are
+counted by Spark; the tables of that sample, with all its words and pairs, come to
+the driver. The curve is fitted by cross-fitting: each document is compared by
+models that did not count its part of the sample, the models that stay count all
+of it. Every document is scored whole.
 
 Defined results: null and empty texts have no words and get the curve's value at
 no difference; null labels are unlabelled; documents with several labels count
@@ -34,19 +35,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 PER_CLASS = 3000
+#: Bytes of text that are learnt of a class, about.
+SAMPLE_BYTES = 24 << 20
+#: Parts of the sample in cross-fitting.
+FOLDS = 3
 #: Contexts taken off every count.
 DISCOUNT = 0.75
 #: Words in the passages compared, besides the whole text.
 PASSAGES = (2, 4, 8, 16)
-#: Entries of the tables sent to tasks, the most frequent ones. Far above what PER_CLASS documents of usual length hold.
-MOST_WORDS = 1 << 20
-MOST_PAIRS = 1 << 22
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -197,44 +199,47 @@ def pair_probabilities(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.select("prev", "word", (F.col("m0") + F.col("m1")).alias("n"), p(0).alias("q0"), p(1).alias("q1"))
 
 
-def _table(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Key columns and ratios of the entries seen most often: of all counts from which on there are at most ``most``."""
-    keys = rows.columns[:-2]
-    least, room = 1 << 62, most
-    for n, entries in sorted(rows.groupBy("n").count().collect(), reverse=True):  # distinct counts: fewer than the root of twice the sample's words
-        room -= entries
-        if room < 0:
-            break
-        least = n
-    got = rows.where(F.col("n") >= least).select(*keys, F.col("r").cast("float")).toArrow()
+def _table(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Key columns and ratios (last) of all entries. Bounded by the sample."""
+    *keys, ratio = rows.columns
+    got = rows.select(*keys, F.col(ratio).cast("float")).toArrow()
     return [got.column(i).to_numpy().view(np.uint64) for i in range(len(keys))], got.column(len(keys)).to_numpy()
 
 
-def fit(texts: DataFrame, share: float, folder: str) -> Model:
-    """Model of (doc_id, toxic, text); a third of the documents is left for the curve. ``share``: that of toxic rows among all labelled."""
-    check = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0
-    pairs = common.save(contexts(texts.where(~check)), f"{folder}/pairs")
+def _count(texts: DataFrame, folder: str) -> Model:
+    """Tables of (toxic, text), without a curve."""
+    pairs = common.save(contexts(texts), f"{folder}/pairs")
     words, unknown0, unknown1 = word_probabilities(pairs)
     words = common.save(words, f"{folder}/words")
-    (word,), word_r = _table(words.select("word", F.log10(F.col("p1") / F.col("p0")).alias("r"), "n"), MOST_WORDS)
-    told = common.save(pair_probabilities(pairs, words), f"{folder}/told")
-    (first, second), pair_r = _table(told.select("prev", "word", F.log10(F.col("q1") / F.col("q0")).alias("r"), "n"), MOST_PAIRS)
+    (word,), word_r = _table(words.select("word", F.log10(F.col("p1") / F.col("p0")).alias("r")))
+    (first, second), pair_r = _table(pair_probabilities(pairs, words).select("prev", "word", F.log10(F.col("q1") / F.col("q0")).alias("r")))
     key = _pair_key(first, second)
     by_word, by_pair = np.argsort(word), np.argsort(key)
-    model = Model(word[by_word], word_r[by_word], float(np.log10(unknown1 / unknown0)), key[by_pair], pair_r[by_pair], np.zeros(2 + len(PASSAGES)))
+    return Model(word[by_word], word_r[by_word], float(np.log10(unknown1 / unknown0)), key[by_pair], pair_r[by_pair], np.zeros(2 + len(PASSAGES)))
+
 
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_PAIRS
+def _compared(texts: DataFrame, model: Model) -> np.ndarray:
+    """A row for each of (toxic, text): its class and its comparisons."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    names = [f"x{j}" for j in range(1 + len(PASSAGES))]
 
     def run(batches):
         for batch in batches:
             for b in common.blocks(batch, "text"):
                 x = shared.value.compare(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["toxic", *[f"x{j}" for j in range(x.shape[1])]])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["toxic", *names])
 
-    got = texts.where(check).select("toxic", "text").mapInArrow(run, ", ".join(["toxic boolean", *[f"x{j} double" for j in range(1 + len(PASSAGES))]])).toArrow()  # a third of the sample, numbers only
-    if got.num_rows:
-        x = np.column_stack([got.column(j + 1).to_numpy() for j in range(1 + len(PASSAGES))])
-        model.slope = _logistic(x, got.column(0).to_numpy().astype(float), share)
+    got = texts.select("toxic", "text").mapInArrow(run, ", ".join(["toxic boolean", *[f"{n} double" for n in names]])).toArrow()  # a part of the sample, numbers only
+    return np.column_stack([got.column(j).to_numpy().astype(float) for j in range(1 + len(names))]) if got.num_rows else np.empty((0, 1 + len(names)))
+
+
+def fit(texts: DataFrame, share: float, folder: str) -> Model:
+    """Model of (doc_id, toxic, text). ``share``: that of toxic rows among all labelled."""
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS))
+    rows = np.concatenate([_compared(texts.where(part == i), _count(texts.where(part != i), f"{folder}/part{i}")) for i in range(FOLDS)])
+    model = _count(texts, f"{folder}/all")
+    if len(rows):
+        model.slope = _logistic(rows[:, 1:], rows[:, 0], share)
     return model
 
 
@@ -243,12 +248,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     order = F.xxhash64(F.lit(11), "doc_id")
     known = own.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
-    n = max(1, min(per_class, *known))
+    # one class alone teaches nothing
+    n = per_class if min(known) else 1
     chosen = own.where("toxic > 0").orderBy(order, "doc_id").limit(n).union(own.where("toxic <= 0").orderBy(order, "doc_id").limit(n))
     # chosen: at most 2 * per_class narrow rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
     folder = common.shared_dir(docs.sparkSession)
-    texts = common.save(rows.groupBy("doc_id", (F.col("toxic") > 0).alias("toxic")).agg(F.min("text").alias("text")), f"{folder}/texts")
+    texts = common.save(rows.groupBy("doc_id", (F.col("toxic") > 0).alias("toxic")).agg(F.min("text").alias("text")), f"{folder}/sampled")
+    lengths = texts.select("doc_id", "toxic", F.octet_length("text").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = lengths.select("doc_id", (before + F.col("n") <= SAMPLE_BYTES).alias("fits"), (before == 0).alias("first")).where("fits or first").select("doc_id")
+    texts = common.save(texts.join(F.broadcast(within), "doc_id"), f"{folder}/texts")
     model = fit(texts, known[0] / max(1, sum(known)), folder)
     common.drop(docs.sparkSession, folder)
     return model
@@ -256,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``score`` added: 0 to 1, higher: toxic likelier. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_PAIRS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
     names = docs.columns
 

@@ -155,9 +155,15 @@ def test_repeats_and_several_labels(spark):
     assert tx.score(clash, one).columns == ["doc_id", "text", "_row", "score"]
 
 
-def test_bounds_are_the_most_frequent(spark, monkeypatch):
+def test_sample_is_bounded_and_its_tables_are_whole(spark, monkeypatch):
     docs, labels = corpus(spark, 200)
-    monkeypatch.setattr(tx, "MOST_WORDS", 50)
-    monkeypatch.setattr(tx, "MOST_PAIRS", 20)
+    own = docs.join(labels, "doc_id").where(~tx.held_out() & F.col("text").isNotNull()).collect()
+    words = {w for r in own for w in r.text.split()}
+    pairs = {p for r in own for p in zip(["", *r.text.split()], r.text.split(), strict=False)}
     model = tx.train(docs, labels)
-    assert 0 < len(model.words) <= 50 and len(model.pairs) <= 20
+    assert len(model.words) == len(words) and len(model.pairs) == len(pairs)  # all of them, however rare
+    monkeypatch.setattr(tx, "SAMPLE_BYTES", 2000)
+    few = tx.train(docs, labels)
+    assert 0 < len(few.pairs) <= 2 * 2000
+    monkeypatch.setattr(tx, "SAMPLE_BYTES", 1)  # the first document of each class stays
+    assert 0 < len(tx.train(docs, labels).words) <= 400
