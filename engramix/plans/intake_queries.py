@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import hashes
 from ..operators import intake as it
+from ..operators import lifecycle as lc
+from ..sources import importing, tail
+from ..streaming import jobs, sweeps
 from .registry import epoch, query
-from .table_queries import _LE
+from .table_queries import _LE, _NORM
 
 LIMITS = it.Limits(batch=8, content=500, excluded=(("licence", "(?i)licensed under"), ("digits", "[0-9]{3}-[0-9]{4}")))
 
@@ -59,3 +65,44 @@ def ingested_memories(t):
 def fnv_hashes(t):
     """FNV-1a of every whole text."""
     return t.memories.where("content is not null").select("id", hashes.fnv1a_hex(F.col("content")).alias("hash"))
+
+
+_NOISY = "strlen(trim(content)) < 50 OR contains(lower(trim(content)), 'license')"
+
+
+@query(
+    "import_resumed",
+    f"WITH o AS (SELECT DISTINCT sha256({_NORM}) AS hash FROM memories WHERE content IS NOT NULL AND doc_id % 10 = 0), c AS (SELECT sha256({_NORM}) AS hash FROM memories WHERE content IS NOT NULL AND NOT ({_NOISY})) SELECT DISTINCT hash, CAST(1 AS BIGINT) AS n FROM c WHERE hash NOT IN (SELECT hash FROM o)",
+    "memories",
+)
+def import_resumed(t):
+    """An import of all texts that ended after three batches, resumed over its half-written manifest: each chunk once."""
+    rows = t.memories.where("content is not null")
+    chunks = rows.select("content", "source", "tags", "created_at")
+    job = importing.Import(t.spark, scratch.folder(t.spark), 8)
+    for most in (3, None):
+        job.run(chunks, rows.where("doc_id % 10 = 0"), noise=["License"], most=most)
+    return job.stored().groupBy("hash").agg(F.count("*").alias("n"))
+
+
+@query("swept", "SELECT id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 ELSE 2 END AS run FROM memories WHERE deleted_at IS NULL AND extraction_status = 'pending'", "memories")
+def swept(t):
+    """The run of a sweep that did each pending memory, of three over a growing table."""
+    sweep = sweeps.Sweep(t.spark, scratch.folder(t.spark), "backfill")
+    pending = lc.queue(t.memories, "extraction").select("id", F.col("created_at").alias("at"), "doc_id")
+    for run in range(3):
+        sweep.run(pending.where(F.col("doc_id") % 3 <= run), lambda rows: None, datetime(2024, 2, 1, run))
+    return sweep.log().select("id", "run")
+
+
+@query("followed_logs", "SELECT coalesce(role, '') AS role, count(*) AS n, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM messages WHERE role IN ('user', 'assistant') AND trim(content) <> '' GROUP BY 1", "messages")
+def followed_logs(t):
+    """Entries of all conversations written as logs in two steps and followed by one stream that is stopped in between."""
+    folder = scratch.folder(t.spark)
+    line = F.to_json(F.struct(F.struct("role", "content").alias("message"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
+    for part in range(2):
+        t.messages.where(F.col("conv_id") % 2 == part).select(line.alias("value")).write.text(f"{folder}/logs/part={part}")
+        stream = tail.follow_logs(t.spark, [f"{folder}/logs"], suffix=".txt")
+        jobs.into(stream, jobs.append_once(f"{folder}/store"), f"{folder}/offsets").awaitTermination()
+    rows = t.spark.read.parquet(f"{folder}/store")
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
