@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scoring as sc
 from ..functions import text as tx
 from . import search as se
@@ -95,40 +96,41 @@ def capped(actions: DataFrame, caps: dict[str, int]) -> DataFrame:
     return few.where(F.col("_p") <= cap).drop("_p").unionByName(actions.where(~bound))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; on a single machine without one, one under /tmp is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file:///tmp/checkpoints")
-    return df.checkpoint()
-
-
 def greedy_clusters(edges: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
     """(cluster, id): seeds in order of (priority, id) absorb neighbours not yet absorbed; at most ``most`` a cluster.
 
-    The order of visits decides, but only along edges: a row is absorbed once an
-    earlier neighbour is known to be a seed, and is a seed once all earlier ones
-    are known not to be. Each round settles all rows of which that is known, and
-    at least the first open one, so nothing is gathered in one task. Rows without
-    a priority come last; of repeated edges the most similar counts.
+    The order of visits decides, but only along edges: a row that no open row
+    could absorb is a seed, and what it has an edge to is absorbed. Each round
+    settles all such rows, and at least the first open one, and goes on with the
+    rows and edges that are still open, so rounds get smaller and nothing is
+    gathered in one task. Rows without a priority come last; of repeated edges the
+    most similar counts.
     """
+    spark = candidates.sparkSession
+    folder = scratch.folder(spark)
     turn = F.struct(F.col("priority").isNull().alias("late"), "priority", "id")
     rows = candidates.groupBy("id").agg(F.min("priority").alias("priority")).select("id", turn.alias("turn"))
     arcs = edges.groupBy(F.col("memory_id").alias("u"), F.col("neighbour").alias("v")).agg(F.max("similarity").alias("s"))
     arcs = arcs.join(rows.select(F.col("id").alias("u"), F.col("turn").alias("tu")), "u").join(rows.select(F.col("id").alias("v"), F.col("turn").alias("tv")), "v")
-    arcs = _checkpointed(arcs.where("tu < tv").select("u", "v", "s", "tu"))
-
-    state = rows.select("id", F.lit(None).cast("boolean").alias("seed"))
-    while True:
-        heard = arcs.join(state.select(F.col("id").alias("u"), "seed"), "u").groupBy(F.col("v").alias("id")).agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("taken"), F.bool_or(F.col("seed").isNull()).alias("open"))
-        known = F.when(F.col("taken"), F.lit(False)).when(F.col("open"), F.lit(None)).otherwise(F.lit(True))
-        state = _checkpointed(state.join(heard, "id", "left").select("id", F.coalesce("seed", known).alias("seed")))
-        if state.where("seed is null").isEmpty():
-            break
-
-    seeds = state.where("seed").select(F.col("id").alias("u"))
+    arcs = scratch.save(arcs.where("tu < tv").select("u", "v", "s", "tu"), f"{folder}/arcs")
+
+    opened = scratch.save(arcs.select("u", "v"), f"{folder}/open0")
+    # rows without edges are seeds at once
+    met = opened.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    left = scratch.save(met, f"{folder}/left0")
+    scratch.save(rows.select("id").join(met, "id", "left_anti"), f"{folder}/seeds0")
+    number = 0
+    while not left.isEmpty():
+        number += 1
+        seeds = scratch.save(left.join(opened.select(F.col("v").alias("id")), "id", "left_anti"), f"{folder}/seeds{number}")
+        taken = opened.join(seeds.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+        done = scratch.save(seeds.unionByName(taken), f"{folder}/done{number}")
+        left = scratch.save(left.join(done, "id", "left_anti"), f"{folder}/left{number}")
+        opened = scratch.save(opened.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"), f"{folder}/open{number}")
+        for name in ("open", "left", "done"):
+            scratch.drop(spark, f"{folder}/{name}{number - 1}")
+
+    seeds = spark.read.schema("id string").parquet(*[f"{folder}/seeds{i}" for i in range(number + 1)]).select(F.col("id").alias("u"))
     absorbed = arcs.join(seeds, "u", "left_semi").groupBy("v").agg(F.min(F.struct("tu", "u", "s")).alias("by"))
     members = seeds.select("u", F.col("u").alias("id"), F.lit(0).alias("later"), F.lit(None).cast("double").alias("s")).union(absorbed.select("by.u", "v", F.lit(1), F.col("by.s").cast("double")))
     place = F.row_number().over(Window.partitionBy("u").orderBy("later", F.col("s").desc(), "id"))

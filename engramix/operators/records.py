@@ -25,20 +25,27 @@ def set_status(memories: DataFrame, written: DataFrame, column: str) -> DataFram
     return memories.join(last, "id", "left").withColumn(column, F.coalesce("_status", column)).drop("_status")
 
 
+def _last_write(written: DataFrame, *columns: str) -> DataFrame:
+    """One write an id: of several the one of the last ``at``, if there is such a column, else the largest."""
+    order = F.struct(*[F.col(c) for c in (("at", *columns) if "at" in written.columns else columns)])
+    return written.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("_w"))
+
+
 def set_abstraction(memories: DataFrame, written: DataFrame, now: Column) -> DataFrame:
-    """Abstract, overview and status of ``written`` (id, abstract, overview, status); bumps updated_at."""
-    w = written.select("id", "abstract", "overview", F.col("status").alias("_status"))
-    hit = F.col("_status").isNotNull()
-    rows = memories.join(w, "id", "left")
-    for column, value in (("abstract_text", "abstract"), ("overview_text", "overview"), ("abstraction_status", "_status")):
-        rows = rows.withColumn(column, F.when(hit, F.col(value)).otherwise(F.col(column)))
-    return rows.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("abstract", "overview", "_status")
+    """Abstract, overview and status of ``written`` (id, abstract, overview, status); bumps updated_at. Other rows stay; one write an id counts."""
+    rows = memories.join(_last_write(written.where("status is not null"), "abstract", "overview", "status"), "id", "left")
+    hit = F.col("_w").isNotNull()
+    for column, value in (("abstract_text", "abstract"), ("overview_text", "overview"), ("abstraction_status", "status")):
+        rows = rows.withColumn(column, F.when(hit, F.col(f"_w.{value}")).otherwise(F.col(column)))
+    return rows.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("_w")
 
 
 def set_event_time(memories: DataFrame, written: DataFrame) -> DataFrame:
-    """Event time and precision of ``written`` (id, time, precision)."""
-    rows = memories.join(written, "id", "left")
-    return rows.withColumn("event_time", F.coalesce("time", "event_time")).withColumn("event_time_precision", F.col("precision")).drop("time", "precision")
+    """Event time and precision of ``written`` (id, time, precision); rows that are not written, or without a time, keep both. One write an id counts."""
+    rows = memories.join(_last_write(written.where("time is not null"), "time", "precision"), "id", "left")
+    hit = F.col("_w").isNotNull()
+    old = F.col("event_time_precision") if "event_time_precision" in memories.columns else F.lit(None).cast("string")
+    return rows.withColumn("event_time", F.when(hit, F.col("_w.time")).otherwise(F.col("event_time"))).withColumn("event_time_precision", F.when(hit, F.col("_w.precision")).otherwise(old)).drop("_w")
 
 
 def set_stability(salience: DataFrame, written: DataFrame) -> DataFrame:

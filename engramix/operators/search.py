@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from . import fulltext
+from .near import neighbours  # noqa: F401
 
 #: Candidates of a leg.
 CANDIDATES = 40
-#: Queries of a block and vectors of a shard that neighbours compares, at most about.
-BLOCK, SHARD = 2048, 1 << 16
 #: Bits of the legs in a fused hit.
 LEG_BITS = {"text": 1, "vector": 2, "symbolic": 4}
 NOT_SHOWN = ["suspicious", "curation:flagged"]
@@ -142,30 +141,6 @@ def after(rows: DataFrame, score: str, cursor: tuple[float, str], limit: int) ->
     return rows.where((F.col(score) < s) | ((F.col(score) == s) & (F.col("id") > i))).orderBy(F.col(score).desc(), "id").limit(limit)
 
 
-def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, least: float, most: float = 1.0) -> DataFrame:
-    """(memory_id, neighbour, similarity, place): each query's k most similar other vectors within a band.
-
-    ``queries`` is a stated set of any size. Blocks of about BLOCK queries meet
-    shards of at most about SHARD vectors by an equi-join on (shard, block), so
-    neither side need be broadcast; norms are taken once a row, not once a pair,
-    and each task ranks its own pairs before the last ranking.
-    """
-    partitions = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = embeddings.count()
-    shards = max(1, -(-n // SHARD), min(partitions, -(-n // 256)))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    tasks = max(partitions, shards)
-    e = embeddings.select("memory_id", "embedding", sc.norm(F.col("embedding")).alias("n"), F.pmod(F.xxhash64("memory_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select(F.col("memory_id").alias("q"), F.col("embedding").alias("qv"), sc.norm(F.col("embedding")).alias("qn"), F.pmod(F.xxhash64("memory_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    keys = ["shard", "block"]
-    pairs = e.repartition(tasks, *keys).join(q.repartition(tasks, *keys), keys).where(F.col("memory_id") != F.col("q"))
-    by = F.col("n") * F.col("qn")
-    cosine = F.when((by == 0) | (F.size("embedding") != F.size("qv")), 0.0).otherwise(sc.dot(F.col("embedding"), F.col("qv")) / by)
-    pairs = pairs.select("q", "memory_id", F.round(cosine, 6).alias("similarity")).where(F.col("similarity").between(least, most))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("similarity").desc(), "memory_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select(F.col("q").alias("memory_id"), F.col("memory_id").alias("neighbour"), "similarity", "place")
-
-
 def encode_cursor(score: Column, key: Column) -> Column:
     """Keyset cursor: URL-safe base64 of JSON."""
     return F.rtrim(F.translate(F.base64(F.encode(F.to_json(F.struct(F.lit("s").alias("t"), score.alias("s"), key.alias("i"))), "UTF-8")), "+/", "-_"), F.lit("="))

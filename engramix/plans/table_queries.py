@@ -313,9 +313,10 @@ def known_hashes(t):
     return h.where("doc_id % 2 = 0").select("hash").join(h.where("doc_id % 2 = 1").select("hash"), "hash", "left_semi").distinct()
 
 
-@query("dedup_pairs", "WITH kn AS (SELECT q.memory_id, e.memory_id AS keeper, round(list_dot_product(e.embedding, q.embedding) / (sqrt(list_sum(list_transform(e.embedding, x -> x*x))) * sqrt(list_sum(list_transform(q.embedding, x -> x*x)))), 6) AS similarity FROM memory_embeddings e, memory_embeddings q WHERE q.label = 5 AND e.memory_id <> q.memory_id) SELECT memory_id, keeper, similarity FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, keeper) AS r FROM kn WHERE similarity BETWEEN 0.35 AND 1.0) WHERE r = 1", "memory_embeddings")
+@query("dedup_pairs", "WITH kn AS (SELECT q.memory_id, e.memory_id AS keeper, round(list_dot_product(e.embedding, q.embedding) / (sqrt(list_sum(list_transform(e.embedding, x -> x*x))) * sqrt(list_sum(list_transform(q.embedding, x -> x*x)))), 6) AS similarity FROM memory_embeddings e, memory_embeddings q WHERE e.memory_id <> q.memory_id) SELECT memory_id, keeper, similarity FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, keeper) AS r FROM kn WHERE similarity BETWEEN 0.35 AND 1.0) WHERE r = 1", "memory_embeddings")
 def dedup_pairs(t):
-    return lc.dedup_pairs(t.memory_embeddings, t.memory_embeddings.where("label = 5"), 0.35)
+    """The best neighbour of every row."""
+    return lc.dedup_pairs(t.memory_embeddings, t.memory_embeddings, 0.35)
 
 
 @query("curation_candidates", f"WITH {_SAL} SELECT id, stability FROM s WHERE {LIVE} AND NOT is_consolidated_original AND created_at > $NOW - INTERVAL 20 DAY", "memories memory_salience")
@@ -344,10 +345,9 @@ def curation_priority(t):
 
 @query("greedy_clusters")
 def greedy_clusters(t):
+    """Clusters of all rows along their ten nearest."""
     e = t.memory_embeddings
-    q = e.where((F.col("label") == 2) & F.col("is_current"))
-    edges = se.neighbours(e.where("label = 2"), q, 10, 0.25)
-    return lc.greedy_clusters(edges, q.select(F.col("memory_id").alias("id"), F.lit(1).alias("priority")))
+    return lc.greedy_clusters(se.neighbours(e, e, 10, 0.35), e.select(F.col("memory_id").alias("id"), F.lit(1).alias("priority")))
 
 
 @query("promotable", f"WITH {_SAL} SELECT id FROM s WHERE {LIVE} AND id IN (SELECT memory_id FROM memory_embeddings WHERE tier = 'fast' AND is_current) AND (stability >= 3.0 OR reinforcement_count >= 4)", "memories memory_salience memory_embeddings")

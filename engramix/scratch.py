@@ -22,3 +22,9 @@ def save(df: DataFrame, path: str) -> DataFrame:
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system layer."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 from engramix.operators import graph as gr
 from engramix.operators import lifecycle as lc
+from engramix.operators import near
 from engramix.operators import search as se
 
 
@@ -40,8 +43,9 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     rows = [(f"m{i:03d}", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)] + [("z0", [0.0] * 4), ("z1", [1.0, 0.0]), ("z2", None)]
     e = spark.createDataFrame(rows, "memory_id string, embedding array<double>")
     whole = sorted(map(tuple, se.neighbours(e, e, 5, 0.2).collect()))
-    monkeypatch.setattr(se, "BLOCK", 7)
-    monkeypatch.setattr(se, "SHARD", 11)
+    monkeypatch.setattr(near, "BLOCK", 7)
+    monkeypatch.setattr(near, "SHARD", 11)
+    monkeypatch.setattr(near, "PIVOTS", 9)
     assert sorted(map(tuple, se.neighbours(e, e, 5, 0.2).collect())) == whole
     norm = {i: sum(x * x for x in v) ** 0.5 for i, v in rows[:120]}
     want = []
@@ -51,6 +55,24 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert [(a, b, n) for a, b, _, n in whole] == [(a, b, n) for a, b, _, n in sorted(want)]
 
 
+def test_cells_lose_no_neighbour_and_tell_clusters_apart(spark):
+    """All thresholds against all pairs; on clusters a small share of the pairs is compared."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 24))
+    x = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 24)) * 0.08
+    x[1400:] = rng.normal(size=(100, 24))  # without direction
+    e = spark.createDataFrame([(f"m{i:04d}", v.tolist()) for i, v in enumerate(x)], "memory_id string, embedding array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    for least in (0.5, 0.95, 0.999):
+        got = {(r.memory_id, r.neighbour): r.similarity for r in se.neighbours(e, e, 2000, least).collect()}
+        assert got == {(f"m{i:04d}", f"m{j:04d}"): s[i, j] for i, j in zip(*np.nonzero(s >= least), strict=True)}
+    assert near.work(e, e, 0.95) < 0.15
+    assert near.work(e, e, -1.0) == 1.0
+    assert se.neighbours(e.limit(0), e, 5, 0.5).collect() == se.neighbours(e, e.limit(0), 5, 0.5).collect() == []
+
+
 def test_related_counts(spark):
     rows = [("a", ["x", "en"], None), ("b", ["x", "y", "x"], None), ("c", ["y"], None), ("d", ["en"], None), ("e", None, None), ("f", ["x"], "2024-01-01"), ("g", ["q", None], None)]
     m = spark.createDataFrame(rows, "id string, tags array<string>, deleted_at string")

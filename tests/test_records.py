@@ -57,3 +57,13 @@ def test_queries_are_cut_as_texts_are(spark):
     rows = spark.createDataFrame([("a", "The end, of the line."), ("b", "of all")], "id string, content string")
     found = lambda q: sorted(r.id for r in search.text_hits(rows, q).collect())
     assert found("lines, end") == found("END-of-Line") == found("the end line") == ["a"] and found("") == found(" ,. ") == found("of the") == []
+
+
+def test_single_column_writes_keep_other_rows(spark):
+    rows = spark.sql("select 'a' as id, timestamp'2023-01-01' as event_time, 'month' as event_time_precision, 'x' as abstract_text, 'y' as overview_text, 'pending' as abstraction_status, timestamp'2023-01-01' as updated_at union all select 'b', timestamp'2022-01-01', 'year', 'p', 'q', 'complete', timestamp'2023-01-01'")
+    written = spark.createDataFrame([("a", "2024-05-06", "day", 1), ("a", "2024-05-07", "day", 2), ("b", None, None, 1)], "id string, t string, precision string, at int").withColumn("time", F.to_timestamp("t")).drop("t")
+    got = {r.id: (str(r.event_time)[:10], r.event_time_precision) for r in records.set_event_time(rows, written).collect()}
+    assert got == {"a": ("2024-05-07", "day"), "b": ("2022-01-01", "year")}
+    told = spark.createDataFrame([("a", "n1", "n2", "complete"), ("a", "n1", "n2", "complete"), ("c", "x", "x", "x")], "id string, abstract string, overview string, status string")
+    out = records.set_abstraction(rows, told, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert sorted((r.id, r.abstract_text, r.abstraction_status) for r in out) == [("a", "n1", "complete"), ("b", "p", "complete")]
