@@ -1,8 +1,10 @@
 """Redaction of secrets and personal data.
 
 Overlapping rules, prefix-keeping masks and an entropy test need the matches of
-all rules side by side, so this is an Arrow function. It only sees rows that the
-JVM's pre-filter lets through; all others are returned unchanged without Python.
+all rules side by side, so this is a pandas function. It gets only the texts that
+the JVM's screen lets through, all others stay null on the way to it. The screen
+looks for the words that a rule's matches hold before it tries the rule's pattern,
+and is evaluated once a text.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ PERSONAL = [
     ("ssn", r"\b(\d{3}-\d{2}-\d{4})\b", None, False),
     ("credit_card", r"\b(\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4})\b", None, False),
 ]
+#: What every match of a rule holds, in lower case where the rule ignores case; rules that are not listed have digits only.
+HOLDS = {
+    "aws_key": ("AKIA",), "anthropic_key": ("sk-ant-api03-",), "openai_key": ("sk-proj", "sk-live", "sk-test", "sk-org-"), "github_pat": ("ghp_",), "github_fine_pat": ("github_pat_",), "slack_token": ("xoxb-", "xoxp-"), "stripe_key": ("sk_live_", "sk_test_"),
+    "npm_token": ("npm_",), "gcp_key": ("AIza",), "twilio_key": ("SK",), "huggingface_token": ("hf_",), "pypi_token": ("pypi-",), "generic_secret": ("secret", "token", "password", "api_key", "apikey"),
+}
 #: Bits per byte below which a generic secret is a placeholder.
 ENTROPY = 3.5
 RESULT = "content string, redactions int, categories string"
@@ -48,7 +55,10 @@ def entropy_bits(text: str) -> float:
 
 def redact_text(text: str, compiled: list, allowed: frozenset[str] = frozenset()) -> tuple[str, int, str]:
     spans, kinds = [], set()
+    low = text.lower()
     for kind, rule, keep, check in compiled:
+        if not _may_hold(kind, text, low):
+            continue
         for m in rule.finditer(text):
             hit = m.group(1)
             if hit in allowed or (check and entropy_bits(hit) < ENTROPY):
@@ -63,6 +73,23 @@ def redact_text(text: str, compiled: list, allowed: frozenset[str] = frozenset()
     return "".join([*out, text[at:]]), n, ",".join(sorted(kinds))
 
 
+def _may_hold(kind: str, text: str, low: str) -> bool:
+    words = HOLDS.get(kind)
+    return words is None or any(w in (low if kind == "generic_secret" else text) for w in words)
+
+
+def matches(kind: str, pattern: str, text: Column) -> Column:
+    """Whether a rule's pattern occurs; texts without what it holds are not tried."""
+    words = HOLDS.get(kind)
+    if words is None:
+        return text.rlike(pattern)
+    of = F.lower(text) if kind == "generic_secret" else text
+    held = F.contains(of, F.lit(words[0]))
+    for w in words[1:]:
+        held = held | F.contains(of, F.lit(w))
+    return held & text.rlike(pattern)
+
+
 def redact(df: DataFrame, column: str = "content", personal: bool = True, allowed: tuple[str, ...] = ()) -> DataFrame:
     """df with ``redacted`` struct(content, redactions, categories) of a text column."""
     rules = RULES + (PERSONAL if personal else [])
@@ -73,16 +100,20 @@ def redact(df: DataFrame, column: str = "content", personal: bool = True, allowe
         return pd.DataFrame([redact_text(t, compiled, frozenset(allowed)) if t is not None else (None, 0, "") for t in texts], columns=["content", "redactions", "categories"])
 
     screen = F.lit(False)
-    for _, pattern, _, _ in rules:
-        screen = screen | F.col(column).rlike(pattern)
-    hit = F.coalesce(screen, F.lit(False))
-    # the function is evaluated on screened texts only; others pass null through it
-    masked = apply(F.when(hit, F.col(column)))
+    for kind, pattern, _, _ in rules:
+        screen = screen | matches(kind, pattern, F.col(column))
+    # the screened text is a column of its own, so the screen is evaluated once
+    rows = df.withColumn("_screened", F.when(F.coalesce(screen, F.lit(False)), F.col(column)))
     untouched = F.struct(F.col(column).alias("content"), F.lit(0).alias("redactions"), F.lit("").alias("categories"))
-    return df.withColumn("redacted", F.when(hit, masked).otherwise(untouched))
+    return rows.withColumn("redacted", apply(F.col("_screened"))).withColumn("redacted", F.when(F.col("_screened").isNotNull(), F.col("redacted")).otherwise(untouched)).drop("_screened")
+
+
+def occurrences(text: Column, rules: list | None = None) -> dict[str, Column]:
+    """Number of matches of each rule (without the entropy test), by its name."""
+    return {k: F.when(F.coalesce(matches(k, p, text), F.lit(False)), F.regexp_count(text, F.lit(p))).otherwise(0).cast("long") for k, p, _, _ in (rules or RULES + PERSONAL)}
 
 
 def screened(text: Column, rules: list | None = None) -> Column:
     """Names of the rules whose pattern occurs (without the entropy test)."""
-    found = F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p, _, _ in (rules or RULES + PERSONAL)])
+    found = F.array(*[F.when(matches(k, p, text), F.lit(k)) for k, p, _, _ in (rules or RULES + PERSONAL)])
     return F.filter(found, lambda x: x.isNotNull())

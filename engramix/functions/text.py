@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Injection signals by name, and their patterns.
@@ -122,20 +124,45 @@ def title_tag(title: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the bytes, in bits."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    pairs = F.regexp_extract_all(hexed, F.lit("[0-9A-F]{2}"), F.lit(0))
-    n = F.size(pairs).cast("double")
-    p = F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b)) / n)
-    return F.when(n == 0, 0.0).otherwise(-F.aggregate(p, F.lit(0.0), lambda s, x: s + x * F.log2(x)))
-
-
-def token_f1(prediction: Column, truth: Column) -> Column:
-    """Multiset F1 of tokens; both empty is 1."""
-    a, b = tokens(prediction), tokens(truth)
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
-    p, r = common / F.size(a), common / F.size(b)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0) | (common == 0), 0.0).otherwise(2 * p * r / (p + r))
+    """Shannon entropy of the bytes, in bits; 0 for an empty text. Bytes of whole Arrow buffers are counted, some megabytes at a time."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out, a = np.zeros(len(texts)), 0
+        while a < len(texts):
+            b = max(a + 1, min(a + 4096, int(np.searchsorted(off, off[a] + (4 << 20), "right")) - 1))
+            size = np.diff(off[a : b + 1])
+            n = np.bincount(np.repeat(np.arange(b - a) << 8, size) + data[off[a] : off[b]], minlength=(b - a) << 8).reshape(b - a, 256)
+            p = n / np.maximum(size, 1)[:, None]
+            out[a:b] = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+            a = b
+        return pa.array(out + 0.0)
+
+    return F.when(text.isNotNull(), run(text))
+
+
+def token_f1(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (prediction, truth and the key columns ``keep``) to (keep, f1): F1 of the tokens as multisets; both empty is 1.
+
+    Tokens are counted by key and token in each task before they are dealt, so a
+    long text is no long array to search.
+    """
+    keys = [F.col(k) for k in keep]
+
+    def side(column: str, of: str):
+        other = "q" if of == "p" else "p"
+        return rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), F.coalesce(tokens(F.col(column)), F.array().cast("array<string>")))).alias("t")).select(*keys, "t", F.lit(1).alias(of), F.lit(0).alias(other)).select(*keep, "t", "p", "q")
+
+    # the empty token keeps rows without tokens
+    n = side("prediction", "p").unionByName(side("truth", "q")).groupBy(*keep, "t").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    own = F.col("t") != ""
+    of = n.groupBy(*keep).agg(F.sum(F.when(own, F.least("p", "q")).otherwise(0)).alias("c"), F.sum(F.when(own, F.col("p")).otherwise(0)).alias("p"), F.sum(F.when(own, F.col("q")).otherwise(0)).alias("q"))
+    p, r = F.col("c") / F.col("p"), F.col("c") / F.col("q")
+    f1 = F.when((F.col("p") == 0) & (F.col("q") == 0), 1.0).when((F.col("p") == 0) | (F.col("q") == 0) | (F.col("c") == 0), 0.0).otherwise(2 * p * r / (p + r))
+    return of.select(*keep, f1.alias("f1"))
 
 
 def abstains(text: Column) -> Column:

@@ -262,10 +262,16 @@ def related_counts(t):
     return gr.related_counts(t.memories, t.memories.where("type_hint = 'decision'"), ["en", "de", "fr", "es"])
 
 
-@query("token_f1", r"WITH x AS (SELECT a.id, regexp_extract_all(lower(coalesce(a.abstract_text, '')), '[\p{L}\p{N}]+') AS p, regexp_extract_all(lower(coalesce(a.overview_text, '')), '[\p{L}\p{N}]+') AS q FROM memories a WHERE a.abstract_text IS NOT NULL), y AS (SELECT id, p, q, coalesce(list_sum(list_transform(list_distinct(p), t -> least(len(list_filter(p, u -> u = t)), len(list_filter(q, u -> u = t))))), 0) AS c FROM x) SELECT id, round(CASE WHEN len(p) = 0 AND len(q) = 0 THEN 1.0 WHEN len(p) = 0 OR len(q) = 0 OR c = 0 THEN 0.0 ELSE 2 * (c / len(p)) * (c / len(q)) / (c / len(p) + c / len(q)) END, 6) AS f1 FROM y", "memories")
+@query(
+    "token_f1",
+    r"WITH x AS (SELECT a.id, regexp_extract_all(lower(coalesce(a.content, '')), '[\p{L}\p{N}]+') AS p, regexp_extract_all(lower(coalesce(b.content, '')), '[\p{L}\p{N}]+') AS q FROM memories a JOIN memories b ON b.id = a.source_ids[1]), pc AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(p) AS t FROM x) GROUP BY ALL), qc AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(q) AS t FROM x) GROUP BY ALL), y AS (SELECT x.id, len(p) AS a, len(q) AS b, coalesce(c, 0) AS c FROM x LEFT JOIN (SELECT pc.id, sum(least(pc.n, qc.n)) AS c FROM pc JOIN qc ON qc.id = pc.id AND qc.t = pc.t GROUP BY pc.id) m ON m.id = x.id) SELECT id, round(CASE WHEN a = 0 AND b = 0 THEN 1.0 WHEN a = 0 OR b = 0 OR c = 0 THEN 0.0 ELSE 2 * (c / a) * (c / b) / (c / a + c / b) END, 6) AS f1 FROM y",
+    "memories",
+)
 def token_f1(t):
-    rows = t.memories.where("abstract_text is not null")
-    return rows.select("id", F.round(tx.token_f1(F.coalesce("abstract_text", F.lit("")), F.coalesce("overview_text", F.lit(""))), 6).alias("f1"))
+    """Every derived text against its first source, whole texts."""
+    source = t.memories.select(F.col("id").alias("source_id"), F.col("content").alias("truth"))
+    rows = t.memories.where("source_ids is not null").select("id", F.col("content").alias("prediction"), F.col("source_ids")[0].alias("source_id")).join(source, "source_id")
+    return tx.token_f1(rows, "id").select("id", F.round("f1", 6).alias("f1"))
 
 
 @query("rerank_blend", "WITH b AS (SELECT id, trust_level, access_count, row_number() OVER (ORDER BY access_count DESC, id) AS r FROM memories ORDER BY access_count DESC, id LIMIT 10) SELECT id, round(0.7 / (1 + r) + 0.3 * (CASE WHEN max(access_count) OVER () - min(access_count) OVER () < 1e-12 THEN 1 ELSE (access_count - min(access_count) OVER ()) / (max(access_count) OVER () - min(access_count) OVER ()) END) * trust_level, 6) AS blended FROM b", "memories")

@@ -490,16 +490,41 @@ def secrets_screened(t):
     return t.memories.where("content is not null").select("id", F.array_contains(found, "credit_card").alias("card"), F.array_contains(found, "aws_key").alias("aws"))
 
 
-@query("event_times", "SELECT conv_id, turn, CASE WHEN regexp_matches(c, '(?i)\\bin\\s+the\\s+(\\d{2})s\\b') THEN 'decade' WHEN regexp_matches(c, '(?i)\\blast\\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b') THEN 'day' ELSE 'year' END AS precision, CASE WHEN turn % 3 = 0 THEN '1990-01-01' WHEN turn % 3 = 1 THEN '2024-01-30' ELSE concat(2000 + turn % 20, '-01-01') END AS day FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'It was in the 90s' WHEN 1 THEN 'We met last Tuesday' ELSE concat('Moved in ', 2000 + turn % 20) END AS c FROM messages)", "messages")
+@query("secrets_counted", "WITH n AS (SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, p, _, _ in rd.RULES + rd.PERSONAL) + " FROM memories WHERE content IS NOT NULL) SELECT * FROM n WHERE " + " + ".join(k for k, _, _, _ in rd.RULES + rd.PERSONAL) + " > 0", "memories")
+def secrets_counted(t):
+    """Matches of each rule in every whole text that has any."""
+    n = rd.occurrences(F.col("content"))
+    rows = t.memories.where("content is not null").select("id", *[c.alias(k) for k, c in n.items()])
+    return rows.where(" + ".join(n) + " > 0")
+
+
+def _dated(t):
+    """Every text, led by a phrase that names a time out of its row's date in one of five ways."""
+    at, k = F.col("created_at"), F.col("doc_id") % 6
+    year, month = F.date_format(at, "yyyy"), F.date_format(at, "MMMM")
+    phrase = F.when(k == 0, F.concat(F.lit("Seen in "), month, F.lit(" "), year)).when(k == 1, F.concat(F.lit("Moved in "), year)).when(k == 2, F.concat(F.lit("It was in the "), F.substring(year, 3, 1), F.lit("0s"))).when(k == 3, F.concat(F.lit("We met last "), month)).when(k == 4, F.concat(F.lit("Written last "), F.date_format(at, "EEEE"))).otherwise("No time")
+    return t.memories.where("content is not null").select("id", F.concat(phrase, F.lit(". "), "content").alias("text"))
+
+
+@query(
+    "event_times",
+    r"""WITH x AS (SELECT id, doc_id % 6 AS k, created_at AS c, content, isodow(created_at) AS d, month(created_at) AS m, year(created_at) AS y, isodow($NOW) AS td, month($NOW) AS tm, year($NOW) AS ty FROM memories WHERE content IS NOT NULL),
+    z AS (SELECT *, regexp_extract(content, '\bin\s+(\d{4})\b', 1) AS other FROM x),
+    e AS (SELECT id, CASE WHEN k = 0 THEN 'month' WHEN k = 1 OR (other <> '' AND CAST(other AS INTEGER) BETWEEN 1900 AND 2100) THEN 'year' WHEN k = 2 THEN 'decade' WHEN k = 3 THEN 'month' WHEN k = 4 THEN 'day' END AS precision,
+      CASE WHEN k = 0 THEN make_date(y, m, 1) WHEN k = 1 THEN make_date(y, 1, 1) WHEN other <> '' AND CAST(other AS INTEGER) BETWEEN 1900 AND 2100 THEN make_date(CAST(other AS BIGINT), 1, 1) WHEN k = 2 THEN make_date(y - y % 10, 1, 1) WHEN k = 3 THEN make_date(CASE WHEN m < tm THEN ty ELSE ty - 1 END, m, 1) WHEN k = 4 THEN CAST($NOW AS DATE) - CAST(CASE WHEN td > d THEN td - d WHEN td = d THEN 7 ELSE 7 - (d - td) END AS INTEGER) END AS day FROM z)
+    SELECT id, precision, strftime(day, '%Y-%m-%d') AS day FROM e""",
+    "memories",
+)
 def event_times(t):
-    c = F.when(F.col("turn") % 3 == 0, "It was in the 90s").when(F.col("turn") % 3 == 1, "We met last Tuesday").otherwise(F.concat(F.lit("Moved in "), (2000 + F.col("turn") % 20).cast("string")))
-    e = tx.event_time(c, now())
-    return t.messages.select("conv_id", "turn", e["precision"].alias("precision"), F.date_format(e["time"], "yyyy-MM-dd").alias("day"))
+    """Times that whole texts name."""
+    e = tx.event_time(F.col("text"), now())
+    return _dated(t).select("id", e["precision"].alias("precision"), F.date_format(e["time"], "yyyy-MM-dd").alias("day"))
 
 
-@query("entropy", "SELECT id, round(CASE WHEN n = 0 THEN 0.0 ELSE -list_sum(list_transform(u, b -> (len(list_filter(h, x -> x = b)) / n::DOUBLE) * log2(len(list_filter(h, x -> x = b)) / n::DOUBLE))) END, 6) AS bits FROM (SELECT id, h, len(h) AS n, list_distinct(h) AS u FROM (SELECT id, regexp_extract_all(hex(encode(abstract_text)), '[0-9A-F]{2}') AS h FROM memories WHERE abstract_text IS NOT NULL))", "memories")
+@query("entropy", "WITH b AS (SELECT id, unnest(regexp_extract_all(hex(encode(content)), '..')) AS x FROM memories WHERE content IS NOT NULL), c AS (SELECT id, x, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY ALL), t AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM c) SELECT m.id, round(coalesce(-sum(p * log2(p)), 0.0), 6) + 0.0 AS bits FROM memories m LEFT JOIN t ON t.id = m.id WHERE content IS NOT NULL GROUP BY m.id", "memories")
 def entropy(t):
-    return t.memories.where("abstract_text is not null").select("id", F.round(tx.entropy(F.col("abstract_text")), 6).alias("bits"))
+    """Entropy of every whole text."""
+    return t.memories.where("content is not null").select("id", F.round(tx.entropy(F.col("content")), 6).alias("bits"))
 
 
 @query("title_tags", "SELECT DISTINCT trim(regexp_replace(lower(type_hint || ' / ' || source), '[^a-z0-9]+', '-', 'g'), '-') AS tag FROM memories WHERE source IS NOT NULL", "memories")
