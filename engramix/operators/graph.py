@@ -59,6 +59,15 @@ def relationship_contradictions(edges: DataFrame, opposites: DataFrame) -> DataF
     return x.join(F.broadcast(opposites), "predicate_a").join(y, ["subject_id", "object_id", "predicate_b"]).where("first < second").select("subject_id", "object_id", "first", "second", "predicate_a", "predicate_b")
 
 
+def contradictions(facts: DataFrame, edges: DataFrame, opposites: DataFrame) -> DataFrame:
+    """One report (kind, entity_id, other_id, topic, n): attributes with several active values, and opposed edges between two entities."""
+    scalar = scalar_contradictions(facts).select(F.lit("fact").alias("kind"), "entity_id", F.lit(None).cast("string").alias("other_id"), F.col("attribute").alias("topic"), F.col("n_values").alias("n"))
+    pairs = relationship_contradictions(edges, opposites)
+    topic = F.concat_ws("/", F.least("predicate_a", "predicate_b"), F.greatest("predicate_a", "predicate_b"))
+    opposed = pairs.groupBy(F.col("subject_id").alias("entity_id"), F.col("object_id").alias("other_id"), topic.alias("topic")).agg(F.count("*").alias("n"))
+    return scalar.unionByName(opposed.select(F.lit("relationship").alias("kind"), "entity_id", "other_id", "topic", "n"))
+
+
 def as_of(facts: DataFrame, at: Column) -> DataFrame:
     return facts.where((F.col("valid_from") <= at) & (F.col("invalid_at").isNull() | (at < F.col("invalid_at"))))
 

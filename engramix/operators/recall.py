@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from . import search as se
+from .state import best_of_tiers
 
 
 def unseen(memories: DataFrame, recalls: DataFrame, session: str) -> DataFrame:
@@ -27,10 +28,11 @@ def boosted(rows: DataFrame, explicit: list[str], session_tags: list[str]) -> Da
     return rows.withColumn("boosted", F.round((F.col("relevance") + extra) * F.greatest(F.col("trust_level"), F.lit(0.05)), 6))
 
 
-def by_vector(memories: DataFrame, embeddings: DataFrame, salience: DataFrame, recalls: DataFrame, session: str, vector: Column, least: float = 0.7, limit: int = 3, explicit: list[str] = (), session_tags: list[str] = ()) -> DataFrame:
-    """id, fact, relevance, boosted of the best unseen rows."""
+def by_vector(memories: DataFrame, embeddings: DataFrame, salience: DataFrame, recalls: DataFrame, session: str, vector: Column | dict[str, Column], least: float = 0.7, limit: int = 3, explicit: list[str] = (), session_tags: list[str] = ()) -> DataFrame:
+    """id, fact, relevance, boosted of the best unseen rows. ``vector`` may map embedding tiers to vectors: then the largest relevance counts."""
     rows = unseen(se.tier_filter(se.searchable(memories), None), recalls, session)
-    hits = se.vector_hits(rows, embeddings, vector).withColumnRenamed("score", "relevance").where(F.col("relevance") >= least)
+    found = best_of_tiers([se.vector_hits(rows, embeddings, v, tier) for tier, v in vector.items()]) if isinstance(vector, dict) else se.vector_hits(rows, embeddings, vector)
+    hits = found.withColumnRenamed("score", "relevance").where(F.col("relevance") >= least)
     rows = hits.join(rows.select("id", "tags", "trust_level"), "id").join(one_fact_each(memories), "id").join(salience.select(F.col("memory_id").alias("id"), "stability"), "id", "left")
     top = rows.withColumn("stability", F.coalesce("stability", F.lit(1.0))).orderBy(F.col("relevance").desc(), F.col("stability").desc(), "id").limit(limit)
     return boosted(top, list(explicit), list(session_tags)).select("id", "fact", "relevance", "stability", "boosted").orderBy(F.col("boosted").desc(), "id")

@@ -100,6 +100,31 @@ def mentions_of(mentions: DataFrame, memories: DataFrame, entity_id: str) -> Dat
     return own.orderBy(F.col("created_at").desc(), "id")
 
 
+def get_batch(memories: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, missing) for ids wanted (id): live rows, touched, and ids of which none lives. Repeated ids are one."""
+    ids = wanted.select("id").distinct()
+    rows = memories.where("deleted_at is null").join(ids, "id", "left_semi")
+    touched = rows.withColumn("access_count", F.col("access_count") + 1).withColumn("last_accessed_at", now)
+    return touched, ids.join(rows.select("id"), "id", "left_anti")
+
+
+def benchmark_report(results: DataFrame) -> DataFrame:
+    """A row a category and one over all (category null) of (category, correct, latency_ms, found, evidence).
+
+    accuracy, the mean of the categories' accuracies (over all only), retrieval
+    recall, mean latency in whole milliseconds and the latency at place ceil(0.95 n).
+    """
+
+    def measures():
+        correct, n = F.count_if("correct"), F.count("*")
+        found, evidence = F.sum("found"), F.sum("evidence")
+        return [n.alias("total"), correct.alias("correct"), (correct / n).alias("accuracy"), F.when(evidence > 0, found / evidence).otherwise(0.0).alias("recall"), F.floor(F.avg("latency_ms")).alias("mean_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95_ms")]
+
+    each = results.groupBy("category").agg(*measures())
+    whole = results.agg(*measures()).where("total > 0").select(F.lit(None).cast("string").alias("category"), "*").join(F.broadcast(each.agg(F.avg("accuracy").alias("task_averaged"))))  # one row each
+    return each.withColumn("task_averaged", F.lit(None).cast("double")).unionByName(whole)
+
+
 def with_vectors(memories: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Rows with their current vector and its model, null where there is none."""
     current = embeddings.where("is_current").groupBy("memory_id").agg(F.max_by(F.struct("embedding", "model_name"), F.struct("model_name", "tier")).alias("_e"))

@@ -114,14 +114,22 @@ def fuse_lists(lists: list[DataFrame], k: float = 60.0) -> DataFrame:
     return fuse({f"list{i}": (x, k) for i, x in enumerate(lists)}).select("id", "score")
 
 
-def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES, index: fulltext.Index | None = None) -> DataFrame:
-    """Three legs, fused; a leg of weight 0 is left out of the plan."""
+def best_places(legs: list[DataFrame]) -> DataFrame:
+    """(id, rank): the best place of each row in any of the lists."""
+    return reduce(DataFrame.unionByName, [x.select("id", "rank") for x in legs]).groupBy("id").agg(F.min("rank").alias("rank"))
+
+
+def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | dict[str, list[float]] | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES, index: fulltext.Index | None = None) -> DataFrame:
+    """Three legs, fused; a leg of weight 0 is left out of the plan. ``vector`` may map embedding tiers to vectors: then a row's place is its best of any tier."""
     rows = searchable(memories)
     legs = {}
     for leg, weight in zip(("text", "vector", "symbolic"), weights, strict=True):
         k = sc.leg_k(base_k, weight)
         if k is None or (leg == "vector" and vector is None):
             continue
+        if leg == "vector" and isinstance(vector, dict):
+            legs[leg] = (best_places([ranked(vector_hits(rows, embeddings, v, tier), "score", candidates, tier) for tier, v in vector.items()]), k)
+            continue
         hits = text_hits(rows, query, index) if leg == "text" else vector_hits(rows, embeddings, vector) if leg == "vector" else symbolic_hits(rows, symbol or query)
         legs[leg] = (ranked(hits, "score", candidates, leg), k)
     return fuse(legs).orderBy(F.col("score").desc(), "id").limit(limit)
@@ -141,12 +149,24 @@ def after(rows: DataFrame, score: str, cursor: tuple[float, str], limit: int) ->
     return rows.where((F.col(score) < s) | ((F.col(score) == s) & (F.col("id") > i))).orderBy(F.col(score).desc(), "id").limit(limit)
 
 
-def encode_cursor(score: Column, key: Column) -> Column:
-    """Keyset cursor: URL-safe base64 of JSON."""
-    return F.rtrim(F.translate(F.base64(F.encode(F.to_json(F.struct(F.lit("s").alias("t"), score.alias("s"), key.alias("i"))), "UTF-8")), "+/", "-_"), F.lit("="))
+def encode_cursor(score: Column, key: Column, kind: str = "s") -> Column:
+    """Keyset cursor: URL-safe base64, without padding, of JSON with its kind (s: search, l: list)."""
+    plain = F.to_json(F.struct(F.lit(kind).alias("t"), score.alias("s"), key.alias("i")))
+    return F.rtrim(F.translate(F.base64(F.encode(plain, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
-def decode_cursor(cursor: Column) -> Column:
-    """struct(t, s, i); null for anything else."""
+def _opened(cursor: Column) -> Column:
     padded = F.rpad(F.translate(cursor, "-_", "+/"), F.length(cursor) + (4 - F.length(cursor) % 4) % 4, F.lit("="))
-    return F.from_json(F.decode(F.unbase64(padded), "UTF-8"), "t string, s double, i string")
+    return F.from_json(F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")), "t string, s double, i string")
+
+
+def cursor_error(cursor: Column) -> Column:
+    """Why a text is no search cursor, or null if it is one."""
+    c = _opened(cursor)
+    kind = F.coalesce(c["t"], F.lit(""))
+    return F.when(cursor.isNull() | c.isNull() | (c["t"].isNull() & c["s"].isNull() & c["i"].isNull()), "invalid cursor").when(kind != "s", F.concat(F.lit("invalid cursor type '"), kind, F.lit("': expected search cursor (t=s)"))).when(c["s"].isNull() | c["i"].isNull(), "incomplete cursor")
+
+
+def decode_cursor(cursor: Column) -> Column:
+    """struct(t, s, i) of a search cursor; null for anything else, list cursors too."""
+    return F.when(cursor_error(cursor).isNull(), _opened(cursor))

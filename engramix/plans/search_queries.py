@@ -87,6 +87,16 @@ def hybrid_search(t):
     return se.hybrid(t.memories, t.memory_embeddings, WORDS, probe(t), "en", index=t.text_index)
 
 
+_TIERS = "v1 AS (SELECT id, min(rank) AS rank FROM (SELECT v.id, row_number() OVER (PARTITION BY tier ORDER BY score DESC, v.id) AS rank FROM vh v JOIN memory_embeddings e ON e.memory_id = v.id) WHERE rank <= 40 GROUP BY id)"
+
+
+@query("hybrid_tiers", f"WITH {_LEGS.replace(_top('vh', 'v1'), _TIERS)}, {_FUSED} SELECT id, score, {_LABEL} AS legs FROM fu ORDER BY score DESC, id LIMIT 20", "memories memory_embeddings")
+def hybrid_tiers(t):
+    """The vector leg holds the best place of each row in any embedding tier."""
+    v = probe(t)
+    return se.hybrid(t.memories, t.memory_embeddings, WORDS, {"fast": v, "quality": v}, "en", index=t.text_index)
+
+
 @query("hybrid_two_legs", f"WITH {_LEGS}, fu AS (SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 1.0 / (60.0 + rank) AS s FROM t1 UNION ALL SELECT id, 1.0 / (30.0 + rank) FROM v1) GROUP BY id) SELECT id, score FROM fu ORDER BY score DESC, id LIMIT 20", "memories memory_embeddings")
 def hybrid_two_legs(t):
     """A leg of weight 0 is not planned at all; weight 2 halves k."""

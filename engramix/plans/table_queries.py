@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import redaction as rd
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import graph as gr
 from ..operators import ingest as ig
 from ..operators import lifecycle as lc
+from ..operators import records as rc
 from ..operators import search as se
+from ..sources import readers
+from ..sources import writers as wr
 from .registry import epoch, now, query
 
 LIVE = "deleted_at IS NULL"
@@ -167,10 +171,47 @@ def latency_regressions(t):
     return both.select("endpoint", F.round(100 * ratio, 6).alias("change"), (ratio > 0.2).alias("regressed"))
 
 
-@query("benchmark_report", "WITH g AS (SELECT type_hint AS category, project, avg(trust_level) AS score FROM memories GROUP BY ALL) SELECT category, round(avg(score), 6) AS task_averaged, count(*) AS tasks FROM g GROUP BY 1", "memories")
+@query(
+    "benchmark_report",
+    "WITH r AS (SELECT type_hint AS category, trust_level >= 0.5 AS correct, length(content) % 997 AS latency_ms, len(source_ids) - doc_id % 2 AS found, len(source_ids) AS evidence FROM memories), c AS (SELECT category, count(*) AS total, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct) / count(*) AS accuracy, coalesce(sum(found) / sum(evidence), 0.0) AS recall, CAST(floor(avg(latency_ms)) AS BIGINT) AS mean_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM r GROUP BY GROUPING SETS ((category), ())) SELECT category, total, correct, round(accuracy, 6) AS accuracy, round(recall, 6) AS recall, mean_ms, p95_ms, CASE WHEN category IS NULL THEN round((SELECT avg(accuracy) FROM c WHERE category IS NOT NULL), 6) END AS task_averaged FROM c",
+    "memories",
+)
 def benchmark_report(t):
-    per_task = t.memories.groupBy(F.col("type_hint").alias("category"), "project").agg(F.avg("trust_level").alias("score"))
-    return per_task.groupBy("category").agg(F.round(F.avg("score"), 6).alias("task_averaged"), F.count("*").alias("tasks"))
+    """Rows as answers: right if trusted, by the evidence of their sources and the length of their text as latency."""
+    rows = t.memories.select(F.col("type_hint").alias("category"), (F.col("trust_level") >= 0.5).alias("correct"), (F.char_length("content") % 997).alias("latency_ms"), (F.when(F.col("source_ids").isNotNull(), F.size("source_ids")) - F.col("doc_id") % 2).alias("found"), F.when(F.col("source_ids").isNotNull(), F.size("source_ids")).alias("evidence"))
+    out = rc.benchmark_report(rows)
+    return out.select("category", "total", "correct", *[F.round(c, 6).alias(c) for c in ("accuracy", "recall", "task_averaged")], "mean_ms", "p95_ms")
+
+
+@query("batch_get", "WITH w AS (SELECT DISTINCT concat('m', lpad(CAST(doc_id * 2 AS VARCHAR), 9, '0')) AS id FROM memories WHERE doc_id % 7 = 0) SELECT w.id, m.id IS NOT NULL AS found, m.access_count + 1 AS access_count FROM w LEFT JOIN memories m ON m.id = w.id AND m.deleted_at IS NULL", "memories")
+def batch_get(t):
+    """Live rows asked for, touched, and ids that none has."""
+    wanted = t.memories.where("doc_id % 7 = 0").select(F.concat(F.lit("m"), F.lpad((F.col("doc_id") * 2).cast("string"), 9, "0")).alias("id"))
+    found, missing = rc.get_batch(t.memories, wanted, now())
+    return found.select("id", F.lit(True).alias("found"), "access_count").unionByName(missing.select("id", F.lit(False).alias("found")), allowMissingColumns=True)
+
+
+@query("contradiction_report", "WITH f AS (SELECT 'fact' AS kind, entity_id, CAST(NULL AS VARCHAR) AS other_id, attribute AS topic, count(DISTINCT value) AS n FROM entity_facts WHERE invalid_at IS NULL GROUP BY ALL HAVING count(*) > 1), r AS (SELECT 'relationship' AS kind, x.subject_id AS entity_id, x.object_id AS other_id, concat_ws('/', least(x.predicate, y.predicate), greatest(x.predicate, y.predicate)) AS topic, count(*) AS n FROM relationships x JOIN predicate_contradictions c ON c.predicate_a = x.predicate JOIN relationships y ON y.subject_id = x.subject_id AND y.object_id = x.object_id AND y.predicate = c.predicate_b WHERE x.invalid_at IS NULL AND y.invalid_at IS NULL AND x.id < y.id GROUP BY ALL) SELECT * FROM f UNION ALL SELECT * FROM r", "entity_facts relationships predicate_contradictions")
+def contradiction_report(t):
+    return gr.contradictions(t.entity_facts, t.relationships, t.predicate_contradictions)
+
+
+@query("graph_export", "SELECT 'entity' AS record_type, count(*) AS n FROM entities UNION ALL SELECT 'relationship', count(*) FROM relationships WHERE subject_id IN (SELECT id FROM entities) AND object_id IN (SELECT id FROM entities) UNION ALL SELECT 'fact', count(*) FROM entity_facts WHERE entity_id IN (SELECT id FROM entities)", "entities relationships entity_facts")
+def graph_export(t):
+    """Lines of a graph export that the import reads back."""
+    folder = scratch.folder(t.spark)
+    wr.graph_lines(t.entities, t.relationships, t.entity_facts).select("value").write.text(folder)
+    rows = readers.jsonl_lines(t.spark, folder)
+    return rows.where("_corrupt is null").groupBy("record_type").agg(F.count("*").alias("n"))
+
+
+@query("cursor_checks", "SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'invalid cursor' WHEN doc_id % 2 = 1 THEN 'invalid cursor type ''l'': expected search cursor (t=s)' END AS error, CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN id END AS key FROM memories", "memories")
+def cursor_checks(t):
+    """Search cursors, list cursors and broken ones of all rows."""
+    score = F.col("trust_level").cast("double")
+    made = F.when(F.col("doc_id") % 2 == 0, se.encode_cursor(score, F.col("id"))).otherwise(se.encode_cursor(score, F.col("id"), "l"))
+    cursor = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("!"), F.substring(made, 2, 999))).otherwise(made)
+    return t.memories.select("id", se.cursor_error(cursor).alias("error"), se.decode_cursor(cursor)["i"].alias("key"))
 
 
 @query("daily_counts", "SELECT floor(epoch(date_trunc('day', ts)))::BIGINT AS day, event_type, count(*) AS n FROM auto_entries GROUP BY ALL", "auto_entries")
@@ -180,7 +221,7 @@ def daily_counts(t):
 
 @query("alias_merge", "WITH x AS (SELECT entity_type, unnest(aliases) AS a FROM entities) SELECT entity_type, count(DISTINCT a) AS aliases FROM x GROUP BY 1", "entities")
 def alias_merge(t):
-    return t.entities.groupBy("entity_type").agg(F.size(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"))
+    return t.entities.select("entity_type", F.explode("aliases").alias("a")).groupBy("entity_type").agg(F.count_distinct("a").cast("long").alias("aliases"))
 
 
 @query("tag_union", "WITH x AS (SELECT project, unnest(tags) AS tag FROM memories) SELECT project, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM x GROUP BY 1", "memories")

@@ -17,6 +17,23 @@ def to_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def graph_lines(entities: DataFrame, relationships: DataFrame, facts: DataFrame) -> DataFrame:
+    """JSON lines of a graph as the import reads them: entities, then relationships and facts with the names and types of their ends."""
+    key = lambda prefix: entities.select(F.col("id").alias(f"{prefix}_id"), F.col("name").alias(prefix), F.col("entity_type").alias(f"{prefix}_type"))
+    own = entities.select(F.lit("entity").alias("record_type"), "name", "entity_type", "aliases")
+    edges = relationships.join(key("subject"), "subject_id").join(key("object"), "object_id").select(F.lit("relationship").alias("record_type"), "subject", "subject_type", "object", "object_type", "predicate")
+    of = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "entity_type")
+    told = facts.join(of, "entity_id").select(F.lit("fact").alias("record_type"), "entity", "entity_type", "attribute", "value")
+    lines = [x.select("record_type", F.to_json(F.struct("*")).alias("value")) for x in (own, edges, told)]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+def export_all(memories: DataFrame, entities: DataFrame, relationships: DataFrame, facts: DataFrame, path: str) -> None:
+    """One JSONL export of memories and graph."""
+    own = memories.select(F.to_json(F.struct("*")).alias("value"))
+    own.unionByName(graph_lines(entities, relationships, facts).select("value")).write.mode("overwrite").text(path)
+
+
 def to_csv(df: DataFrame, path: str) -> None:
     """Tags joined by spaces, RFC 4180 quotes."""
     flat = [F.array_join(c, " ").alias(c) if kind == "array<string>" else F.col(c) for c, kind in df.dtypes]

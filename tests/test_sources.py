@@ -117,3 +117,16 @@ def test_archive_limits_are_rejected_visibly(spark, tmp_path, monkeypatch):
     assert sorted(r.rejected.split(" ")[0] for r in rows.collect() if r.rejected) == ["1", "entry", "unsafe"]
     got = readers.tree_messages(rows).collect()
     assert [(r.conversation_id, r.place, r.role, r.content) for r in got] == [("c1", 0, "user", "hi"), ("c1", 1, "assistant", "yo")]
+
+
+def test_graph_export_is_read_back(spark, tmp_path):
+    e = spark.createDataFrame([("1", "A", "person", ["a"]), ("2", "B", "place", None)], "id string, name string, entity_type string, aliases array<string>")
+    r = spark.createDataFrame([("1", "2", "in"), ("1", "9", "lost")], "subject_id string, object_id string, predicate string")
+    f = spark.createDataFrame([("2", "size", "large"), ("9", "x", "y")], "entity_id string, attribute string, value string")
+    m = spark.createDataFrame([("m1", "a text", "fact")], "id string, content string, type_hint string")
+    writers.export_all(m, e, r, f, str(tmp_path / "out"))
+    back = readers.jsonl_graph(spark, str(tmp_path / "out"))
+    assert sorted((x.name, x.entity_type, x.aliases) for x in back["entities"].collect()) == [("A", "person", ["a"]), ("B", "place", [])]
+    assert [x.predicate for x in back["relationships"].collect()] == ["in"]
+    assert [(x.attribute, x.value) for x in back["facts"].collect()] == [("size", "large")]
+    assert [x.content for x in readers.jsonl_memories(spark, str(tmp_path / "out")).collect()] == ["a text"]
