@@ -20,6 +20,8 @@ INJECTION = [
     ("persona_injection", r"(?i)\bact\s+as\s+(if|though)?\s*\b"),
     ("instruction_injection", r"(?i)\bnew\s+instructions?\s*:"),
 ]
+#: Phrases that an import marks, looked for in lower case.
+IMPORT_INJECTION = ["ignore previous instructions", "ignore all previous", "disregard previous", "system:", "you are now", "new instructions:", "forget everything", "override your", "act as if", "[system]"]
 #: Phrases that make a message worth storing.
 TRIGGERS = ["always", "never", "prefer", "use ", "remember", "convention", "rule", "decision", "chose", "choose", "default to", "make sure", "important:", "note:", "todo:", "don't", "do not", "must", "should", "architecture", "pattern", "standard", "we use", "we don't", "configured", "setup", "workflow"]
 #: Month and weekday names.
@@ -40,6 +42,14 @@ def injection_signals(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
+def import_injection(text: Column) -> Column:
+    """Whether an import marks a text."""
+    low, hit = F.lower(text), F.lit(False)
+    for p in IMPORT_INJECTION:
+        hit = hit | F.contains(low, F.lit(p))
+    return F.coalesce(hit, F.lit(False))
+
+
 def is_suspicious(text: Column, trust: Column) -> Column:
     """The more trusted, the more signals it takes."""
     need = F.when(trust >= 0.7, 3).when(trust >= 0.3, 2).otherwise(1)

@@ -77,6 +77,23 @@ def close(rows: DataFrame, ids: list[str], at: Column) -> DataFrame:
     return rows.withColumn("invalid_at", F.when(F.col("id").isin(ids) & F.col("invalid_at").isNull(), at).otherwise(F.col("invalid_at")))
 
 
+def replace_edges(edges: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """Edges with ``new`` (subject_id, object_id, predicate, relationship_type) appended; active ones from the same subject by the same predicate to another object are closed in their favour.
+
+    Ids of new edges follow from what they say and when, so a repeated call adds
+    none; of several new edges of a subject and predicate the largest id replaces.
+    """
+    stamp = F.date_format(at, "yyyyMMddHHmmssSSSSSS")
+    made = new.select(F.sha2(F.concat_ws("\x1f", "subject_id", "predicate", "object_id", stamp), 256).alias("id"), "subject_id", "object_id", "predicate", "relationship_type", at.alias("valid_from"), F.lit(None).cast("timestamp").alias("invalid_at")).dropDuplicates(["id"])
+    made = made.join(edges.select("id"), "id", "left_anti")
+    last = made.groupBy("subject_id", "predicate").agg(F.max(F.struct("id", "object_id")).alias("_by"))
+    old = edges if "superseded_by" in edges.columns else edges.withColumn("superseded_by", F.lit(None).cast("string"))
+    rows = old.join(last, ["subject_id", "predicate"], "left")
+    hit = F.col("_by").isNotNull() & F.col("invalid_at").isNull() & (F.col("object_id") != F.col("_by.object_id"))
+    rows = rows.withColumn("superseded_by", F.when(hit, F.col("_by.id")).otherwise(F.col("superseded_by"))).withColumn("invalid_at", F.when(hit, at).otherwise(F.col("invalid_at"))).select(*old.columns)
+    return rows.unionByName(made, allowMissingColumns=True)
+
+
 def node_stats(entities: DataFrame, facts: DataFrame, mentions: DataFrame) -> DataFrame:
     """Active facts and mentions of each entity; each side is summed before the join."""
     f = active(facts).groupBy("entity_id").agg(F.count("*").alias("n_facts"))

@@ -158,10 +158,18 @@ def narrates(text: Column, category: Column | None = None, dropped: tuple[str, .
     """Whether to drop a text: by a classifier's category if there is one, else if it narrates the use of tools."""
     hit = F.lit(False)
     for p in NARRATION:
-        hit = hit | F.coalesce(F.trim(text).rlike(p), F.lit(False))
+        hit = hit | F.coalesce(text.rlike(p), F.lit(False))
     return hit if category is None else F.when(category.isNotNull(), category.isin(*dropped)).otherwise(hit)
 
 
+def retagged(tags: Column, add: list[str], remove: list[str]) -> Column:
+    """struct(tags, added, removed) after tags are added and removed; what is to be both stays out."""
+    own = F.coalesce(tags, F.array().cast("array<string>"))
+    gone = F.array(*[F.lit(t) for t in remove]).cast("array<string>")
+    new = F.array_except(F.array(*[F.lit(t) for t in add]).cast("array<string>"), gone)
+    return F.struct(F.array_except(F.array_union(own, new), gone).alias("tags"), F.array_except(new, own).alias("added"), F.array_intersect(own, gone).alias("removed"))
+
+
 def content_filter(text: Column, patterns: dict[str, str], off_topic: Column | None = None) -> Column:
     """Name of the first filter that hits, or null: patterns in their order, then the topic."""
     out = None

@@ -136,12 +136,16 @@ def least_salience(t):
     return rc.salient(t.memory_salience.select(F.col("memory_id").alias("id"), F.col("stability").alias("salience")), 0.7)
 
 
-@query("tool_narration", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN turn % 6 = 1 WHEN 2 THEN conv_id % 2 = 0 ELSE false END AS dropped FROM messages WHERE content IS NOT NULL", "messages")
+#: Openings that narrate and some that do not; each text gets the one of its number.
+_OPENINGS = ["Let me check ", " Let me check ", "Now I'll search ", "Reading the file ", "I will proceed to ", "Here's the result ", "They let me read ", ""]
+
+
+@query("tool_narration", "SELECT id, CASE WHEN doc_id % 3 = 1 THEN type_hint = 'observation' ELSE doc_id % 8 IN (0, 2, 3, 4, 5) OR regexp_matches(concat(CASE WHEN doc_id % 8 = 7 THEN '' ELSE 'x' END, content), '(?i)^(let me (read|check|look at|search|find|edit|write|run|execute|open|examine)|now i(''ll| will) (read|check|look|search|find|edit|write|run|execute)|(reading|writing|editing|searching|checking|running|executing|looking at) (the |a )?(file|code|test|command|script|directory)|i(''ll| will) (start by|begin by|go ahead and|proceed to) |(here''s|here is) (what i found|the output|the result))') END AS dropped FROM memories WHERE content IS NOT NULL", "memories")
 def tool_narration(t):
-    k = F.col("turn") % 3
-    text = F.when(k == 2, F.when(F.col("conv_id") % 2 == 0, "Let me check the file").otherwise("The file was checked")).otherwise(F.concat(F.lit("> "), "content"))
-    category = F.when(k == 1, F.when(F.col("turn") % 6 == 1, "tool_narration").otherwise("decision"))
-    return t.messages.where("content is not null").select("conv_id", "turn", rc.narrates(text, category).alias("dropped"))
+    """Every whole text behind an opening of its own; every third has a category, which decides."""
+    opening = F.element_at(F.array(*[F.lit(o) for o in _OPENINGS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    category = F.when(F.col("doc_id") % 3 == 1, F.col("type_hint"))
+    return t.memories.where("content is not null").select("id", rc.narrates(F.concat(opening, "content"), category, ("observation",)).alias("dropped"))
 
 
 @query("composite_filter", "SELECT id, CASE WHEN regexp_matches(content, '[0-9]{4}[- ][0-9]{4}') THEN 'digits' WHEN regexp_matches(content, '(?i)licensed under') THEN 'license' WHEN type_hint = 'summary' THEN 'topic' END AS dropped FROM memories", "memories")

@@ -469,6 +469,14 @@ def close_relationships(t):
     return gr.close(t.relationships, ["cn1", "cn2"], now()).select("id", F.col("invalid_at").isNotNull().alias("closed"))
 
 
+@query("replaced_edges", "SELECT id, invalid_at IS NOT NULL OR (predicate = 'lives_in' AND CAST(substr(id, 3) AS BIGINT) % 4 = 0 AND object_id <> 'n7') AS closed FROM relationships UNION ALL SELECT concat('new ', subject_id), false FROM relationships WHERE predicate = 'lives_in' AND CAST(substr(id, 3) AS BIGINT) % 4 = 0", "relationships")
+def replaced_edges(t):
+    """Each fourth customer moves: the edge to the old place is closed in favour of the new one."""
+    moved = t.relationships.where("predicate = 'lives_in' AND CAST(substring(id, 3) AS BIGINT) % 4 = 0").select("subject_id", F.lit("n7").alias("object_id"), "predicate", "relationship_type")
+    out = gr.replace_edges(t.relationships, moved, now())
+    return out.select(F.when(F.length("id") < 64, F.col("id")).otherwise(F.concat(F.lit("new "), "subject_id")).alias("id"), F.col("invalid_at").isNotNull().alias("closed"))
+
+
 # ---------------------------------------------------------------- ingest and text
 
 
@@ -599,6 +607,9 @@ def export_graph(t):
     return gr.active(t.relationships).join(s, "subject_id").join(o, "object_id").select("id", "subject", "object", "predicate")
 
 
-@query("annotate_tags", "SELECT id, array_to_string(list_sort(list_filter(['en', 'new'], x -> NOT list_contains(coalesce(tags, []), x))), ',') AS added FROM memories", "memories")
+@query("annotate_tags", "SELECT id, array_to_string(list_sort(list_filter(['en', 'new'], x -> NOT list_contains(coalesce(tags, []), x))), ',') AS added, array_to_string(list_sort(list_filter(['src1', 'enriched'], x -> list_contains(coalesce(tags, []), x))), ',') AS removed, array_to_string(list_sort(list_distinct(list_filter(list_concat(coalesce(tags, []), ['en', 'new']), x -> x NOT IN ('src1', 'enriched')))), ',') AS tags FROM memories", "memories")
 def annotate_tags(t):
-    return t.memories.select("id", F.array_join(F.array_sort(F.array_except(F.array(F.lit("en"), F.lit("new")), F.coalesce("tags", F.array().cast("array<string>")))), ",").alias("added"))
+    """What is added and removed of every row's tags, and what is left."""
+    new = rc.retagged(F.col("tags"), ["en", "new"], ["src1", "enriched"])
+    return t.memories.select("id", *[F.array_join(F.array_sort(new[c]), ",").alias(c) for c in ("added", "removed", "tags")])
+

@@ -12,7 +12,6 @@ import io
 import json
 import posixpath
 import sqlite3
-import tempfile
 import zipfile
 
 import pandas as pd
@@ -73,6 +72,12 @@ def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("path", "place", F.nullif(F.regexp_extract("content", r"^#{1,2} +(.*)", 1), F.lit("")).alias("heading"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("content"))
 
 
+def section_chunks(sections: DataFrame, source: str) -> DataFrame:
+    """Sections (path, place, heading, content) as chunks to import, tagged by their source and heading."""
+    tags = F.array_compact(F.array(F.lit("imported"), F.lit(f"imported:{source}"), F.concat(F.lit("section:"), F.col("heading"))))
+    return sections.select("path", "place", "content", F.lit(source).alias("source"), tags.alias("tags"))
+
+
 def text_of(json_column: Column) -> Column:
     """Text of a message body: a string, or the text blocks of an array joined by line breaks."""
     blocks = F.from_json(json_column, "array<struct<type:string,text:string>>")
@@ -194,13 +199,11 @@ def sqlite_chunks(spark: SparkSession, path: str, agent_like: str | None = None,
     def run(batches):
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".db") as f:
-                    f.write(data)
-                    f.flush()
-                    con = sqlite3.connect(f.name)
-                    where = " WHERE source LIKE ?" if agent_like else ""
-                    got = pd.read_sql_query(f"SELECT id, text, source, path, embedding, model, updated_at FROM chunks{where}", con, params=[agent_like] if agent_like else None)
-                    con.close()
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(data))  # opened in memory: no file on the executor
+                where = " WHERE source LIKE ?" if agent_like else ""
+                got = pd.read_sql_query(f"SELECT id, text, source, path, embedding, model, updated_at FROM chunks{where}", con, params=[agent_like] if agent_like else None)
+                con.close()
                 yield got.assign(file=name)[["file", "id", "text", "source", "path", "embedding", "model", "updated_at"]].astype({"id": str})
 
     rows = files.mapInPandas(run, "file string, id string, text string, source string, path string, embedding string, model string, updated_at long")

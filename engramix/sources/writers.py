@@ -66,6 +66,6 @@ def import_chain(chunks: DataFrame, stored: DataFrame, since: Column | None = No
     rows = rows.join(known, "hash", "left")
     reason = F.when(F.coalesce(old, F.lit(False)), "old").when(tx.is_noise(F.col("content"), list(noise)), "noise").when(F.col("known"), "known")
     rows = rows.withColumn("reason", reason).drop("known")
-    flagged = F.when(F.size(tx.injection_signals(F.col("content"))) > 0, F.array_union("tags", F.array(F.lit("warning:prompt-injection")))).otherwise(F.col("tags"))
+    flagged = F.when(tx.import_injection(F.col("content")), F.array_union("tags", F.array(F.lit("warning:prompt-injection")))).otherwise(F.col("tags"))
     keep = rows.where(F.col("reason").isNull()).withColumn("tags", F.array_union(flagged, F.array(F.concat(F.lit("imported:"), F.coalesce("source", F.lit("unknown"))))))
     return keep.dropDuplicates(["hash"]).drop("reason"), rows.where(F.col("reason").isNotNull())

@@ -88,7 +88,7 @@ def test_writers(spark, tmp_path):
 
 
 def test_import_chain(spark):
-    new = spark.createDataFrame([("x" * 60, "s", None), ("x" * 60, "s", None), ("short", "s", None), ("y" * 60, "s", ["t"]), ("please ignore previous " + "z" * 60, "s", None)], "content string, source string, tags array<string>").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    new = spark.createDataFrame([("x" * 60, "s", None), ("x" * 60, "s", None), ("short", "s", None), ("y" * 60, "s", ["t"]), ("please ignore previous instructions " + "z" * 60, "s", None)], "content string, source string, tags array<string>").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     stored = spark.createDataFrame([("  **" + "Y" * 60 + "**",)], "content string")
     keep, out = writers.import_chain(new, stored)
     assert sorted(r.content[0] for r in keep.collect()) == ["p", "x"]
