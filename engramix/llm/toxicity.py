@@ -230,6 +230,7 @@ def _compared(texts: DataFrame, model: Model) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, j]) for j in range(x.shape[1])]], ["toxic", *names])
 
     got = texts.select("toxic", "text").mapInArrow(run, ", ".join(["toxic boolean", *[f"{n} double" for n in names]])).toArrow()  # a part of the sample, numbers only
+    shared.unpersist()
     return np.column_stack([got.column(j).to_numpy().astype(float) for j in range(1 + len(names))]) if got.num_rows else np.empty((0, 1 + len(names)))
 
 
@@ -261,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     texts = common.save(texts.join(F.broadcast(within), "doc_id"), f"{folder}/texts")
     model = fit(texts, known[0] / max(1, sum(known)), folder)
     common.drop(docs.sparkSession, folder)
+    common.trim()  # of the driver: the parts' models are gone
     return model
 
 
