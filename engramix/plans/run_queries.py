@@ -10,10 +10,10 @@ from ..operators import retention as rt
 from .registry import now, query
 from .table_queries import _SAL, LIVE
 
-GC = rt.Policy(floor=40, threshold=5.0, min_age_days=30, grace_days=30)
+GC = rt.Policy(floor=40, threshold=5.5, min_age_days=30, grace_days=30)
 
 _GC = f"""{_SAL}, b AS (SELECT greatest(0, count(*) - 40) AS budget FROM memories WHERE {LIVE}),
-    pr AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY stability, id) AS r FROM s WHERE {LIVE} AND stability < 5.0 AND epoch($NOW - created_at) / 86400.0 > 30 AND NOT is_consolidated_original), b WHERE r <= budget),
+    pr AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY stability, id) AS r FROM s WHERE {LIVE} AND stability < 5.5 AND epoch($NOW - created_at) / 86400.0 > 30 AND NOT is_consolidated_original), b WHERE r <= budget),
     ex AS (SELECT id FROM memories, b WHERE {LIVE} AND expires_at < $NOW AND budget > 0), dm AS (SELECT id FROM pr UNION SELECT id FROM ex),
     ph AS (SELECT id FROM memories WHERE deleted_at IS NOT NULL AND epoch($NOW - deleted_at) / 86400.0 > 30),
     oph AS (SELECT m.id FROM memories m WHERE {LIVE} AND id NOT IN (SELECT id FROM dm) AND list_has_any(coalesce(source_ids, []), (SELECT list(id) FROM dm)))"""

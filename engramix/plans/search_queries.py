@@ -246,7 +246,7 @@ def reinforce(t):
     return t.memory_salience.select("memory_id", *[F.round(sc.reinforced(s, days, F.lit(r)), 6).alias(r) for r in ("good", "easy")], F.round(sc.recall_bump(s), 6).alias("recalled"), *[F.round(sc.feedback(s, F.col("difficulty"), F.lit(x))[0], 6).alias(x) for x in ("useful", "irrelevant")])
 
 
-@query("search_cursor")
+@query("search_cursor", f"""WITH {_SEARCHABLE}, {_PROBE}, {_VECTOR}, t AS (SELECT id, score FROM vh ORDER BY score DESC, id LIMIT 10) SELECT id, rtrim(translate(base64(encode(concat('{{"t":"s","s":', CAST(score AS VARCHAR), ',"i":"', id, '"}}'))), '+/', '-_'), '=') AS cursor, true AS same_id, true AS same_score FROM t""", "memories memory_embeddings")
 def search_cursor(t):
     """Cursors of a page and what they decode to."""
     page = se.vector_hits(se.searchable(t.memories), t.memory_embeddings, probe(t)).orderBy(F.col("score").desc(), "id").limit(10)

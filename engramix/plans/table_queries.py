@@ -315,9 +315,9 @@ def derived_from(t):
 _SAL = "s AS (SELECT m.*, coalesce(stability, 1.0) AS stability, coalesce(reinforcement_count, 0) AS reinforcement_count, last_reinforced_at FROM memories m LEFT JOIN memory_salience x ON x.memory_id = m.id)"
 
 
-@query("gc_candidates", f"WITH {_SAL} SELECT id, stability FROM s WHERE {LIVE} AND stability < 5.0 AND epoch($NOW - created_at) / 86400.0 > 30 AND NOT is_consolidated_original", "memories memory_salience")
+@query("gc_candidates", f"WITH {_SAL} SELECT id, stability FROM s WHERE {LIVE} AND stability < 5.5 AND epoch($NOW - created_at) / 86400.0 > 30 AND NOT is_consolidated_original", "memories memory_salience")
 def gc_candidates(t):
-    return lc.gc_candidates(t.memories, t.memory_salience, now(), 5.0).select("id", "stability")
+    return lc.gc_candidates(t.memories, t.memory_salience, now(), 5.5).select("id", "stability")
 
 
 @query("expired", f"SELECT id FROM memories WHERE {LIVE} AND expires_at < $NOW", "memories")
