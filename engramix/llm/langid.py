@@ -17,8 +17,8 @@ Calibration: a third of the sample is kept out of the counts. A logistic curve
 over the margin to the second language and the length gives the probability that
 the choice is right (``score``). A text is ``rejected`` where its cross-entropy,
 less its language's usual one, times the root of its length, exceeds all but
-``REJECTED`` of the kept-out texts of that language, or where the score is
-below one half. The best language is still named.
+``REJECTED`` of the kept-out texts of that language (twice the largest, where
+those are too few to tell), or where the score is below one half. The best language is still named.
 
 Bounds: a model learns from about ``PER_LANG`` documents a language (chosen by a
 hash of doc_id at a rate that the language's count sets) and of the ``LANGUAGES``
@@ -302,7 +302,8 @@ def _calibrate(model: Model, texts: DataFrame, place: dict[int, int]) -> None:
             x.usual = float(np.average(least[own], weights=size[own]))
             beyond = np.sort((least[own] - x.usual) * np.sqrt(size[own]))
             at = int(np.ceil((len(beyond) + 1) * (1 - REJECTED)))
-            x.bound = float(beyond[at - 1]) if at <= len(beyond) else float(np.inf)
+            # too few texts tell no such bound: then twice the largest is one
+            x.bound = float(beyond[at - 1]) if at <= len(beyond) else 2 * max(float(beyond[-1]), 1.0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
