@@ -140,6 +140,28 @@ def priority(trust: Column, age_minutes: Column) -> Column:
     return F.when((trust <= 0.3) & (age_minutes < 60), 1).when(trust <= 0.7, 2).otherwise(3)
 
 
+def routed(rules: dict[str, dict], default: str, type_hint: Column, stability: Column, size: Column) -> Column:
+    """Embedding tier of a row: the first tier, in the order given, all of whose conditions hold, else the default.
+
+    Conditions are any of ``types`` (a list; an empty one asks nothing),
+    ``stability`` and ``size`` (least values); what is null meets none. The
+    default tier's own conditions are not asked.
+    """
+    out = None
+    for tier, asked in rules.items():
+        if tier == default:
+            continue
+        hit = F.lit(True)
+        if asked.get("types"):
+            hit &= F.coalesce(type_hint.isin(*asked["types"]), F.lit(False))
+        if asked.get("stability") is not None:
+            hit &= F.coalesce(stability >= asked["stability"], F.lit(False))
+        if asked.get("size") is not None:
+            hit &= F.coalesce(size >= asked["size"], F.lit(False))
+        out = F.when(hit, tier) if out is None else out.when(hit, tier)
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
 def rerank_blend(llm_rank: Column, normalised_salience: Column, trust: Column) -> Column:
     return 0.7 / (1 + llm_rank) + 0.3 * normalised_salience * trust
 

@@ -129,6 +129,13 @@ def agent_from_path(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"/agents/([^/]+)/", 1), F.lit(""))
 
 
+def agent_name(path: Column, source: Column, stem: Column) -> Column:
+    """Agent of a chunk: of sessions the second part of the path unless it is a date, else the stem of the file."""
+    part = F.get(F.split(path, "/"), F.lit(1))
+    dated = part.contains("-") & (F.octet_length(part) == 10)
+    return F.when((source == "sessions") & part.isNotNull() & ~dated, part).otherwise(stem)
+
+
 def title_tag(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-"), F.lit("-"))
 

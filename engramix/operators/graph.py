@@ -137,19 +137,43 @@ def derived_from(memories: DataFrame) -> DataFrame:
     return memories.join(used, "id", "left_semi")
 
 
+#: Rows of at most this many tags are counted by the subsets of their tags.
+FEW_TAGS = 6
+
+
+def _subsets(tags: Column) -> Column:
+    """All subsets of an array but the empty one, each in the order of the array."""
+    every = F.aggregate(tags, F.array(F.array().cast("array<string>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, t))))
+    return F.filter(every, lambda s: F.size(s) > 0)
+
+
 def related_counts(memories: DataFrame, ids: DataFrame, trivial: list[str]) -> DataFrame:
     """(id, related): how many other live rows share a tag that is not trivial; rows without any are left out.
 
-    Rows of equal tags are counted first, so that a common tag joins distinct
-    sets of tags, not rows. Ids are taken to be unique.
+    How many rows hold a subset of tags is counted once for each subset, and a
+    row adds those of its own subsets, odd ones up and even ones down (inclusion
+    and exclusion): a tag that all rows share costs one count, and no two rows
+    meet. Where either row has more than ``FEW_TAGS`` tags its subsets would be
+    too many; such rows meet the others by distinct sets of tags. Ids are taken
+    to be unique.
     """
     own = F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull() & ~t.isin(trivial))))
     rows = memories.where(F.col("deleted_at").isNull()).select("id", own.alias("own")).where(F.size("own") > 0)
     sets = rows.groupBy("own").agg(F.count("*").alias("n"))
     wanted = rows.join(ids.select("id").distinct(), "id", "left_semi")
-    asked = wanted.select("own").distinct().select("own", F.explode("own").alias("tag"))
-    met = asked.join(sets.select(F.col("own").alias("other"), "n", F.explode("own").alias("tag")), "tag").select("own", "other", "n").distinct()
-    total = met.groupBy("own").agg((F.sum("n") - 1).alias("related"))
+    asked = wanted.select("own").distinct()
+    few = F.size("own") <= FEW_TAGS
+
+    held = sets.where(few).select(F.explode(_subsets(F.col("own"))).alias("part"), "n").groupBy("part").agg(F.sum("n").alias("n"))
+    signed = F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    by_subset = asked.where(few).select("own", F.explode(_subsets(F.col("own"))).alias("part")).join(held, "part").select("own", signed.alias("n"))
+
+    tagged = asked.select("own", F.explode("own").alias("tag"))
+    others = sets.select(F.col("own").alias("other"), "n", F.explode("own").alias("tag"))
+    met = tagged.where(few).join(others.where(F.size("other") > FEW_TAGS), "tag").unionByName(tagged.where(~few).join(others, "tag"))
+    by_set = met.select("own", "other", "n").distinct().select("own", "n")
+
+    total = by_subset.unionByName(by_set).groupBy("own").agg((F.sum("n") - 1).alias("related"))
     return wanted.join(total, "own").where("related > 0").select("id", "related")
 
 

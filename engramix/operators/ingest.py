@@ -15,29 +15,6 @@ def reply_chain(messages: DataFrame, group: str, order: str, key: Column, ok: st
     return messages.withColumn("reply_to", F.last(F.when(F.col(ok), key), ignorenulls=True).over(w))
 
 
-def first_in_window(rows: DataFrame, keys: list[str], at: str, order: str, seconds: int) -> DataFrame:
-    """Rows kept when a repeat within ``seconds`` of the last *kept* row is dropped.
-
-    A dropped repeat does not move the window, so this is a fold over each key's
-    rows in time order. Rows are first cut where a gap of the window's length
-    starts a new chain (there the fold starts anew whatever came before), which
-    keeps the folded arrays as short as a burst.
-    """
-    w = Window.partitionBy(*keys).orderBy(at, order)
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = F.coalesce((t - F.lag(t).over(w)) >= seconds * 1_000_000, F.lit(True))
-    chained = rows.withColumn("_chain", F.sum(gap.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o")))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{dict(rows.dtypes)[order]}>").alias("kept"))
-
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x["o"])).otherwise(acc["kept"]).alias("kept"))
-
-    kept = packed.select(F.explode(F.aggregate("_rows", start, step)["kept"]).alias(order))
-    return rows.join(kept, order, "left_semi")
-
-
 def idempotent(new: DataFrame, keys: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(rows to store, rows already stored under an unexpired key)."""
     live = keys.where(F.col("expires_at") > now).select("idempotency_key", "memory_id")

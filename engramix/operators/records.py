@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import records as rf
 from ..functions import sentences
 from ..functions import text as tx
@@ -108,6 +109,39 @@ def get_batch(memories: DataFrame, wanted: DataFrame, now: Column) -> tuple[Data
     return touched, ids.join(rows.select("id"), "id", "left_anti")
 
 
+def percentiles(rows: DataFrame, key: str, value: str, *shares: float) -> DataFrame:
+    """(key, p50, ...): exact percentiles, the value at place ceil(share * n) of each key's values in order.
+
+    Equal values are counted before the shuffle, so a key's task sees its
+    distinct values, in a sort that can spill. Null values do not count; a key
+    with no value has no row, a null key is a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).join(total, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.groupBy(key).agg(*[F.min(F.when(F.col("_upto") >= F.lit(p) * F.col("_all"), F.col(value))).alias(f"p{round(p * 100)}") for p in shares])
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in an order: counted in sorted ranges, each starting after those before it.
+
+    Where the order ties, equal rows stand in any order; give a unique last column.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    saved = scratch.save(placed, scratch.folder(rows.sparkSession))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = saved.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", before.alias("_before"))  # one row a range
+    return saved.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def fact_formats(memories: DataFrame, facts: str) -> DataFrame:
+    """One row: how many rows with finished extraction hold structured facts, flat ones and none, by the JSON of ``facts``."""
+    structured = F.col(facts).contains('"entity"')
+    return memories.where("extraction_status = 'complete'").agg(F.count_if(structured).alias("structured"), F.count_if(~structured).alias("flat"), F.count_if(F.col(facts).isNull()).alias("without"))
+
+
 def benchmark_report(results: DataFrame) -> DataFrame:
     """A row a category and one over all (category null) of (category, correct, latency_ms, found, evidence).
 

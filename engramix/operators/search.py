@@ -40,6 +40,12 @@ def searchable(memories: DataFrame) -> DataFrame:
     return live(memories).where(~has_any(F.col("tags"), NOT_SHOWN)).where(~F.col("is_consolidated_original"))
 
 
+def leaks(results: DataFrame, memories: DataFrame) -> DataFrame:
+    """Results (id, ...) that are quarantined and should not have been returned."""
+    hidden = memories.where(has_any(F.col("tags"), NOT_SHOWN)).select("id")
+    return results.join(hidden, "id", "left_semi")
+
+
 def tier_filter(memories: DataFrame, tiers: list[str] | str | None) -> DataFrame:
     """None hides raw; 'all' hides nothing; else the tiers listed."""
     if tiers == "all":

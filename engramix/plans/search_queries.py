@@ -261,10 +261,12 @@ def session_expansion(t):
     return m.join(best, "session_id", "left_semi").select("id", "session_id", F.unix_timestamp("created_at").alias("at"))
 
 
-@query("quarantine_leaks", "SELECT id FROM memories WHERE list_has_any(coalesce(tags, []), ['suspicious', 'curation:flagged']) AND trust_level > 0.05", "memories")
+@query("quarantine_leaks", "SELECT 'listed' AS results, id FROM memories WHERE deleted_at IS NULL AND type_hint = 'fact' AND list_has_any(coalesce(tags, []), ['suspicious', 'curation:flagged'])", "memories")
 def quarantine_leaks(t):
-    """Quarantined rows whose trust was not lowered."""
-    return t.memories.where(se.has_any(F.col("tags"), se.NOT_SHOWN) & (F.col("trust_level") > 0.05)).select("id")
+    """A plain list leaks what is quarantined, what searches may show does not."""
+    listed = se.live(t.memories).where("type_hint = 'fact'").select("id", F.lit("listed").alias("results"))
+    shown = se.searchable(t.memories).select("id", F.lit("searched").alias("results"))
+    return se.leaks(listed.unionByName(shown), t.memories).select("results", "id")
 
 
 @query("related_counts", "WITH g AS (SELECT DISTINCT id, unnest(tags) AS tag FROM memories WHERE deleted_at IS NULL), x AS (SELECT * FROM g WHERE tag NOT IN ('en', 'de', 'fr', 'es')) SELECT a.id, count(DISTINCT b.id) AS related FROM x a JOIN x b ON a.tag = b.tag AND a.id <> b.id JOIN memories m ON m.id = a.id WHERE m.type_hint = 'decision' GROUP BY a.id", "memories")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -13,6 +12,7 @@ from ..operators import graph as gr
 from ..operators import ingest as ig
 from ..operators import lifecycle as lc
 from ..operators import records as rc
+from ..operators import repeats
 from ..operators import search as se
 from ..sources import readers
 from ..sources import writers as wr
@@ -29,9 +29,11 @@ def count_live(t):
     return se.live(t.memories).agg(F.count("*").alias("n"))
 
 
-@query("point_lookup", "SELECT id, md5(content) AS content FROM memories WHERE id = 'm000000042'", "memories")
+@query("point_lookup", f"SELECT id, md5(content) AS content, access_count + 1 AS access_count FROM memories WHERE id = 'm000000042' AND {LIVE}", "memories")
 def point_lookup(t):
-    return t.memories.where(F.col("id") == "m000000042").select("id", F.md5("content").alias("content"))
+    """One live row, touched."""
+    wanted = t.spark.createDataFrame([("m000000042",)], "id string")
+    return rc.get_batch(t.memories.where(F.col("id") == "m000000042"), wanted, now())[0].select("id", F.md5("content").alias("content"), "access_count")
 
 
 @query("batch_lookup", f"WITH w AS (SELECT unnest(['m000000003', 'm000000023', 'm999999999', 'm000000046']) AS id) SELECT w.id, m.id IS NOT NULL AS found FROM w LEFT JOIN memories m ON m.id = w.id AND m.{LIVE}", "memories")
@@ -115,10 +117,11 @@ def validation(t):
     return ig.validate(t.memories, 20000, 2, 4).select("id", "rejected")
 
 
-@query("routing", "SELECT m.id, CASE WHEN type_hint IN ('decision', 'preference') AND coalesce(stability, 1.0) >= 2 THEN 'quality' WHEN strlen(content) > 4000 THEN 'quality' ELSE 'fast' END AS tier FROM memories m LEFT JOIN memory_salience s ON s.memory_id = m.id", "memories memory_salience")
+@query("routing", "SELECT m.id, CASE WHEN type_hint IN ('decision', 'preference') AND coalesce(stability, 1.0) >= 2 THEN 'quality' WHEN strlen(content) >= 4000 THEN 'long' ELSE 'fast' END AS tier FROM memories m LEFT JOIN memory_salience s ON s.memory_id = m.id", "memories memory_salience")
 def routing(t):
     rows = lc.with_salience(t.memories, t.memory_salience)
-    return rows.select("id", F.when(F.col("type_hint").isin("decision", "preference") & (F.col("stability") >= 2), "quality").when(F.octet_length("content") > 4000, "quality").otherwise("fast").alias("tier"))
+    rules = {"fast": {"size": 0}, "quality": {"types": ["decision", "preference"], "stability": 2}, "long": {"size": 4000}}
+    return rows.select("id", sc.routed(rules, "fast", F.col("type_hint"), F.col("stability"), F.octet_length("content")).alias("tier"))
 
 
 @query("embedding_text", "SELECT id, md5(concat_ws(' ', coalesce(abstract_text, content), array_to_string(tags, ' '))) AS text FROM memories WHERE tags IS NOT NULL", "memories")
@@ -144,27 +147,31 @@ def pipeline_health(t):
     return t.memories.groupingSets([[F.col("extraction_status")], [F.col("normalization_status")], []], "extraction_status", "normalization_status").agg(F.count("*").alias("n"))
 
 
-@query("fact_formats", "SELECT count(*) FILTER (WHERE facts IS NULL) AS without, count(*) FILTER (WHERE len(facts) > 2) AS many, count(*) FILTER (WHERE len(facts) BETWEEN 1 AND 2) AS few FROM memories", "memories")
+@query("fact_formats", """WITH x AS (SELECT CASE WHEN doc_id % 3 = 0 THEN CAST(to_json(list_transform(facts, f -> {'entity': entities[1], 'value': f})) AS VARCHAR) ELSE CAST(to_json(facts) AS VARCHAR) END AS j, extraction_status FROM memories) SELECT count(*) FILTER (WHERE j LIKE '%"entity"%') AS structured, count(*) FILTER (WHERE j NOT LIKE '%"entity"%') AS flat, count(*) FILTER (WHERE j IS NULL) AS without FROM x WHERE extraction_status = 'complete'""", "memories")
 def fact_formats(t):
-    return t.memories.agg(F.count_if(F.col("facts").isNull()).alias("without"), F.count_if(F.size("facts") > 2).alias("many"), F.count_if(F.size("facts").between(1, 2)).alias("few"))
+    """Each third row's facts in the structured form."""
+    structured = F.to_json(F.transform("facts", lambda f: F.struct(F.col("entities")[0].alias("entity"), f.alias("value"))))
+    rows = t.memories.withColumn("json", F.when(F.col("doc_id") % 3 == 0, structured).otherwise(F.to_json("facts")))
+    return rc.fact_formats(rows, "json")
 
 
-@query("status_report", f"SELECT count(*) AS total, count(*) FILTER (WHERE {LIVE}) AS live, count(*) FILTER (WHERE embedding_status = 'pending') AS to_embed, count(*) FILTER (WHERE extraction_status = 'pending') AS to_extract, count(*) FILTER (WHERE is_consolidated_original) AS superseded, count(DISTINCT project) AS projects FROM memories", "memories")
+@query("status_report", f"SELECT count(*) AS total, count(*) FILTER (WHERE {LIVE}) AS live, count(*) FILTER (WHERE embedding_status = 'pending') AS to_embed, count(*) FILTER (WHERE extraction_status = 'pending') AS to_extract, count(*) FILTER (WHERE abstraction_status = 'pending') AS to_abstract, count(*) FILTER (WHERE is_consolidated_original) AS superseded, count(DISTINCT project) AS projects FROM memories", "memories")
 def status_report(t):
-    return t.memories.agg(F.count("*").alias("total"), F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("embedding_status") == "pending").alias("to_embed"), F.count_if(F.col("extraction_status") == "pending").alias("to_extract"), F.count_if("is_consolidated_original").alias("superseded"), F.count_distinct("project").alias("projects"))
+    return t.memories.agg(F.count("*").alias("total"), F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("embedding_status") == "pending").alias("to_embed"), F.count_if(F.col("extraction_status") == "pending").alias("to_extract"), F.count_if(F.col("abstraction_status") == "pending").alias("to_abstract"), F.count_if("is_consolidated_original").alias("superseded"), F.count_distinct("project").alias("projects"))
 
 
 @query("latency_percentiles", "SELECT event_type AS endpoint, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS worst, count(*) FILTER (WHERE value > 90) AS errors FROM auto_entries GROUP BY 1", "auto_entries")
 def latency_percentiles(t):
-    """The value at place ceil(p n): an exact percentile, not an estimate."""
-    p = {f"p{int(q * 100)}": F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)") for q in (0.5, 0.95, 0.99)}
-    return t.auto_entries.groupBy(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("n"), *[e.alias(n) for n, e in p.items()], F.max("value").alias("worst"), F.count_if(F.col("value") > 90).alias("errors"))
+    rows = t.auto_entries.withColumnRenamed("event_type", "endpoint")
+    counts = rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.count_if(F.col("value") > 90).alias("errors"))
+    return counts.join(rc.percentiles(rows, "endpoint", "value", 0.5, 0.95, 0.99), "endpoint")
 
 
 @query("latency_regressions", "WITH x AS (SELECT event_type AS endpoint, quantile_disc(value, 0.95) FILTER (WHERE event_id % 2 = 0) AS base, quantile_disc(value, 0.95) FILTER (WHERE event_id % 2 = 1) AS now FROM auto_entries GROUP BY 1) SELECT endpoint, round(100 * (now - base) / base, 6) AS change, (now - base) / base > 0.2 AS regressed FROM x", "auto_entries")
 def latency_regressions(t):
     def p95(odd: int, name: str):
-        return t.auto_entries.where(F.col("event_id") % 2 == odd).groupBy(F.col("event_type").alias("endpoint")).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias(name))
+        rows = t.auto_entries.where(F.col("event_id") % 2 == odd).withColumnRenamed("event_type", "endpoint")
+        return rc.percentiles(rows, "endpoint", "value", 0.95).withColumnRenamed("p95", name)
 
     both = p95(0, "base").join(p95(1, "now"), "endpoint")
     ratio = (F.col("now") - F.col("base")) / F.col("base")
@@ -493,7 +500,7 @@ def reply_chain(t):
     "auto_entries",
 )
 def first_in_window(t):
-    return ig.first_in_window(t.auto_entries, ["content_key"], "ts", "event_id", 21600).select("event_id")
+    return repeats.first_in_window(t.auto_entries, ["content_key"], "ts", "event_id", 21600).select("event_id")
 
 
 def _LE(text: str) -> str:
@@ -597,7 +604,7 @@ def latest_version(t):
 @query("export_rows", f"SELECT m.id, coalesce(stability, 1.0) AS stability, row_number() OVER (ORDER BY created_at, m.id) AS place FROM memories m LEFT JOIN memory_salience s ON s.memory_id = m.id WHERE {LIVE} AND project = 'p1' AND created_at >= TIMESTAMP '2023-12-01' AND list_contains(coalesce(tags, []), 'en')", "memories memory_salience")
 def export_rows(t):
     rows = lc.with_salience(se.live(t.memories), t.memory_salience).where((F.col("project") == "p1") & (F.col("created_at") >= F.lit("2023-12-01").cast("timestamp")) & se.has_all(F.col("tags"), ["en"]))
-    return rows.select("id", "stability", F.row_number().over(Window.orderBy("created_at", "id")).alias("place"))
+    return rc.numbered(rows, "created_at", "id").select("id", "stability", "place")
 
 
 @query("export_graph", "SELECT r.id, s.name AS subject, o.name AS object, r.predicate FROM relationships r JOIN entities s ON s.id = r.subject_id JOIN entities o ON o.id = r.object_id WHERE r.invalid_at IS NULL", "relationships entities")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: Limits on archives: bytes of one entry, entries of one archive.
 MAX_ENTRY, MAX_ENTRIES = 50 * 1024 * 1024, 10_000
 
@@ -100,6 +102,12 @@ def log_entries(lines: DataFrame) -> DataFrame:
     return rows.where(F.col("parser").isNotNull() & F.col("content").isNotNull() & (F.trim("content") != ""))
 
 
+def history_chunks(entries: DataFrame, source: str, assistant_only: bool = True) -> DataFrame:
+    """Log entries of the nested form as chunks to import: what the assistant said, as observations; or both sides."""
+    kept = entries.where((F.col("parser") == "assistant") & ((F.col("role") == "assistant") | F.lit(not assistant_only)))
+    return kept.select("path", "content", F.lit(source).alias("source"), F.lit("observation").alias("type_hint"), "at", "session_id", "project")
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
 
@@ -213,4 +221,5 @@ def sqlite_chunks(spark: SparkSession, path: str, agent_like: str | None = None,
         fits = fits & (F.lower("model") == model.lower())
     if dimension is not None:
         fits = fits & (F.size(v) == dimension)
-    return rows.withColumn("vector", F.when(fits, v)).withColumn("updated_at", F.timestamp_millis("updated_at")).drop("embedding")
+    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    return rows.withColumn("vector", F.when(fits, v)).withColumn("updated_at", F.timestamp_millis("updated_at")).withColumn("agent", tx.agent_name(F.col("path"), F.col("source"), stem)).drop("embedding")

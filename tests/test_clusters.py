@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from engramix.operators import graph as gr
 from engramix.operators import lifecycle as lc
@@ -77,3 +78,15 @@ def test_related_counts(spark):
     rows = [("a", ["x", "en"], None), ("b", ["x", "y", "x"], None), ("c", ["y"], None), ("d", ["en"], None), ("e", None, None), ("f", ["x"], "2024-01-01"), ("g", ["q", None], None)]
     m = spark.createDataFrame(rows, "id string, tags array<string>, deleted_at string")
     assert {tuple(r) for r in gr.related_counts(m, m.select("id"), ["en"]).collect()} == {("a", 1), ("b", 2), ("c", 1)}
+
+
+def test_related_counts_of_any_number_of_tags(spark):
+    rng = random.Random(3)
+    tags = [f"t{i}" for i in range(14)]
+    rows = [(f"m{i}", rng.sample(tags, rng.choice([0, 1, 2, 3, 5, 6, 7, 9, 14])) + ["all"] * (i % 3 == 0)) for i in range(300)]
+    m = spark.createDataFrame(rows, "id string, tags array<string>").withColumn("deleted_at", F.lit(None).cast("string"))
+    asked = m.where("int(substring(id, 2)) % 5 = 0")
+    own = {i: set(t) - {"t0"} for i, t in rows}
+    want = {i: sum(1 for j in own if j != i and own[i] & own[j]) for i in own if int(i[1:]) % 5 == 0}
+    assert {r.id: r.related for r in gr.related_counts(m, asked, ["t0"]).collect()} == {i: n for i, n in want.items() if n}
+    assert gr.related_counts(m.limit(0), asked, []).collect() == gr.related_counts(m, asked.limit(0), []).collect() == []

@@ -72,6 +72,7 @@ def test_sqlite(spark, tmp_path):
     con.close()
     got = {r.id: r for r in readers.sqlite_chunks(spark, str(tmp_path), model="m", dimension=2).collect()}
     assert got["1"].vector == [0.5, 1.0] and got["2"].vector is None
+    assert got["1"].agent == got["2"].agent == "m"
     assert readers.sqlite_chunks(spark, str(tmp_path), agent_like="agent-b%").count() == 1
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from engramix import views
-from engramix.operators import ingest as ig
+from engramix.operators import repeats
 from engramix.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def run(spark, df, tmp_path, mode="append"):
 
 def test_first_in_window(spark, tmp_path):
     e, stream = events_stream(spark, tmp_path)
-    batch = {r.event_id for r in ig.first_in_window(e, ["content_key"], "ts", "event_id", 21600).collect()}
+    batch = {r.event_id for r in repeats.first_in_window(e, ["content_key"], "ts", "event_id", 21600).collect()}
     got = run(spark, jobs.first_in_window(stream.withWatermark("ts", "30 days"), ["content_key"], "ts", "event_id", 21600), tmp_path)
     assert {r.event_id for r in got.collect()} == batch
     assert 0 < len(batch) < e.count()
