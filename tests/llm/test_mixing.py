@@ -1,6 +1,10 @@
 import collections
+import math
 import re
+import struct
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from engramix.llm import mixing
@@ -45,6 +49,55 @@ def test_mix(docs):
     assert all(len(c) == 1 for c in same.values())
 
 
+def drawn(seed, doc_id):
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    if doc_id is not None:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+    return (h % (1 << 52) + 0.5) / (1 << 52)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_order_and_cut_against_brute_force(docs, seed):
+    """Whole copies first, then the rest one by one in the order of random odds over inclusion odds."""
+    sources = collections.defaultdict(list)
+    for r in mixing.mix(docs.select("doc_id", "text", "source"), seed=seed).collect():
+        sources[r.source].append(r)
+    partly = 0
+    for rows in sources.values():
+        pull = {r: 2.0 ** (-0.125 * r["size"].bit_length()) for r in rows}
+        # the level at which the expected words are the target, documents at the cap set aside one class after the other
+        capped = set()
+        while True:
+            left = rows[0].target - sum(3 * r["size"] for r in rows if pull[r] in capped)
+            free = sum(r["size"] * pull[r] for r in rows if pull[r] not in capped)
+            level = left / free if free else 0.0
+            over = {pull[r] for r in rows if r["size"] and pull[r] not in capped and level * pull[r] >= 3}
+            if not over:
+                break
+            capped |= {max(over)}
+        for r in rows:
+            want = 0.0 if not r["size"] else 3.0 if pull[r] in capped else level * pull[r]
+            assert r.inclusion == pytest.approx(want, abs=1e-9)
+        whole = {r: math.floor(r.inclusion + 1e-9) for r in rows}
+        room = rows[0].target - sum(whole[r] * r["size"] for r in rows)
+        order = collections.defaultdict(list)
+        for r in rows:
+            part = r.inclusion - whole[r]
+            if part > 1e-9:
+                u = drawn(seed, r.doc_id)
+                order[u / (1 - u) * ((1 - part) / part), -(1 << 63) if r.doc_id is None else r.doc_id].append(r)
+        extra, before = set(), 0
+        for key in sorted(order):
+            words = sum(r["size"] for r in order[key])
+            if before + words / 2 > room:
+                break
+            extra.update(order[key])
+            before += words
+        partly += 0 < len(extra) < sum(map(len, order.values()))
+        assert all(r.copies == min(3, whole[r] + (r in extra)) for r in rows)
+    assert partly
+
+
 def test_remix_repeats_rows(docs):
     plain = docs.where("doc_id is not null and doc_id <> 300")
     mixed = mixing.remix(plain)
