@@ -78,9 +78,13 @@ def stem_sql(word: str, spark: bool = True) -> str:
     return f"CASE WHEN length({word}) < 3 OR {listed(word, LEFT_ALONE)} THEN {word} WHEN {listed(word, IRREGULAR)} THEN CASE {word} {odd} END ELSE {whole} END"
 
 
+#: What a word ends in that any rule can change.
+_ENDS = "(?:s|ed|ing|y|li|ogi|iti|nci|ion|ism|er|ator|al|ll|ful|e|ant|ent|ic)$"
+
+
 def stem(word: str) -> Column:
-    """Stem of a column of lower-case words, by its name."""
-    return F.expr(stem_sql(word))
+    """Stem of a column of lower-case words, by its name; words with no ending of any rule are left as they are at once."""
+    return F.expr(f"CASE WHEN NOT regexp_like({word}, '{_ENDS}') THEN {word} ELSE {stem_sql(word)} END")
 
 
 def content_words(text: Column) -> Column:

@@ -3,9 +3,10 @@
 A posting is (stem, id, tf, n): how often a stem occurs in a row, and the row's
 number of words that are no stop words. Every row has one posting of the empty
 stem besides, so the number of rows and their mean length come from the same
-table. Written out, postings are ranges of (stem, id), sorted: a query reads the
-few row groups that hold its stems, and a frequent stem is spread over many
-files.
+table. Written out, postings are dealt by hash to files that are sorted by (stem,
+id): a query reads the few row groups of each file that hold its stems, and a
+frequent stem is spread over all files. Words are dealt once, as postings: a word
+that is frequent finds its stem in a small table, any other is stemmed where it is.
 """
 
 from __future__ import annotations
@@ -19,15 +20,27 @@ from .. import scratch
 from ..functions import english
 
 SCHEMA = "stem string, id string, tf long, n int"
+#: Words that are stemmed once, at most, and about how many rows tell which.
+STEMMED, STEMMED_ROWS = 1 << 17, 8192
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """Postings of (id, content); a null content is an empty text."""
+def _stems(rows: DataFrame) -> DataFrame:
+    """(word, stem) of words that are frequent in some rows, a table of bounded size. Only which words it holds follows from those rows: all others are stemmed where they occur."""
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // STEMMED_ROWS))) == 0)
+    counted = some.select(F.explode(english.content_words(F.col("content"))).alias("word")).where(F.octet_length("word") <= 64).groupBy("word").count()
+    return counted.orderBy(F.col("count").desc(), "word").limit(STEMMED).select("word", english.stem("word").alias("known"))
+
+
+def stemmed(rows: DataFrame) -> DataFrame:
+    """(id, n, stem): a row for each content word of (id, content), with the row's number of them, and one of the empty stem for each row."""
     words = rows.select("id", F.coalesce(english.content_words(F.col("content")), F.array().cast("array<string>")).alias("words"))
     each = words.select("id", F.size("words").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
-    counted = each.groupBy("id", "n", "word").agg(F.count("*").alias("tf"))
-    stemmed = counted.select("id", "n", english.stem("word").alias("stem"), F.when(F.col("word") == "", 0).otherwise(F.col("tf")).alias("tf"))
-    return stemmed.groupBy("stem", "id", "n").agg(F.sum("tf").alias("tf")).select("stem", "id", "tf", "n")
+    return each.join(F.broadcast(_stems(rows)), "word", "left").select("id", "n", F.coalesce("known", english.stem("word")).alias("stem"))
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """Postings of (id, content); a null content is an empty text."""
+    return stemmed(rows).groupBy("stem", "id", "n").agg(F.when(F.col("stem") == "", 0).otherwise(F.count("*")).alias("tf")).select("stem", "id", "tf", "n")
 
 
 @dataclass
@@ -46,7 +59,7 @@ class Index:
     @staticmethod
     def build(rows: DataFrame, path: str) -> Index:
         """Write the index of (id, content)."""
-        postings(rows).repartitionByRange("stem", "id").sortWithinPartitions("stem", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        postings(rows).sortWithinPartitions("stem", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         written = rows.sparkSession.read.schema(SCHEMA).parquet(f"{path}/postings")
         scratch.save(_stats(written), f"{path}/stats")
         return Index.open(rows.sparkSession, path)
@@ -62,10 +75,12 @@ def _stats(p: DataFrame) -> DataFrame:
 
 def hits(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score): BM25 of rows that hold the stems of all query words; a query of stop words only finds nothing."""
-    spark = index.postings.sparkSession
-    stems = english.query_stems(spark, query)
-    if not stems:
-        return index.postings.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    stems = english.query_stems(index.postings.sparkSession, query)
+    return scored(index, stems, k1, b) if stems else index.postings.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+
+
+def scored(index: Index, stems: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): BM25 of rows that hold all of some distinct stems."""
     own = index.postings.where(F.col("stem").isin(*stems))
     found = own.groupBy("stem").agg(F.count("*").alias("df"))  # a row a query stem
     rows = own.join(F.broadcast(found), "stem").join(F.broadcast(index.stats))  # stats is one row

@@ -7,11 +7,13 @@ a limit, which Spark runs as a per-task top-k.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import scoring as sc
 from . import fulltext
 from .near import neighbours  # noqa: F401
@@ -79,15 +81,19 @@ def vector_hits(memories: DataFrame, embeddings: DataFrame, query: list[float] |
     return own.select("id", F.round(s, 6).alias("score"))
 
 
-def text_hits(memories: DataFrame, query: str, index: fulltext.Index | None = None) -> DataFrame:
+def text_hits(memories: DataFrame, query: str, index: fulltext.Index | Callable[[], fulltext.Index] | None = None) -> DataFrame:
     """(id, score): BM25 of rows that hold all query words, by their stems; a query of stop words finds nothing.
 
-    With an index only the postings of the query's stems are read, and rows of
-    ``memories`` are kept; without one the postings are made from ``memories``.
+    With an index, or a function that opens one, only the postings of the query's
+    stems are read, and rows of ``memories`` are kept; without one the postings are
+    made from ``memories``. A query of stop words opens none.
     """
+    stems = english.query_stems(memories.sparkSession, query)
+    if not stems:
+        return memories.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     if index is None:
-        return fulltext.hits(fulltext.Index.of(memories), query)
-    return fulltext.hits(index, query).join(memories.select("id"), "id", "left_semi")
+        return fulltext.scored(fulltext.Index.of(memories), stems)
+    return fulltext.scored(index() if callable(index) else index, stems).join(memories.select("id"), "id", "left_semi")
 
 
 def symbolic_hits(memories: DataFrame, query: str) -> DataFrame:
@@ -125,7 +131,7 @@ def best_places(legs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.select("id", "rank") for x in legs]).groupBy("id").agg(F.min("rank").alias("rank"))
 
 
-def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | dict[str, list[float]] | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES, index: fulltext.Index | None = None) -> DataFrame:
+def hybrid(memories: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | Column | dict[str, list[float]] | None, symbol: str | None = None, limit: int = 20, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), base_k: float = 60.0, candidates: int = CANDIDATES, index: fulltext.Index | Callable[[], fulltext.Index] | None = None) -> DataFrame:
     """Three legs, fused; a leg of weight 0 is left out of the plan. ``vector`` may map embedding tiers to vectors: then a row's place is its best of any tier."""
     rows = searchable(memories)
     legs = {}

@@ -33,9 +33,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.sf_dir, name)
 
-    @property
     def text_index(self) -> fulltext.Index:
-        """Index of the searchable memories, written once for each state of the files."""
+        """Open the index of the searchable memories, written once for each state of the files."""
         files = self.spark.read.format("binaryFile").load([f"{self.sf_dir}/{n}.parquet" for n in views.VIEWS["memories"][0]])
         state = files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38, 0)"))).first()[0]
         key = (self.spark.sparkContext.applicationId, self.sf_dir, str(state))

@@ -76,3 +76,32 @@ def test_reads_only_its_stems_and_live_rows(rows, index):
 
 def test_empty_table(rows, tmp_path):
     assert found(fulltext.Index.build(rows.limit(0), str(tmp_path)), "cat") == {}
+
+
+def test_postings_do_not_depend_on_the_words_stemmed_before(rows, index, monkeypatch):
+    want = sorted(index.postings.collect())
+    for most, some in ((0, 8192), (1, 8192), (1 << 17, 1)):
+        monkeypatch.setattr(fulltext, "STEMMED", most)
+        monkeypatch.setattr(fulltext, "STEMMED_ROWS", some)
+        assert sorted(fulltext.postings(rows).collect()) == want
+
+
+def test_words_are_dealt_once(rows):
+    plan = fulltext.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(stem") == 1 and "hashpartitioning(id" not in plan
+
+
+def test_endings_that_no_rule_has(spark):
+    words = [*STEMS[::2], "haus", "wagen", "12345", "gehen", "buch", "xylophon", "yy", "play", "boy's"]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select("word", english.stem("word").alias("a"), F.expr(english.stem_sql("word")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert "CASE WHEN NOT" in str(english.stem("word"))
+
+
+def test_stop_words_open_no_index(rows):
+    def opened():
+        raise AssertionError("an index was opened")
+
+    assert se.text_hits(rows, "what is this about", opened).collect() == []
+    with pytest.raises(AssertionError):
+        se.text_hits(rows, "cats", opened)
