@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import english as en
 from ..functions import scoring as sc
 from ..functions import text as tx
+from ..operators import fulltext
 from ..operators import graph as gr
 from ..operators import lifecycle as lc
 from ..operators import recall as rc
@@ -72,9 +73,12 @@ def text_search_stop_words(t):
 )
 def stem_frequencies(t):
     """Of every stem of all texts: occurrences, rows and words."""
-    words = se.searchable(t.memories).select("id", F.explode(en.content_words(F.col("content"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-    stems = words.select("word").distinct().select("word", en.stem("word").alias("stem"))
-    return words.join(stems, "word").groupBy("stem").agg(F.sum("n").alias("tf"), F.count_distinct("id").alias("df"), F.count_distinct("word").alias("words"))
+    rows = se.searchable(t.memories)
+    # counted, not filtered or joined, by stem: a condition on it would be pushed down to where words are not yet distinct
+    met = fulltext.stemmed(rows).groupBy("stem", "id").agg(F.count("*").alias("n")).select("stem", F.when(F.col("stem") == "", 0).otherwise(F.col("n")).alias("tf"), F.col("id").isNotNull().cast("long").alias("df"), F.lit(0).cast("long").alias("words"))
+    words = rows.select(F.explode(en.content_words(F.col("content"))).alias("word")).distinct()
+    own = words.select(en.stem("word").alias("stem"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("df"), F.lit(1).cast("long").alias("words"))
+    return met.unionByName(own).groupBy("stem").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.sum("words").alias("words")).where("words > 0")
 
 
 @query("symbolic_search", f"WITH {_SEARCHABLE}, {_SYM}, {_top('sh', 'y1')} SELECT y1.id, rank, score FROM y1 JOIN sh ON y1.id = sh.id", "memories")

@@ -105,3 +105,10 @@ def test_stop_words_open_no_index(rows):
     assert se.text_hits(rows, "what is this about", opened).collect() == []
     with pytest.raises(AssertionError):
         se.text_hits(rows, "cats", opened)
+
+
+def test_stem_frequencies_deal_words_by_stem_and_row(spark):
+    from engramix.plans import catalog
+
+    plan = catalog.QUERIES["stem_frequencies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "SortMergeJoin [word" not in plan
