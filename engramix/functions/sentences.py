@@ -21,9 +21,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 #: Characters of the classes that general categories do not tell.
 FULL_STOPS = ".․﹒．"
 TERMINATORS = "!?։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹖﹗！？｡"
@@ -164,19 +167,27 @@ def best_span(text: str, topic: np.ndarray, embed: Callable[[list[str]], np.ndar
 # ---------------------------------------------------------------- columns
 
 
+def _text_runs(texts: pa.Array, most: int = 1 << 18, rows: int = 512) -> Iterator[tuple[int, int]]:
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return tx.runs(np.concatenate([[0], np.cumsum(sizes)]), most, rows)
+
+
+def _each_run(texts: pa.Array, kind: pa.DataType, f: Callable, most: int = 1 << 18, rows: int = 512) -> pa.Array:
+    """f of every text, null of null: the texts of some hundred kilobytes, and what is made of them, are Python objects at a time."""
+    parts = [pa.array([None if t is None else f(t) for t in texts.slice(a, b - a).to_pylist()], kind) for a, b in _text_runs(texts, most, rows)]
+    return pa.concat_arrays([pa.array([], kind), *parts])
+
+
 def sentence_ranges(text: Column) -> Column:
     """array<struct(start, end)>: bytes of the sentences; null for null."""
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append(None)
-                continue
+        def ranges(t: str) -> list[dict]:
             at = range(len(t) + 1) if t.isascii() else np.concatenate([[0], np.cumsum([len(c.encode()) for c in t])])
-            out.append([{"start": int(at[a]), "end": int(at[b])} for a, b in spans(t)])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            return [{"start": int(at[a]), "end": int(at[b])} for a, b in spans(t)]
+
+        return _each_run(texts, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), ranges)
 
     return run(text)
 
@@ -186,25 +197,43 @@ def topic(text: Column, most: int = 60) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else topic_of(t, most) for t in texts.to_pylist()], pa.string())
+        return _each_run(texts, pa.string(), lambda t: topic_of(t, most))
 
     return run(text)
 
 
-CHUNKS = "array<struct<place:int,total:int,start:int,end:int,header:string,chunk:string>>"
+CHUNK_FIELDS = {"place": "int", "total": "int", "start": "int", "end": "int", "header": "string", "chunk": "string"}
+_CHUNK = pa.struct([(k, pa.int32() if v == "int" else pa.string()) for k, v in CHUNK_FIELDS.items()])
 
 
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Chunks of a text, see ``chunks_of``; null for null."""
-    kinds = pa.list_(pa.struct([("place", pa.int32()), ("total", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("header", pa.string()), ("chunk", pa.string())]))
 
-    @F.arrow_udf(CHUNKS)
+    @F.arrow_udf(f"array<struct<{','.join(f'{k}:{v}' for k, v in CHUNK_FIELDS.items())}>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else chunks_of(t, size, overlap, least) for t in texts.to_pylist()], kinds)
+        return _each_run(texts, pa.list_(_CHUNK), lambda t: chunks_of(t, size, overlap, least))
 
     return run(text)
 
 
+def chunk_batches(batches: Iterator[pa.RecordBatch], size: int, overlap: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text) to batches (id and the fields of a chunk), one for each run of some hundred kilobytes of text."""
+    for batch in batches:
+        ids, texts = batch.columns
+        for a, b in _text_runs(texts):
+            found = [[] if t is None else chunks_of(t, size, overlap, least) for t in texts.slice(a, b - a).to_pylist()]
+            own = np.repeat(np.arange(b - a), [len(x) for x in found])
+            if len(own):
+                fields = pa.array([c for x in found for c in x], _CHUNK).flatten()
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(own)), *fields], ["id", *CHUNK_FIELDS])
+
+
+def chunk_rows(rows: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """A row for each chunk of (id, text): its id and the fields of ``chunks_of``. No column of all chunks of many texts is built."""
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: chunk_batches(batches, size, overlap, least), f"id {kind}, " + ", ".join(f"`{k}` {v}" for k, v in CHUNK_FIELDS.items()))
+
+
 def span(text: Column, topic_text: str, embed: Callable[[list[str]], np.ndarray] = hashed_features, **limits) -> Column:
     """struct(start, end, similarity) of the part of a text nearest to a topic; null for null."""
     kinds = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("similarity", pa.float64())])
@@ -212,6 +241,6 @@ def span(text: Column, topic_text: str, embed: Callable[[list[str]], np.ndarray]
     @F.arrow_udf("struct<start:int,end:int,similarity:double>")
     def run(texts: pa.Array) -> pa.Array:
         wanted = embed([topic_text])[0]
-        return pa.array([None if t is None else dict(zip(("start", "end", "similarity"), best_span(t, wanted, embed, **limits), strict=True)) for t in texts.to_pylist()], kinds)
+        return _each_run(texts, kinds, lambda t: dict(zip(("start", "end", "similarity"), best_span(t, wanted, embed, **limits), strict=True)))
 
     return run(text)

@@ -37,4 +37,4 @@ def normalise_facts(rows: DataFrame) -> DataFrame:
 
 def chunks(rows: DataFrame, size: int = 2048, overlap: int = 1, least: int = 0) -> DataFrame:
     """(id, place, total, start, end, header, chunk): whole sentences of at most ``size`` bytes, the last ``overlap`` carried over; none for a text that fits one chunk."""
-    return rows.select("id", F.explode(sentences.chunks(F.col("content"), size, overlap, least)).alias("c")).select("id", "c.*")
+    return sentences.chunk_rows(rows.select("id", "content"), size, overlap, least)

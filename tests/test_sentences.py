@@ -1,8 +1,10 @@
 """Sentence boundaries, chunks, topics and spans against rule-by-rule versions."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,30 @@ def test_best_span(spark):
     wanted = se.hashed_features(["public software licence"])[0]
     cos = [float(se.hashed_features([c["chunk"]])[0] @ wanted / np.linalg.norm(se.hashed_features([c["chunk"]])) / np.linalg.norm(wanted)) for c in se.chunks_of(text, 200)]
     assert r[0].s.similarity == pytest.approx(max(cos), abs=1e-9)
+
+
+def test_runs_of_texts_give_what_single_texts_give():
+    texts = pa.array(["x" * 100, None, "", "é" * 80, "z"] * 50)
+    kind = pa.int64()
+    assert se._each_run(texts, kind, len, 128, 3).to_pylist() == [None if t is None else len(t) for t in texts.to_pylist()]
+    assert se._each_run(texts.slice(7, 20), kind, len, 128, 3).to_pylist() == [None if t is None else len(t) for t in texts.to_pylist()[7:27]]
+    assert se._each_run(texts.slice(0, 0), kind, len).to_pylist() == []
+
+
+def test_few_texts_are_objects_at_a_time():
+    kinds = pa.list_(pa.struct([("chunk", pa.string())]))
+    texts = pa.array(["abc " * 5000] * 500)
+    tracemalloc.start()
+    se._each_run(texts, kinds, lambda t: [{"chunk": t[a : a + 2000]} for a in range(0, len(t), 2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3e6  # of texts of 10 MB
+
+
+def test_chunks_leave_in_small_batches():
+    texts = ["One sentence. " * 2000, None, "", "Short.", *["Two are here. Two! " * 400] * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "content"])
+    out = list(se.chunk_batches(iter([batch]), 2048, 1, 0))
+    assert len(out) > 2 and all(b.nbytes < 1 << 20 for b in out)
+    got = [(r["id"], r["place"], r["chunk"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, c["place"], c["chunk"]) for i, t in enumerate(texts) if t for c in se.chunks_of(t, 2048, 1, 0)]
