@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import writers
 
 MANIFEST = "batch int, digest string, rows long, at timestamp"
@@ -55,7 +56,10 @@ class Import:
 
     def plan(self, chunks: DataFrame, others: DataFrame, since: Column | None = None, noise: list[str] = ()) -> tuple[DataFrame, DataFrame]:
         """(chunks with their batch, filtered chunks); ``others``: what stores hold besides this import."""
-        keep, out = writers.import_chain(chunks, others, since, noise)
+        return self._dealt(writers.judged(chunks, others, since, noise))
+
+    def _dealt(self, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+        keep, out = writers.sorted_out(judged)
         return keep.withColumn("batch", F.pmod(F.xxhash64("hash"), F.lit(self.batches)).cast("int")), out
 
     def pending(self, planned: DataFrame) -> list[tuple[int, str, int]]:
@@ -67,11 +71,14 @@ class Import:
     def run(self, chunks: DataFrame, others: DataFrame, since: Column | None = None, noise: list[str] = (), most: int | None = None, before_commit: Callable[[int], None] = lambda batch: None) -> int:
         """Import what is left, ``most`` batches at most; the number of batches written. ``before_commit`` is called between a batch's rows and its entry."""
         run = uuid.uuid4().hex
-        planned, out = self.plan(chunks, others, since, noise)
+        # both parts are written from here, so contents are normalised and hashed once a run
+        judged = scratch.save(writers.judged(chunks, others, since, noise), f"{self.path}/judged/{run}")
+        planned, out = self._dealt(judged)
         out.write.mode("overwrite").parquet(f"{self.path}/filtered/run={self._next()}-{run}")
         # a batch is written by 16 tasks
         planned.repartition("batch", F.substring("hash", 1, 1)).write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/plan/{run}")
         planned = self.spark.read.schema(planned.schema).parquet(f"{self.path}/plan/{run}")
+        scratch.drop(self.spark, f"{self.path}/judged/{run}")
         todo = self.pending(planned)[:most]
         for batch, digest, n in todo:
             own = planned.where(F.col("batch") == batch).drop("batch")

@@ -54,18 +54,28 @@ def to_markdown(df: DataFrame, path: str) -> None:
     markdown_blocks(df).repartitionByRange("type_hint", "part", "at", "id").sortWithinPartitions("type_hint", "part", "at", "id").select("value").write.mode("overwrite").text(path)
 
 
-def import_chain(chunks: DataFrame, stored: DataFrame, since: Column | None = None, noise: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows to store, rows filtered with a reason).
-
-    Old, noisy and known chunks are filtered, in that order; of equal new chunks
-    the first stays. Injection phrases only add a tag.
-    """
+def judged(chunks: DataFrame, stored: DataFrame, since: Column | None = None, noise: list[str] = ()) -> DataFrame:
+    """Chunks with their hash and the reason to filter them, null for those to store: old, noise or known, the first that holds."""
     rows = chunks.withColumn("hash", tx.content_hash(F.col("content"))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     old = (F.col("created_at") < since) if since is not None else F.lit(False)
     known = stored.select(tx.content_hash(F.col("content")).alias("hash")).distinct().withColumn("known", F.lit(True))
     rows = rows.join(known, "hash", "left")
     reason = F.when(F.coalesce(old, F.lit(False)), "old").when(tx.is_noise(F.col("content"), list(noise)), "noise").when(F.col("known"), "known")
-    rows = rows.withColumn("reason", reason).drop("known")
+    return rows.withColumn("reason", reason).drop("known")
+
+
+def sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, rows filtered with a reason) of judged chunks; rows to store are tagged and of equal ones the first stays."""
     flagged = F.when(tx.import_injection(F.col("content")), F.array_union("tags", F.array(F.lit("warning:prompt-injection")))).otherwise(F.col("tags"))
     keep = rows.where(F.col("reason").isNull()).withColumn("tags", F.array_union(flagged, F.array(F.concat(F.lit("imported:"), F.coalesce("source", F.lit("unknown"))))))
     return keep.dropDuplicates(["hash"]).drop("reason"), rows.where(F.col("reason").isNotNull())
+
+
+def import_chain(chunks: DataFrame, stored: DataFrame, since: Column | None = None, noise: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, rows filtered with a reason).
+
+    Old, noisy and known chunks are filtered, in that order; of equal new chunks
+    the first stays. Injection phrases only add a tag. Who uses both saves what
+    ``judged`` returns, so that contents are normalised and hashed once.
+    """
+    return sorted_out(judged(chunks, stored, since, noise))

@@ -118,3 +118,19 @@ def test_work_may_change_what_it_was_found_in(spark, tmp_path):
 
     assert sweep.run(spark.read.parquet(table).where("status = 'pending'"), work, T0) == 5
     assert sweep.run(spark.read.parquet(table).where("status = 'pending'"), work, T0) == 0
+
+
+def test_a_run_reads_each_content_once(spark, tmp_path):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(i):
+        met.add(1)
+        return f"A long enough content of number {i}, which no filter takes for noise."
+
+    chunks = spark.range(40).select(content("id").alias("content"), F.lit("s").alias("source"), F.array(F.lit("t")).alias("tags"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    others = spark.createDataFrame([("A long enough content of number 3, which no filter takes for noise.",)], "content string")
+    job = Import(spark, str(tmp_path), 2)
+    assert job.run(chunks, others) == 2
+    assert met.value == 40
+    assert job.stored().count() == 39 and [r.reason for r in job.filtered().collect()] == ["known"]
