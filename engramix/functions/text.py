@@ -22,6 +22,8 @@ INJECTION = [
     ("persona_injection", r"(?i)\bact\s+as\s+(if|though)?\s*\b"),
     ("instruction_injection", r"(?i)\bnew\s+instructions?\s*:"),
 ]
+#: Of each pattern, words of which every match holds one; looking for a word first costs a small part of the pattern.
+NEEDED = [["ignore"], ["override"], ["disregard"], ["must"], ["now"], ["system"], ["forget"], ["always", "never"], ["act"], ["instruction"]]
 #: Phrases that an import marks, looked for in lower case.
 IMPORT_INJECTION = ["ignore previous instructions", "ignore all previous", "disregard previous", "system:", "you are now", "new instructions:", "forget everything", "override your", "act as if", "[system]"]
 #: Phrases that make a message worth storing.
@@ -40,8 +42,16 @@ def tokens(text: Column) -> Column:
 
 def injection_signals(text: Column) -> Column:
     """Distinct names of the signals that match, in table order."""
-    found = F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in INJECTION])
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    # ASCII letters alone are matched in either case, and lower() makes those small wherever they stand
+    low = F.lower(text)
+    found = []
+    for (name, pattern), words in zip(INJECTION, NEEDED, strict=True):
+        held = F.contains(low, F.lit(words[0]))
+        for word in words[1:]:
+            held = held | F.contains(low, F.lit(word))
+        found.append(F.when(held & text.rlike(pattern), F.lit(name)))
+    # no lambda, so the texts are read by generated code; takes out nulls and repeats
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
 
 def import_injection(text: Column) -> Column:

@@ -55,9 +55,11 @@ def decide(clusters: DataFrame, rows: DataFrame, now: Column, policy: Policy = P
 
 def capped(decided: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Decisions within the caps of a run, by cluster and id; merges are counted by cluster."""
+    caps = {k: n for k, n in (("merge", policy.merges), ("flag", policy.flags), ("strengthen", policy.strengthens)) if n is not None}
+    if not caps:
+        return decided
     unit = F.when(F.col("kind") == "merge", F.col("cluster")).otherwise(F.concat_ws("/", "cluster", "id"))
     units = decided.select(unit.alias("id"), F.col("kind").alias("action")).distinct()
-    caps = {k: n for k, n in (("merge", policy.merges), ("flag", policy.flags), ("strengthen", policy.strengthens)) if n is not None}
     kept = lc.capped(units, caps).select(F.col("id").alias("_unit"), F.col("action").alias("kind"))
     return decided.withColumn("_unit", unit).join(kept, ["_unit", "kind"]).drop("_unit")
 
@@ -110,7 +112,9 @@ def run(memories: DataFrame, embeddings: DataFrame, salience: DataFrame, runs: D
     vectors = scratch.save(vectors, f"{folder}/vectors")
     edges = se.neighbours(vectors, vectors, policy.similar, policy.similarity)
     clusters = scratch.save(lc.greedy_clusters(edges, rows.select("id", "priority"), policy.group), f"{folder}/clusters")
-    kept = scratch.save(capped(decide(clusters, rows, now, policy), policy), f"{folder}/decided")
+    # texts are judged once, the caps read what was decided
+    decided = scratch.save(decide(clusters, rows, now, policy), f"{folder}/judged")
+    kept = scratch.save(capped(decided, policy), f"{folder}/decided")
     merges = kept.where("kind = 'merge'")
     new, strength = merged_rows(merges, rows, run_id, now)
     told = kept.join(rows.select("id", "stability"), "id").select(F.lit(run_id).alias("run_id"), "kind", F.col("id").alias("memory_id"), F.when(F.col("kind") == "merge", resolution.made_id(F.lit(run_id), F.col("cluster"))).alias("merged_id"), F.col("stability").cast("double").alias("stability"), now.alias("created_at"))

@@ -68,11 +68,11 @@ def merged_text(neighbours: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def curation_candidates(memories: DataFrame, salience: DataFrame, since: Column | None, limit: int | None = 500) -> DataFrame:
+    """Live rows that no run has made, with their state; the oldest of them where there is a limit, else all in no order."""
     rows = with_salience(se.live(memories), salience).where(~F.col("is_consolidated_original")).where(~se.has_any(F.col("tags"), ["curated", "merged"]))
     if since is not None:
         rows = rows.where(F.col("created_at") > since)
-    rows = rows.orderBy("created_at", "id")
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("created_at", "id").limit(limit)
 
 
 def review(rows: DataFrame, now: Column, stale_below: float = 0.3, stale_days: int = 30) -> DataFrame:

@@ -5,17 +5,23 @@ angles a pair within angle t has a cell in common only if the query is no furthe
 from the cell's pivot than the cell reaches plus t, no nearer than it begins less
 t, and no further than from its own nearest pivot plus 2 t. A query goes to the cells of
 which all three hold, and to no other; the bounds are exact, so no neighbour is
-lost. Large cells are cut into shards, and the queries of a cell into blocks, so a
-task holds one block and one shard as matrices and multiplies them.
+lost. Cells next to each other share a shard and large cells are cut into several,
+and the queries that have to look into a shard are dealt to blocks. A query is sent
+once to each such shard, whatever the number of cells in it; a task holds one block
+and one shard as matrices and multiplies, for each cell, the queries that go there.
+Products are made in single precision and told from the k best so far with a margin
+wider than its error; those that may be among them are computed again in double.
 
 What this saves depends on the vectors: clusters are told apart, vectors without
-direction lie in reach of all cells. ``work`` reports the share.
+direction lie in reach of all cells and all pairs are compared. ``work`` reports the
+share. Rows sent are queries times shards and vectors times blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +29,12 @@ from .. import scratch
 
 #: Pivots: vectors of least hash. A bounded sample.
 PIVOTS = 128
-#: Vectors of a shard and queries of a block, at most about.
-SHARD, BLOCK = 16384, 8192
+#: Vectors of a shard and queries of a block, at most about, and numbers in them.
+SHARD, BLOCK, NUMBERS = 65536, 32768, 1 << 22
+#: Fewer rows are cut into so many shards and blocks, but for so few rows.
+SIDES, LEAST = 6, 2048
+#: Queries and vectors that are multiplied at once.
+HEIGHT, WIDTH = 512, 4096
 _PAIRS = "memory_id string, neighbour string, similarity double"
 
 
@@ -39,6 +49,72 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
+def _near(x: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells (columns) hold a vector that can be within reach of each row."""
+    if reach >= np.pi:
+        return np.tile(np.isfinite(low), (len(x), 1))
+    out = np.empty((len(x), len(pivots)), bool)
+    for at in range(0, len(x), 4096):
+        a = _angles(x[at : at + 4096], pivots)
+        out[at : at + 4096] = np.isfinite(low) & (a <= high + reach) & (a >= low - reach) & (a - a.min(1, keepdims=True) <= 2 * reach)
+    return out
+
+
+def _spans(near: np.ndarray, cell: np.ndarray):
+    """(first, end, rows): columns that the same rows look into, at most ``WIDTH`` at once; ``cell`` is each column's, ascending."""
+    cells, first = np.unique(cell, return_index=True)
+    ends = [*first[1:], len(cell)]
+    at = 0
+    while at < len(cells):
+        to = at + 1
+        while to < len(cells) and np.array_equal(near[:, cells[to]], near[:, cells[at]]):
+            to += 1
+        rows = np.flatnonzero(near[:, cells[at]])
+        if len(rows):
+            for low in range(first[at], ends[to - 1], WIDTH):
+                yield low, min(low + WIDTH, ends[to - 1]), rows
+        at = to
+
+
+def _best(a: np.ndarray, b: np.ndarray, cell: np.ndarray, near: np.ndarray, rank: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, least: float, most: float):
+    """(row of b, row of a, similarity): the k best of each row of b; equal ones by rank, and never of equal code (``own``, ``asked``)."""
+    small, few = a.astype(np.float32), b.astype(np.float32)
+    # twice the error of a product of unit vectors in single precision, and of rounding to six places
+    slack = (a.shape[1] + 8) * 2.0**-23 + 1e-6
+    piece = max(1, NUMBERS // max(1, a.shape[1]))
+    for at in range(0, len(b), HEIGHT):
+        n = min(HEIGHT, len(b) - at)
+        floor = np.full(n, least - slack, np.float64)
+        row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        new, waiting = [], 0
+
+        def settled(row, col, sim, new, floor):
+            row, col, sim = (np.concatenate([x, *y]) for x, y in zip((row, col, sim), zip(*new, strict=True), strict=True))
+            by = np.lexsort((rank[col], -sim, row))
+            row, col, sim = row[by], col[by], sim[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            last = place == k - 1
+            floor[row[last]] = sim[last] - slack
+            return row[place < k], col[place < k], sim[place < k]
+
+        for low, high, rows in _spans(near[at : at + n], cell):
+            s = few[at + rows] @ small[low:high].T
+            hits = np.flatnonzero(s >= floor[rows].astype(np.float32)[:, None])
+            for i in range(0, len(hits), piece):
+                r, c = np.divmod(hits[i : i + piece], high - low)
+                r, c = rows[r], c + low
+                v = np.round(np.einsum("ij,ij->i", b[at + r], a[c]), 6)
+                keep = (v >= least) & (v <= most) & (own[c] != asked[at + r])
+                new.append((r[keep], c[keep], v[keep]))
+                waiting += int(keep.sum())
+                if waiting >= n * k:
+                    row, col, sim = settled(row, col, sim, new, floor)
+                    new, waiting = [], 0
+        if new:
+            row, col, sim = settled(row, col, sim, new, floor)
+        yield at + row, col, sim
+
+
 class Cells:
     """Where vectors lie and queries go."""
 
@@ -78,23 +154,46 @@ class Cells:
 
         return scratch.save(self.rows.mapInArrow(run, "memory_id string, embedding array<double>, cell int, angle double"), f"{self.folder}/homes")
 
-    def visits(self, queries: DataFrame) -> DataFrame:
-        """(memory_id, embedding, cell): a row for each cell that a query has to look into."""
+    def shards(self, most: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+        """((cell, its first shard, its number of shards), cells of each shard): at most about ``most`` vectors a shard."""
+        left, order = set(np.flatnonzero(self.count).tolist()), []
+        while left:  # each next to the one before
+            at = min(left) if not order else min(left, key=lambda c: (-float(self.pivots[order[-1]] @ self.pivots[c]), c))
+            left.remove(at)
+            order.append(at)
+        dealt, parts, held = [], [], 0
+        for c in order:
+            n = int(self.count[c])
+            if parts and held + n <= most:
+                parts[-1].append(c)
+                held += n
+                dealt.append((c, len(parts) - 1, 1))
+                continue
+            cuts = -(-n // most)
+            dealt.append((c, len(parts), cuts))
+            parts += [[c] for _ in range(cuts)]
+            held = n if cuts == 1 else most
+        return dealt, parts
+
+    def visits(self, queries: DataFrame, parts: list[list[int]]) -> DataFrame:
+        """(memory_id, embedding, visits): the parts, lists of cells, that a query has to look into."""
         pivots, low, high, reach = self.pivots, self.low, self.high, self.reach
 
         def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    b = batch.slice(at, 1024)
-                    a = _angles(_unit(b.column(1)), pivots)
-                    near = np.isfinite(low) & (a <= high + reach) & (a >= low - reach) & (a - a.min(1, keepdims=True) <= 2 * reach)
-                    if reach >= np.pi:
-                        near = np.broadcast_to(np.isfinite(low), a.shape)
-                    row, cell = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32))], ["memory_id", "embedding", "cell"])
+            for b in batches:
+                near = _near(_unit(b.column(1)), pivots, low, high, reach)
+                seen = np.stack([near[:, p].any(1) for p in parts], 1) if parts else np.zeros((len(near), 0), bool)
+                ends = np.concatenate([[0], seen.sum(1).cumsum()]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(seen)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["memory_id", "embedding", "visits"])
 
         own = queries.where(F.size("embedding") == self.size).select("memory_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        return own.mapInArrow(run, "memory_id string, embedding array<double>, cell int")
+        return own.mapInArrow(run, "memory_id string, embedding array<double>, visits array<int>")
+
+
+def _part(rows: int, most: int, size: int) -> int:
+    """Rows of a shard or block."""
+    return max(1, min(most, NUMBERS // max(1, size), max(LEAST, -(-rows // SIDES))))
 
 
 def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, least: float, most: float = 1.0) -> DataFrame:
@@ -107,38 +206,39 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, least: float,
     """
     cells = Cells(embeddings, least)
     spark = cells.spark
-    asked = scratch.save(cells.visits(queries), f"{cells.folder}/visits")
-    sizes = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # PIVOTS rows
-    parts = [(c, max(1, -(-int(cells.count[c]) // SHARD)), max(1, -(-n // BLOCK))) for c, n in sizes.items()]
-    plan = spark.createDataFrame(parts, "cell int, shards int, blocks int")
-
-    def numbers(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    x = cells.homes.join(F.broadcast(plan), "cell").withColumn("shard", F.pmod(F.xxhash64("memory_id"), F.col("shards")).cast("int")).withColumn("block", numbers("blocks"))
-    q = asked.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int")).withColumn("shard", numbers("shards"))
-    keys = ["cell", "shard", "block"]
+    vectors = int(cells.count.sum())
+    dealt, parts = cells.shards(_part(vectors, SHARD, cells.size))
+    asked = scratch.save(cells.visits(queries, parts), f"{cells.folder}/visits")
+    sizes = {r.shard: r["count"] for r in asked.select(F.explode("visits").alias("shard")).groupBy("shard").count().collect()}  # a row a shard
+    block = _part(max(sizes.values(), default=0), BLOCK, cells.size)
+    plan = spark.createDataFrame([(s, -(-n // block)) for s, n in sizes.items()], "shard int, blocks int")
+    where = spark.createDataFrame(dealt, "cell int, first int, cuts int")
+
+    x = cells.homes.join(F.broadcast(where), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("memory_id"), F.col("cuts"))).cast("int"))
+    x = x.join(F.broadcast(plan), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    q = asked.withColumn("shard", F.explode("visits")).join(F.broadcast(plan), "shard").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
+    keys = ["shard", "block"]
+    pivots, low, high, reach = cells.pivots, cells.low, cells.high, cells.reach
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.table({"memory_id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})]
         if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            ids, asks = left.column("memory_id").to_numpy(), right.column("memory_id").to_numpy()
-            a, b = _unit(left.column("embedding").chunk(0)), _unit(right.column("embedding").chunk(0))
-            for at in range(0, len(b), 512):
-                s = np.round(b[at : at + 512] @ a.T, 6)
-                row, col = np.nonzero((s >= least) & (s <= most))
-                s, own = s[row, col], ids[col]
-                keep = own != asks[at + row]
-                row, s, own = row[keep], s[keep], own[keep]
-                by = np.lexsort((own, -s, row))
-                row, s, own = row[by], s[by], own[by]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                best = place < k  # of this shard
-                out.append(pa.table({"memory_id": pa.array(asks[at + row[best]], pa.string()), "neighbour": pa.array(own[best], pa.string()), "similarity": pa.array(s[best] + 0.0)}))
+            left = left.sort_by([("cell", "ascending"), ("memory_id", "ascending")]).combine_chunks()
+            right = right.combine_chunks()
+            ids, asks = (t.column("memory_id").combine_chunks() for t in (left, right))
+            a, b = (_unit(t.column("embedding").combine_chunks()) for t in (left, right))
+            near = _near(b, pivots, low, high, reach)
+            home = np.full(len(b), -1) if reach >= np.pi else (b @ pivots.T).argmax(1)
+            by = np.argsort(home, kind="stable")  # queries of a cell mostly look into the same ones
+            b, near, asks = b[by], near[by], asks.take(pa.array(by))
+            rank = np.empty(len(a), np.int64)
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(a))
+            own, asked = (pc.fill_null(pc.index_in(i, value_set=ids), -1).to_numpy(zero_copy_only=False) for i in (ids, asks))
+            for row, col, sim in _best(a, b, left.column("cell").to_numpy(), near, rank, own, asked, k, least, most):
+                out.append(pa.table({"memory_id": asks.take(pa.array(row)), "neighbour": ids.take(pa.array(col)), "similarity": pa.array(sim + 0.0)}))
         return pa.concat_tables(out)
 
-    found = x.select(*keys, "memory_id", "embedding").groupBy(*keys).cogroup(q.select(*keys, "memory_id", "embedding").groupBy(*keys)).applyInArrow(pairs, _PAIRS)
+    found = x.select(*keys, "memory_id", "embedding", "cell").groupBy(*keys).cogroup(q.select(*keys, "memory_id", "embedding").groupBy(*keys)).applyInArrow(pairs, _PAIRS)
     place = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.col("similarity").desc(), "neighbour"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("memory_id", "neighbour", "similarity", "place")
 
@@ -146,5 +246,5 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int, least: float,
 def work(embeddings: DataFrame, queries: DataFrame, least: float) -> float:
     """Share of all pairs of a query and a vector that ``neighbours`` compares."""
     cells = Cells(embeddings, least)
-    visits = cells.visits(queries).groupBy("cell").count().collect()  # PIVOTS rows
+    visits = cells.visits(queries, [[c] for c in range(len(cells.count))]).select(F.explode("visits").alias("cell")).groupBy("cell").count().collect()  # PIVOTS rows
     return sum(r["count"] * int(cells.count[r.cell]) for r in visits) / max(1, queries.count() * int(cells.count.sum()))
