@@ -147,16 +147,18 @@ def discover_band(t):
     return near.where(F.col("score").between(0.1, 0.4)).orderBy(F.col("score").desc(), "id").limit(20)
 
 
-#: The stated set of queries.
-FIFTIETH = "CAST(substring(memory_id, 2) AS BIGINT) % 50 = 0"
-_KNN = "kn AS (SELECT q.memory_id, e.memory_id AS neighbour, round(list_dot_product(e.embedding, q.embedding) / (sqrt(list_sum(list_transform(e.embedding, x -> x*x))) * sqrt(list_sum(list_transform(q.embedding, x -> x*x)))), 6) AS similarity FROM memory_embeddings e, memory_embeddings q WHERE CAST(substr(q.memory_id, 2) AS BIGINT) % 50 = 0 AND e.memory_id <> q.memory_id)"
+_PAIRS = "kn AS (SELECT q.memory_id, e.memory_id AS neighbour, round(list_dot_product(e.embedding, q.embedding) / (sqrt(list_sum(list_transform(e.embedding, x -> x*x))) * sqrt(list_sum(list_transform(q.embedding, x -> x*x)))), 6) AS similarity FROM memory_embeddings e, memory_embeddings q WHERE e.memory_id <> q.memory_id)"
 
 
-@query("neighbours", f"WITH {_KNN} SELECT memory_id, neighbour, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, neighbour) AS place FROM kn WHERE similarity BETWEEN 0.2 AND 1.0) WHERE place <= 5", "memory_embeddings")
+@query("neighbours", f"WITH {_PAIRS} SELECT memory_id, neighbour, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, neighbour) AS place FROM kn WHERE similarity BETWEEN 0.2 AND 1.0) WHERE place <= 5", "memory_embeddings")
 def neighbours(t):
-    """Every fiftieth vector against all."""
-    e = t.memory_embeddings
-    return se.neighbours(e, e.where(FIFTIETH), 5, 0.2)
+    """Every vector against all."""
+    return se.neighbours(t.memory_embeddings, t.memory_embeddings, 5, 0.2)
+
+
+#: The stated set of queries of ``merged_neighbours``.
+FIFTIETH = "CAST(substring(memory_id, 2) AS BIGINT) % 50 = 0"
+_KNN = _PAIRS.replace("WHERE ", "WHERE CAST(substr(q.memory_id, 2) AS BIGINT) % 50 = 0 AND ")
 
 
 @query("merged_neighbours", f"WITH {_KNN}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, neighbour) AS place FROM kn WHERE similarity BETWEEN 0.2 AND 1.0) WHERE place <= 5) SELECT r.memory_id, count(*) AS n, md5(string_agg('Memory ' || place || ':' || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY place)) AS consolidated FROM r JOIN memories m ON r.neighbour = m.id WHERE content IS NOT NULL GROUP BY r.memory_id", "memories memory_embeddings")

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from engramix.operators import graph as gr
 from engramix.operators import lifecycle as lc
 from engramix.operators import near
 from engramix.operators import search as se
+from engramix.plans import catalog
 
 
 def fold(edges, rows, most):
@@ -74,6 +76,26 @@ def test_cells_lose_no_neighbour_and_tell_clusters_apart(spark):
     assert se.neighbours(e.limit(0), e, 5, 0.5).collect() == se.neighbours(e, e.limit(0), 5, 0.5).collect() == []
 
 
+def test_neighbours_asks_every_vector(spark, tmp_path):
+    """Ids of any remainder, any label, current or not; rows without a vector or finite components ask nothing, as in the SQL."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(130, 6)).astype(np.float32)
+    rows = [(i, v.tolist(), None if i % 9 == 0 else i % 4) for i, v in enumerate(x)]
+    odd = [(200, None, 3), (250, [float("nan")] * 6, 3), (300, [0.0] * 6, 3)]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.memory_id, r.place): (r.neighbour, r.similarity) for r in catalog.QUERIES["neighbours"](spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {}
+    for i in range(130):
+        best = sorted((-s[i, j], f"m{j:09d}") for j in range(130) if j != i and 0.2 <= s[i, j] <= 1.0)[:5]
+        want |= {(f"m{i:09d}", p + 1): (other, -v) for p, (v, other) in enumerate(best)}
+    assert got == want and len({i for i, _ in got}) == 130
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert {(r[0], r[3]): (r[1], r[2]) for r in con.execute(catalog.ORACLES["neighbours"]).fetchall()} == want
+
+
 def test_related_counts(spark):
     rows = [("a", ["x", "en"], None), ("b", ["x", "y", "x"], None), ("c", ["y"], None), ("d", ["en"], None), ("e", None, None), ("f", ["x"], "2024-01-01"), ("g", ["q", None], None)]
     m = spark.createDataFrame(rows, "id string, tags array<string>, deleted_at string")
